@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import packing, tokens
+from graphloom.llm import mixing, packing, quality, tokens
 from graphloom.llm.common import read
 
 
@@ -14,12 +14,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_share", "coverage")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_token_counts, op7_mixing, op10_packing)}
 
 #: Only what SQL expresses at a bearable cost; the rest is tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
