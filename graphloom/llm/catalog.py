@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, packing, quality, tokens
+from graphloom.llm import langid, mixing, packing, quality, scoring, tokens
 from graphloom.llm.common import read
 
 
@@ -23,12 +24,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    scored = scoring.score(documents, langid.fold("doc_id", 7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", (langid.fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = langid.train(documents.where(langid.fold("doc_id", 4) != 2))
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.col("rejected"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_token_counts, op7_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_token_counts, op7_mixing, op8_lattice_score, op9_language, op10_packing)}
 
 #: Only what SQL expresses at a bearable cost; the rest is tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
