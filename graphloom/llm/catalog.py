@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, minhash, mixing, packing, quality, scoring, tokens
+from graphloom.llm import extract, langid, minhash, mixing, packing, quality, scoring, tokens
 from graphloom.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=2)
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_share", "coverage")
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_quality, op4_token_counts, op7_mixing, op8_lattice_score, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op7_mixing, op8_lattice_score, op9_language, op10_packing)}
 
 #: Only what SQL expresses at a bearable cost; the rest is tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
