@@ -1,24 +1,29 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling: complete epochs first,
 then the documents with the smallest exponential keys -ln(u) / weight up to the rest of the
-source's budget. DataFrame functions only."""
+source's budget."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize
-
-WORD = r"[^\x20\x09-\x0D]+"
+from graphloom.llm.common import discard, materialize, raw
 
 
-def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+@F.arrow_udf("struct<size:bigint,symbols:bigint>")
+def count_words(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Words (runs without space and \\x09-\\x0D) and symbols of each text; none of null."""
+    for column in columns:
+        texts = raw(column)
+        symbols = [len(t) - len(t.translate(None, b"#*$%&|<>")) for t in texts]
+        yield pa.StructArray.from_arrays([pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(symbols, pa.int64())], names=["size", "symbols"])
 
 
-def quality_weight(text: Column, size: Column, least: float = 0.25) -> Column:
+def quality_weight(size: Column, symbols: Column, least: float = 0.25) -> Column:
     """Between `least` and 1: words against words and symbols."""
-    symbols = F.coalesce(F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")), F.lit(0))
     return F.greatest(F.lit(least), F.coalesce(size / (size + symbols), F.lit(1.0)))
 
 
@@ -61,9 +66,8 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     A source may hold any share of the rows: rows are dealt by ranges of (source, key) that Spark
     balances, sums of whole ranges are carried forward, and only then are rows summed in a range.
     """
-    words = count_words(F.col("_text"))
-    rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("_text")).withColumn("size", words)
-    rows = materialize(rows.select("_id", "source", "size", sampling_key(quality_weight(F.col("_text"), F.col("size")), seed, F.col("_id"), F.col("size")).alias("sampling_key")), "sizes")
+    rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("source"), count_words(F.col(f"`{text}`").cast("string")).alias("w")).select("_id", "source", "w.*")
+    rows = materialize(rows.select("_id", "source", "size", sampling_key(quality_weight(F.col("size"), F.col("symbols")), seed, F.col("_id"), F.col("size")).alias("sampling_key")), "sizes")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(rows.repartitionByRange(n, "source", "sampling_key", "_id").withColumn("part", F.spark_partition_id()), "ranges")
     discard(rows)
