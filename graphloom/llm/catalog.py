@@ -37,7 +37,7 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(read(spark, sf_dir, "documents"), cut=True).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,12 +54,13 @@ def targets(rows: DataFrame, weights: tuple[int, ...], share: float, most: float
     return s.select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, cut: bool = False) -> DataFrame:
     """One row per row of df: id, size, source_size, target, taken, source, sampling_key, epochs.
 
     size: words of the text (null: 0). Sources in order of code point, null last, take `weights`
     in turn. taken = epochs * size, plus size for the documents picked for the rest: those with the
-    smallest keys, as many as come nearest to it. Keys depend on id, size and seed alone, so
+    smallest keys, as many as come nearest to it; with `cut`, of the document at the border only the
+    words that the rest still has room for. Keys depend on id, size and seed alone, so
     reruns agree; rows that repeat have equal keys, and enough of them are taken to come near.
     Other columns of df are left out; an empty df gives an empty result.
 
@@ -79,5 +80,28 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     out = dealt.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
     inside = Window.partitionBy("source", "part").orderBy("sampling_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    picked = prefix + F.col("size") / 2 <= F.col("rest")
-    return out.select(F.col("_id").alias(id), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.when(picked, F.col("size")).otherwise(0)).cast("bigint").alias("taken"), "source", "sampling_key", F.col("epochs").cast("bigint").alias("epochs"))
+    if cut:
+        more = F.least(F.col("size"), F.greatest(F.lit(0), F.round(F.col("rest") - prefix)))
+    else:
+        more = F.when(prefix + F.col("size") / 2 <= F.col("rest"), F.col("size")).otherwise(0)
+    return out.select(F.col("_id").alias(id), "size", "source_size", "target", (F.col("epochs") * F.col("size") + more).cast("bigint").alias("taken"), "source", "sampling_key", F.col("epochs").cast("bigint").alias("epochs"))
+
+
+def mixed(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **options) -> DataFrame:
+    """df with every row as often as mix() takes it (0, 1, 2 times); columns are unchanged.
+
+    Texts are not shuffled: a row is taken again if its key is at most the largest one picked in its
+    source, a figure for each source. Rows with equal keys (repeated ones) are taken alike.
+    """
+    took = mix(df, id, text, source, seed=seed, **options)
+    last = F.max(F.when(F.col("taken") > F.col("epochs") * F.col("size"), F.col("sampling_key")))
+    of = materialize(took.groupBy(F.col("source").alias("_of")).agg(last.alias("_last"), F.max("epochs").alias("_epochs")), "borders")
+    names = df.columns
+    keyed = df.withColumn("_w", count_words(F.col(f"`{text}`").cast("string")))
+    weight = quality_weight(F.col("_w.size"), F.col("_w.symbols"))
+    keyed = keyed.withColumn("_key", sampling_key(weight, seed, F.col(f"`{id}`"), F.col("_w.size")))
+    # A row for each source, so that side is small; Spark broadcasts it if its size allows.
+    joined = keyed.join(of, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("_of")))
+    times = F.col("_epochs") + F.when(F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False)), 1).otherwise(0)
+    copies = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>")))
+    return joined.select(*(F.col(f"`{c}`") for c in names), copies.alias("_copy")).drop("_copy")
