@@ -86,7 +86,7 @@ def _clusters(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 400, clusters: int = 4, slack: float = 0.5) -> Model | None:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 400, clusters: int = 4, slack: float = 0.15) -> Model | None:
     """Learns from rows with a language and a text; None if there are none.
 
     Document frequencies count all of them, whole, in one pass without a shuffle of texts (a task
@@ -157,14 +157,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     return Model(languages, idf, np.vstack(centroids).astype(np.float32), np.array(owner), np.array(radius))
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """df with lang_pred, score (cosine, 0 to 1) and rejected, from the text alone.
-
-    A null text, and one without a letter, is `und` with score 0, and rejected; so is every text if
-    there was nothing to learn from. Whole texts count, however long. Columns of df with the
-    results' names are replaced. The model is a few hundred KB whatever the input.
-    """
-
+def _predictor(model: Model | None):
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
@@ -193,8 +186,23 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 flush()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
+    return predicted
+
+
+def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """df with lang_pred, score (cosine, 0 to 1) and rejected, from the text alone.
+
+    A null text, and one without a letter, is `und` with score 0, and rejected; so is every text if
+    there was nothing to learn from. Whole texts count, however long. Columns of df with the
+    results' names are replaced. The model is a few hundred KB whatever the input.
+    """
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score", "rejected")]
-    return df.select(*kept, predicted(F.col(f"`{text}`").cast("string")).alias("_predicted")).select(*kept, "_predicted.*")
+    return df.select(*kept, _predictor(model)(F.col(f"`{text}`").cast("string")).alias("_predicted")).select(*kept, "_predicted.*")
+
+
+def keep_identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of df that identify() does not reject, with df's columns as they are."""
+    return df.where(~_predictor(model)(F.col(f"`{text}`").cast("string"))["rejected"])
 
 
 def fold(id: str, k: int):
