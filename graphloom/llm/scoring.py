@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, pieces, raw, words
+from graphloom.llm.common import discard, materialize, mix, pieces, raw, words
 
 #: Distinct words a task gathers before it sends their counts on.
 HELD = 300_000
@@ -53,65 +53,130 @@ def first_scores(path: str) -> np.ndarray:
 
 
 class Lattice:
-    """Segmentations of words into pieces with log-probabilities."""
+    """Segmentations of words into pieces with log-probabilities, many words at a time: words of
+    one length are rows of an array, and the recursions run over its columns."""
+
+    #: Longer words go through the recursion one by one, others in arrays.
+    WIDE = 40
 
     def __init__(self, path: str, scores: np.ndarray):
         normal, by_byte, self.size = vocabulary(path)
         self.longest = max(map(len, normal))
-        self.ids, self.by_byte, self.scores = normal, by_byte, scores
-        self.log = {x: float(scores[i]) for x, i in normal.items()}
-
-    def arcs(self, word: str) -> list[list[tuple[int, float, str | int]]]:
-        """For each end, the (start, log-probability, piece) that lead there. A character that is
-        no piece is spelled in bytes."""
-        log, n = self.log, len(word)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (x := log.get(piece := word[i:j])) is not None:
-                    into[j].append((i, x, piece))
-            if word[i] not in log:
-                into[i + 1].append((i, sum(float(self.scores[self.by_byte[b]]) for b in word[i].encode()), word[i]))
-        return into
-
-    def forward(self, into: list[list]) -> list[float]:
-        alpha = [0.0]
-        exp, log = math.exp, math.log
-        for arcs in into[1:]:
-            if len(arcs) == 1:
-                i, x, _ = arcs[0]
-                alpha.append(alpha[i] + x)
-                continue
-            all_ = [alpha[i] + x for i, x, _ in arcs]
-            top = max(all_, default=_NONE)
-            alpha.append(top + log(sum(exp(a - top) for a in all_)) if top > _NONE else _NONE)
+        self.scores, self.by_byte = scores, np.array(by_byte)
+        keys = np.array([int(self._hashes(np.array([list(map(ord, x))], np.uint32))[-1][0, 0]) for x in normal], np.uint64)
+        self.ids = np.append(np.array(list(normal.values())), -1)
+        self.keys = np.append(keys, np.uint64(0))
+        self.tables = self._place(keys)
+
+    #: Places in each table of pieces, a power of two.
+    ROOM = 1 << 20
+
+    def _place(self, keys: np.ndarray) -> list[tuple[np.uint64, np.ndarray]]:
+        """Tables from some bits of a hash to a piece's number; pieces whose place is taken go to the
+        next table, which looks at other bits."""
+        tables, left = [], np.arange(len(keys))
+        while len(left):
+            shift = np.uint64(11 * len(tables) % 44)
+            place = (keys[left] >> shift & np.uint64(self.ROOM - 1)).astype(np.int64)
+            table = np.full(self.ROOM, len(keys), np.int32)
+            table[place] = left
+            tables.append((shift, table))
+            left = left[table[place] != left]
+        return tables
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; that of no piece is the last."""
+        none = len(self.keys) - 1
+        out = np.full(h.shape, none, np.int32)
+        for shift, table in self.tables:
+            at = table[h >> shift & np.uint64(self.ROOM - 1)]
+            np.copyto(out, at, where=(self.keys[at] == h) & (at != none))
+        return out
+
+    def _hashes(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each length L from 1: hashes of every substring of L characters, by its start."""
+        n = codes.shape[1]
+        out, rolling = [], np.zeros(codes.shape, np.uint64)
+        wide = codes.astype(np.uint64) + np.uint64(1)
+        for length in range(1, min(n, self.longest) + 1):
+            rolling = rolling[:, : n - length + 1] * np.uint64(0x9E3779B97F4A7C15) + wide[:, length - 1 :]
+            out.append(mix(rolling ^ np.uint64(length)))
+        return out
+
+    def arcs(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length: the log-probability of the piece that starts at each place (-inf: none),
+        and its id. A character that is no piece is spelled in bytes, with id -1."""
+        out = []
+        for length, h in enumerate(self._hashes(codes), 1):
+            ids = self.ids[self._find(h)]
+            hit = ids >= 0
+            logs = np.where(hit, self.scores[ids], _NONE)
+            if length == 1 and not hit.all():
+                strange, which = np.unique(codes[~hit], return_inverse=True)
+                logs[~hit] = np.array([self.scores[self.by_byte[list(chr(c).encode("utf-8", "replace"))]].sum() for c in strange])[which]
+            out.append((logs, ids))
+        return out
+
+    @staticmethod
+    def _sum(terms: list[np.ndarray]) -> np.ndarray:
+        if len(terms) == 1:
+            return terms[0]
+        x = np.stack(terms)
+        top = x.max(axis=0)
+        top = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            return top + np.log(np.exp(x - top).sum(axis=0))
+
+    def forward(self, arcs: list) -> list[np.ndarray]:
+        n = arcs[0][0].shape[1]
+        alpha = [np.zeros(arcs[0][0].shape[0])]
+        for j in range(1, n + 1):
+            alpha.append(self._sum([alpha[j - k] + arcs[k - 1][0][:, j - k] for k in range(1, min(j, len(arcs)) + 1)]))
         return alpha
 
-    def marginal(self, word: str) -> float:
-        """Natural logarithm of the word's probability over all segmentations."""
-        return self.forward(self.arcs("▁" + word))[-1]
-
-    def expect(self, word: str, times: float, into_counts: np.ndarray) -> None:
-        """Adds the pieces' expected counts (forward-backward) in `times` occurrences of the word."""
-        arcs = self.arcs("▁" + word)
-        alpha = self.forward(arcs)
-        beta = [_NONE] * len(alpha)
-        beta[-1] = 0.0
-        exp, whole = math.exp, alpha[-1]
-        for j in range(len(alpha) - 1, 0, -1):
-            b = beta[j]
-            if b == _NONE:
-                continue
-            for i, x, piece in arcs[j]:
-                a = x + b
-                share = times * exp(min(0.0, alpha[i] + a - whole))
-                if piece in self.ids:
-                    into_counts[self.ids[piece]] += share
-                else:
-                    for c in piece.encode():
-                        into_counts[self.by_byte[c]] += share
-                old = beta[i]
-                beta[i] = a if old == _NONE else max(a, old) + math.log1p(exp(-abs(a - old)))
+    def backward(self, arcs: list) -> list[np.ndarray]:
+        n = arcs[0][0].shape[1]
+        beta = [np.zeros(arcs[0][0].shape[0])]
+        for i in range(n - 1, -1, -1):
+            beta.append(self._sum([beta[n - i - k] + arcs[k - 1][0][:, i] for k in range(1, min(n - i, len(arcs)) + 1)]))
+        return beta[::-1]
+
+    def _by_length(self, words_: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row numbers, codes) of words of equal length, at most 8192 at a time."""
+        by: dict[int, list[int]] = {}
+        for row, word in enumerate(words_):
+            by.setdefault(len(word), []).append(row)
+        for n, rows in by.items():
+            step = max(1, 8192 if n <= self.WIDE else 8192 * self.WIDE // n)
+            for at in range(0, len(rows), step):
+                own = rows[at : at + step]
+                codes = np.frombuffer("".join("▁" + words_[r] for r in own).encode("utf-32-le", "replace"), "<u4").reshape(len(own), n + 1)
+                yield np.array(own), codes
+
+    def marginals(self, words_: list[str]) -> np.ndarray:
+        """Natural logarithms of the words' probabilities over all segmentations."""
+        out = np.zeros(len(words_))
+        for rows, codes in self._by_length(words_):
+            out[rows] = self.forward(self.arcs(codes))[-1]
+        return out
+
+    def expect(self, words_: list[str], times: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the pieces' expected counts (forward-backward) when each word occurs `times` times."""
+        for rows, codes in self._by_length(words_):
+            arcs = self.arcs(codes)
+            alpha, beta = self.forward(arcs), self.backward(arcs)
+            whole, weight = alpha[-1], times[rows]
+            for length, (logs, ids) in enumerate(arcs, 1):
+                for i in range(logs.shape[1]):
+                    used = np.flatnonzero(logs[:, i] > _NONE)
+                    if not len(used):
+                        continue
+                    share = weight[used] * np.exp(np.minimum(0.0, alpha[i][used] + logs[used, i] + beta[i + length][used] - whole[used]))
+                    piece = ids[used, i]
+                    known = piece >= 0
+                    counts += np.bincount(piece[known], weights=share[known], minlength=self.size)
+                    for c, x in zip(codes[used[~known], i].tolist(), share[~known].tolist(), strict=True):
+                        np.add.at(counts, self.by_byte[list(chr(c).encode("utf-8", "replace"))], x)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +207,13 @@ def _text(word: bytes) -> str:
     return word.decode("utf-8", "replace")
 
 
-def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id", text: str = "text", head: int = 60_000) -> DataFrame:
+def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id", text: str = "text", head: int = 60_000, rounds: int = 2) -> DataFrame:
     """One row per row of df: id, n_tokens, n_known, train_tokens, base_score, score.
 
     learn: which rows the model learns from. Tokens are the words (A-Z lower-cased) and one end.
     base_score: log10 of the add-one unigram probability of the words. score: log10 of the lattice
     probability under piece probabilities that start from the vocabulary's scores and are
-    re-estimated once (expectation-maximisation) on all training words. Null is an empty text,
+    re-estimated (`rounds` of expectation-maximisation) on all training words. Null is an empty text,
     which has the end alone; rows that repeat are scored each for itself; other columns are left
     out; with no training rows c and N are 0. head: the commonest words, whose figures every task
     holds in a table of that bounded size; all other words are looked up by a join on the word.
@@ -160,31 +225,34 @@ def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id"
     row = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, distinct = row[0] + ends, row[1] + (1 if ends else 0)
 
+    current = sc.broadcast(first_scores(vocabulary_path))
+
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary_path, first_scores(vocabulary_path))
+        lattice = Lattice(vocabulary_path, current.value)
         found = np.zeros(lattice.size)
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(_text(word), float(c), found)
+            lattice.expect([_text(w) for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float), found)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], names=["piece", "n"])
 
-    pieces_n = np.zeros(vocabulary(vocabulary_path)[2])
-    # At most one row for each piece of the vocabulary reaches the driver.
-    for r in table.where("c > 0").select("word", "c").mapInArrow(expected, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect():
-        pieces_n[r.piece] = r.n
     start = first_scores(vocabulary_path)
-    usable = np.isfinite(start)
-    smooth = np.where(usable, pieces_n + np.exp(start) * 1000.0, 0.0)
-    end_log10 = math.log10((ends + 1) / (smooth.sum() + ends + 1))
-    with np.errstate(divide="ignore"):
-        scores = np.log(smooth / (smooth.sum() + ends + 1))
-    shared = sc.broadcast(scores)
+    for _ in range(rounds):
+        pieces_n = np.zeros(len(start))
+        # At most one row for each piece of the vocabulary reaches the driver.
+        for r in table.where("c > 0").select("word", "c").mapInArrow(expected, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect():
+            pieces_n[r.piece] = r.n
+        # As much as one occurrence for each piece is dealt by the vocabulary's own scores.
+        smooth = np.where(np.isfinite(start), pieces_n + np.exp(start) * len(start), 0.0)
+        whole = smooth.sum() + ends + 1
+        with np.errstate(divide="ignore"):
+            current = sc.broadcast(np.log(smooth / whole))
+    end_log10 = math.log10((ends + 1) / whole)
+    shared = current
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary_path, shared.value)
         for batch in batches:
-            logs = [lattice.marginal(_text(w)) / math.log(10) for w in batch.column(0).to_pylist()]
+            logs = lattice.marginals([_text(w) for w in batch.column(0).to_pylist()]) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "c", "total", "lm"])
 
     solved_table = materialize(table.mapInArrow(solved, "word binary, c bigint, total bigint, lm double"), "lattice")
