@@ -1 +1 @@
-"""functions."""
+"""Columns from columns, and table functions over source text."""

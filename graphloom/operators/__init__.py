@@ -1 +1 @@
-"""operators."""
+"""Operators from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""plans."""
+"""Datasets and registered queries."""
