@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Endings and names of the files that a scan keeps, folders that it leaves out.
 EXTENSIONS = (
@@ -57,19 +62,76 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(name_of(path), r"^.+(\.[^.]*[^.])$", 1))
 
 
-def scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path below root, length, modificationTime, content) of every file. The content column is read
-    only where a query uses it."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    df = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    below = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    return df.withColumn("path", below)
+FILE = "path string, length bigint, modificationTime timestamp, content binary"
+
+
+class RepoFiles(DataSource):
+    """All files under a folder, hidden ones and ones that begin with an underscore too, which Spark's
+    own readers leave out. Options: path (any URI that pyarrow opens), glob of names, content (false:
+    null), split (bytes of a partition)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "repofiles"
+
+    def schema(self) -> str:
+        return FILE
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RepoReader(dict(self.options))
+
+
+class _RepoReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
 
+    def _open(self):
+        from pyarrow import fs
 
-def _quoted(text: str) -> str:
-    import re
+        root = self.options["path"]
+        return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
-    return re.escape(text.split("://", 1)[-1].lstrip("/") if "://" in text else text)
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, root = self._open()
+        glob = self.options.get("glob", "*")
+        found = [x for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and fnmatch.fnmatchcase(x.base_name, glob)]
+        most, parts, size = int(self.options.get("split", 33554432)), [[]], 0
+        for x in sorted(found, key=lambda x: x.path):
+            if parts[-1] and size + x.size > most:
+                parts.append([])
+                size = 0
+            parts[-1].append((x.path, x.size, x.mtime))
+            size += x.size
+        return [InputPartition((root, p)) for p in parts]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        store, _ = self._open()
+        root, rows = partition.value
+        below = len(root.split("://", 1)[-1].rstrip("/")) + 1 if "://" not in root else len(self._open()[1].rstrip("/")) + 1
+        want = self.options.get("content", "true") != "false"
+        for path, size, at in rows:
+            data = None
+            if want:
+                with store.open_input_stream(path) as f:
+                    data = f.read()
+            yield path[below:], size, at, data
+
+
+def scan(spark: SparkSession, root: str, glob: str = "*", content: bool = True) -> DataFrame:
+    """(path below root, length, modificationTime, content) of every file."""
+    spark.dataSource.register(RepoFiles)
+    return spark.read.format("repofiles").option("path", root).option("glob", glob).option("content", str(content).lower()).load()
+
+
+def scan_store(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """The same from any store that Spark reads, by its own reader: it leaves out files without bytes
+    and names that begin with an underscore or a dot."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    df = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    start = re.escape(root.split("://", 1)[-1].strip("/"))
+    return df.withColumn("path", F.regexp_replace("path", rf"^.*?{start}/", "")).select("path", "length", "modificationTime", "content")
 
 
 def repo_files(files: DataFrame) -> DataFrame:
@@ -106,9 +168,9 @@ def metric_files(files: DataFrame) -> DataFrame:
 def is_text(content: Column) -> Column:
     """Whether the first 512 bytes, less a character cut off at their end, are UTF-8."""
     head = F.substring(content, 1, 512)
-    found = F.lit(False)
-    for less in range(4):
-        found = found | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(F.lit(0), F.length(head) - less)).cast("string"))
+    found = F.is_valid_utf8(head.cast("string"))
+    for less in (1, 2, 3):
+        found = found | (F.length(content) > 512) & F.is_valid_utf8(F.substring(head, F.lit(1), F.lit(512 - less)).cast("string"))
     return found
 
 
@@ -136,8 +198,6 @@ def build_systems(files: DataFrame) -> DataFrame:
 
 def make_targets(makefile: DataFrame, name: str, content: str = "content") -> DataFrame:
     """(target): rules of a Makefile whose line names the file."""
-    import re
-
     pattern = rf"^(\w+):.*{re.escape(name)}"
     lines = makefile.select(F.explode(F.split(F.col(content).cast("string"), "\n")).alias("line"))
     return lines.select(F.regexp_extract("line", pattern, 1).alias("target")).where("target <> ''")
