@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import discard, materialize, mix, pieces, raw, words
@@ -121,52 +121,58 @@ def links(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links, each verified, that connect all of reps' (id, n, bands) that candidates with
     percent * union <= 100 * intersection connect. texts: (id, text) of all.
 
-    Not every pair in a bucket is looked at: first each member with the bucket's smallest id, which
-    links whole groups of copies; then, in the buckets where more than one component is left,
-    members with the smallest id of each other component; last, all pairs of a bucket that still
-    lie in different components. So no link between components is lost, and a bucket full of
-    copies costs as many comparisons as it has members.
+    Not every pair of a bucket is looked at. First each member is compared with the bucket's
+    smallest id, its hub h, which links most of a group of copies. Let x be a member in another
+    component than h, and y any other member of yet another component. They need a common part of
+    c = percent / (100 + percent) * (|x| + |y|), and share min(|x in h|, |y in h|) inside h at most. So
+    either that is enough, which leaves only y of a few sizes, looked up by size; or they share some
+    shingles that h lacks, looked up by shingle, and as many of them as are missing. Heavily
+    changed copies rarely share changes, so a bucket full of copies costs little more comparisons
+    than it has members, and no link between components is lost. A member of several hubs meets
+    those that have its nearest hub in common with it there only.
     """
     keyed = materialize(reps.select("id", "n", F.explode("bands").alias("key")), "keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1")
-    keyed_shared = materialize(keyed.join(shared.select("key", "hub"), "key"), "buckets")
+    around = materialize(keyed.join(shared.select("key", "hub"), "key").select("hub", "id").distinct(), "around")
     discard(keyed)
-    sizes = keyed_shared.select("id", "n").distinct()
-    candidates = materialize(full_sets(only(texts, materialize(sizes.select("id"), "candidates")), k).dropDuplicates(["id"]), "sets")
-    fits = (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
-    tried = found = None
-
-    def verify(pairs: DataFrame) -> None:
-        nonlocal tried, found
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        a, b = candidates.withColumnsRenamed({"id": "a", "set": "set_a"}), candidates.withColumnsRenamed({"id": "b", "set": "set_b"})
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        same = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
-        good = materialize(pairs.join(a, "a").join(b, "b").where(same).select("a", "b"), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = good if found is None else found.union(good)
-
-    def pair(one: DataFrame, two: DataFrame) -> DataFrame:
-        one, two = one.withColumnsRenamed({"id": "x", "n": "n_x", "c": "c_x"}), two.withColumnsRenamed({"id": "y", "n": "n_y", "c": "c_y"})
-        x, y = F.struct(F.col("x").alias("id"), F.col("n_x").alias("n")), F.struct(F.col("y").alias("id"), F.col("n_y").alias("n"))
-        low, high = F.least(x, y), F.greatest(x, y)
-        return one.join(two, "key").where("c_x <> c_y").select(low["id"].alias("a"), high["id"].alias("b"), low["n"].alias("n_a"), high["n"].alias("n_b"))
-
-    hubs = sizes.withColumnsRenamed({"id": "hub", "n": "n_a"})
-    verify(keyed_shared.join(hubs, "hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n_a", F.col("n").alias("n_b")))
-    for whole in (False, True):
-        own = components(found)
-        placed = keyed_shared.select("key", "id", "n").join(own.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-        placed = materialize(placed.join(mixed, "key"), "placed")
-        if whole:
-            verify(pair(placed, placed))
-        else:
-            verify(pair(placed, placed.groupBy("key", "c").agg(F.min(F.struct("id", "n")).alias("h")).select("key", "h.id", "h.n", "c")))
-    return found
+    candidates = materialize(full_sets(only(texts, materialize(around.select("id").distinct(), "candidates")), k).dropDuplicates(["id"]), "sets")
+    a, b = candidates.withColumnsRenamed({"id": "a", "set": "set_a"}), candidates.withColumnsRenamed({"id": "b", "set": "set_b"})
+    both = F.size(F.array_intersect("set_a", "set_b"))
+
+    def shares(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
+
+    same = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+    first = materialize(shares(around.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "stars")
+    found = first.where(same & (F.col("a") != F.col("b"))).select("a", "b")
+    own = components(found)
+    placed = first.join(own.withColumnsRenamed({"node": "b", "component": "c"}), "b", "left").join(own.withColumnsRenamed({"node": "a", "component": "c_hub"}), "a", "left")
+    near = F.struct((F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("j"), (-F.col("a")).alias("k"))
+    own_hub = first.where("a <> b").groupBy("b").agg(F.max_by("a", near).alias("p"))
+    placed = placed.join(own_hub, "b").select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("both").alias("i"), F.coalesce("c", "b").alias("c"), F.coalesce("c_hub", "a").alias("c_hub"), "p").where("id <> hub")
+    placed = materialize(placed, "placed")
+    # Members nearest to the same other hub meet there.
+    mixed = placed.groupBy("hub").agg(F.count_if(F.col("c") != F.col("c_hub")).alias("out"), F.min("p").alias("p1"), F.max("p").alias("p2")).where("out > 0 and (p1 <> p2 or p1 = hub)").select("hub")
+    placed = placed.join(mixed, "hub", "left_semi")
+    x, y = placed.where("c <> c_hub"), placed
+    x = x.select("hub", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "i", "c", "p")))
+    y = y.withColumnsRenamed({c: f"{c}_y" for c in ("id", "n", "i", "c", "c_hub", "p")})
+    # Two members outside the hub's component meet twice; once is enough.
+    apart = (F.col("c_x") != F.col("c_y")) & ((F.col("p_x") != F.col("p_y")) | (F.col("p_x") == F.col("hub"))) & ((F.col("c_y") == F.col("c_hub_y")) | (F.col("id_x") < F.col("id_y")))
+    missing = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9) - F.least("i_x", "i_y")
+    pair = (F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    low, high = F.ceil(F.col("n_x") * percent / 100 - 1e-9), F.floor(F.col("i_x") * (100 + percent) / percent - F.col("n_x") + 1e-9)
+    by_size = x.where(low <= high).withColumn("n_y", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    inside = by_size.withColumnsRenamed({"hub": "hub_x", "n_y": "n_w"}).join(y, (F.col("hub_x") == F.col("hub")) & (F.col("n_w") == F.col("n_y")) & apart & (missing <= 0)).select(*pair)
+    fresh = y.select(F.col("hub").alias("a"), F.col("id_y").alias("b"), "i_y", "n_y", "c_y", "c_hub_y", "p_y").join(a, "a").join(b, "b")
+    fresh = fresh.select(F.col("a").alias("hub"), F.col("b").alias("id_y"), "n_y", "i_y", "c_y", "c_hub_y", "p_y", F.explode(F.array_except("set_b", "set_a")).alias("e"))
+    fresh = materialize(fresh, "changes")
+    several = fresh.groupBy("hub", "e").agg(F.min("c_y").alias("least"), F.max("c_y").alias("most"), F.min("p_y").alias("p1"), F.max("p_y").alias("p2")).where("least <> most and (p1 <> p2 or p1 = hub)").select("hub", "e")
+    fresh = materialize(fresh.join(several, ["hub", "e"], "left_semi"), "shared")
+    of_x = fresh.where("c_y <> c_hub_y").select(F.col("hub").alias("hub_x"), F.col("e").alias("e_x"), *(F.col(f"{c}_y").alias(f"{c}_x") for c in ("id", "n", "i", "c", "p")))
+    outside = of_x.join(fresh, (F.col("hub_x") == F.col("hub")) & (F.col("e_x") == F.col("e")) & apart).groupBy("hub", "id_x", "id_y").agg(F.count("*").alias("common"), F.first(missing).alias("missing")).where("common >= missing").select(*pair)
+    rest = inside.union(outside).distinct()
+    return found.union(materialize(shares(rest).where(same).select("a", "b"), "links"))
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, m: int = 120, rows: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,3 +196,27 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, m: int = 120,
     out = signed.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
     own = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def remove_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one document of each group of near_duplicates(): that with the smallest id.
+
+    Rows that repeat an id are one document, of which one row stays, the one with the smallest hash
+    of its text; rows with a null id, and null or empty texts, stay. Columns are unchanged. Texts
+    are not shuffled: the ids that go are broadcast if few enough by count, else joined.
+    """
+    groups = materialize(near_duplicates(df, k, percent, id=id, text=text).select(F.col(id).alias("_gone"), "kept"), "groups")
+    gone = groups.where("not kept").select("_gone").distinct()
+    again = groups.where("_gone is not null and kept").groupBy("_gone").agg(F.count("*").alias("n")).where("n > 1").select("_gone")
+    key = F.col(f"`{id}`").cast("bigint")
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+    left = df.join(small(gone), key == F.col("_gone"), "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(small(again), key == F.col("_gone"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text}`").cast("string")), F.col(f"`{text}`").cast("string")))
+    once = once.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return left.join(small(again), key == F.col("_gone"), "left_anti").unionByName(once)
