@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import discard, materialize, raw
 
 
-@F.arrow_udf("struct<size:bigint,symbols:bigint>")
-def count_words(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Words (runs without space and \\x09-\\x0D) and symbols of each text; none of null."""
+def _counted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in columns:
         texts = raw(column)
         symbols = [len(t) - len(t.translate(None, b"#*$%&|<>")) for t in texts]
         yield pa.StructArray.from_arrays([pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(symbols, pa.int64())], names=["size", "symbols"])
 
 
+def count_words(text: Column) -> Column:
+    """Words (runs without space and \\x09-\\x0D) and symbols of each text; none of null."""
+    return F.arrow_udf(_counted, "struct<size:bigint,symbols:bigint>")(text)
+
+
 def quality_weight(size: Column, symbols: Column, least: float = 0.25) -> Column:
     """Between `least` and 1: words against words and symbols."""
     return F.greatest(F.lit(least), F.coalesce(size / (size + symbols), F.lit(1.0)))
