@@ -52,6 +52,55 @@ def first_scores(path: str) -> np.ndarray:
     return scores - np.logaddexp.reduce(scores)
 
 
+#: Places in each table of pieces, a power of two.
+ROOM = 1 << 20
+
+
+def _hashes(codes: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length from 1: hashes of every substring of that many characters, by its start."""
+    n = codes.shape[1]
+    out, rolling = [], np.zeros(codes.shape, np.uint64)
+    wide = codes.astype(np.uint64) + np.uint64(1)
+    for length in range(1, min(n, longest) + 1):
+        rolling = rolling[:, : n - length + 1] * np.uint64(0x9E3779B97F4A7C15) + wide[:, length - 1 :]
+        out.append(mix(rolling ^ np.uint64(length)))
+    return out
+
+
+@functools.cache
+def _tables(path: str):
+    """What finds pieces by hash: made once in a worker. Tables lead from some bits of a hash to a
+    piece's number; pieces whose place is taken go to the next table, which looks at other bits."""
+    normal, by_byte, size = vocabulary(path)
+    by_length: dict[int, list[str]] = {}
+    for piece in normal:
+        by_length.setdefault(len(piece), []).append(piece)
+    names = [x for own in by_length.values() for x in own]
+    keys = np.concatenate([_hashes(np.array([list(map(ord, x)) for x in own], np.uint32), n)[-1][:, 0] for n, own in by_length.items()])
+    tables, left = [], np.arange(len(keys))
+    while len(left):
+        shift = np.uint64(11 * len(tables) % 44)
+        place = (keys[left] >> shift & np.uint64(ROOM - 1)).astype(np.int64)
+        table = np.full(ROOM, len(keys), np.int32)
+        table[place] = left
+        tables.append((shift, table))
+        left = left[table[place] != left]
+    return np.array(by_byte), size, max(by_length), np.array([normal[x] for x in names] + [-1]), np.append(keys, np.uint64(0)), tables
+
+
+def _many(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
+    """The batches, put together to about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 class Lattice:
     """Segmentations of words into pieces with log-probabilities, many words at a time: words of
     one length are rows of an array, and the recursions run over its columns."""
@@ -60,54 +109,23 @@ class Lattice:
     WIDE = 40
 
     def __init__(self, path: str, scores: np.ndarray):
-        normal, by_byte, self.size = vocabulary(path)
-        self.longest = max(map(len, normal))
-        self.scores, self.by_byte = scores, np.array(by_byte)
-        keys = np.array([int(self._hashes(np.array([list(map(ord, x))], np.uint32))[-1][0, 0]) for x in normal], np.uint64)
-        self.ids = np.append(np.array(list(normal.values())), -1)
-        self.keys = np.append(keys, np.uint64(0))
-        self.tables = self._place(keys)
-
-    #: Places in each table of pieces, a power of two.
-    ROOM = 1 << 20
-
-    def _place(self, keys: np.ndarray) -> list[tuple[np.uint64, np.ndarray]]:
-        """Tables from some bits of a hash to a piece's number; pieces whose place is taken go to the
-        next table, which looks at other bits."""
-        tables, left = [], np.arange(len(keys))
-        while len(left):
-            shift = np.uint64(11 * len(tables) % 44)
-            place = (keys[left] >> shift & np.uint64(self.ROOM - 1)).astype(np.int64)
-            table = np.full(self.ROOM, len(keys), np.int32)
-            table[place] = left
-            tables.append((shift, table))
-            left = left[table[place] != left]
-        return tables
+        self.scores = scores
+        self.by_byte, self.size, self.longest, self.ids, self.keys, self.tables = _tables(path)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes; that of no piece is the last."""
         none = len(self.keys) - 1
         out = np.full(h.shape, none, np.int32)
         for shift, table in self.tables:
-            at = table[h >> shift & np.uint64(self.ROOM - 1)]
+            at = table[h >> shift & np.uint64(ROOM - 1)]
             np.copyto(out, at, where=(self.keys[at] == h) & (at != none))
         return out
 
-    def _hashes(self, codes: np.ndarray) -> list[np.ndarray]:
-        """For each length L from 1: hashes of every substring of L characters, by its start."""
-        n = codes.shape[1]
-        out, rolling = [], np.zeros(codes.shape, np.uint64)
-        wide = codes.astype(np.uint64) + np.uint64(1)
-        for length in range(1, min(n, self.longest) + 1):
-            rolling = rolling[:, : n - length + 1] * np.uint64(0x9E3779B97F4A7C15) + wide[:, length - 1 :]
-            out.append(mix(rolling ^ np.uint64(length)))
-        return out
-
     def arcs(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length: the log-probability of the piece that starts at each place (-inf: none),
         and its id. A character that is no piece is spelled in bytes, with id -1."""
         out = []
-        for length, h in enumerate(self._hashes(codes), 1):
+        for length, h in enumerate(_hashes(codes, self.longest), 1):
             ids = self.ids[self._find(h)]
             hit = ids >= 0
             logs = np.where(hit, self.scores[ids], _NONE)
@@ -207,7 +225,7 @@ def _text(word: bytes) -> str:
     return word.decode("utf-8", "replace")
 
 
-def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id", text: str = "text", head: int = 60_000, rounds: int = 2) -> DataFrame:
+def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id", text: str = "text", head: int = 60_000, rounds: int = 4) -> DataFrame:
     """One row per row of df: id, n_tokens, n_known, train_tokens, base_score, score.
 
     learn: which rows the model learns from. Tokens are the words (A-Z lower-cased) and one end.
@@ -230,7 +248,7 @@ def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id"
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary_path, current.value)
         found = np.zeros(lattice.size)
-        for batch in batches:
+        for batch in _many(batches):
             lattice.expect([_text(w) for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float), found)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], names=["piece", "n"])
@@ -251,9 +269,9 @@ def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id"
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary_path, shared.value)
-        for batch in batches:
+        for batch in _many(batches):
             logs = lattice.marginals([_text(w) for w in batch.column(0).to_pylist()]) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "c", "total", "lm"])
+            yield from batch.append_column("lm", pa.array(logs, pa.float64())).to_batches()
 
     solved_table = materialize(table.mapInArrow(solved, "word binary, c bigint, total bigint, lm double"), "lattice")
     discard(table)
