@@ -27,7 +27,7 @@ def count_words(text: Column) -> Column:
 
 def quality_weight(size: Column, symbols: Column, least: float = 0.25) -> Column:
     """Between `least` and 1: words against words and symbols."""
-    return F.greatest(F.lit(least), F.coalesce(size / (size + symbols), F.lit(1.0)))
+    return F.greatest(F.lit(least), F.coalesce(F.try_divide(size, size + symbols), F.lit(1.0)))
 
 
 def sampling_key(weight: Column, seed: int, *identity: Column) -> Column:
