@@ -229,3 +229,25 @@ def analysis_graph(files: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.distinct()
 
 
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """(path, functions, classes, imports): names in Python files by their tree and in other languages
+    that have a parser by patterns; files of no such language, and broken ones, are left out."""
+    kind = parser_of(F.col("path"))
+    text = F.col("content").cast("string")
+    python = files.where(kind == "python").select("path", parse_python(text).alias("p")).where("p is not null")
+    python = python.select("path", F.transform("p.functions", lambda f: f["name"]).alias("functions"), F.transform("p.classes", lambda c: c["name"]).alias("classes"), F.transform("p.imports", lambda i: i["module"]).alias("imports"))
+    return python.unionAll(files.where(kind != "python").select("path", c_symbols(text).alias("s")).select("path", "s.*"))
+
+
+def scan_issues(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(path, line, message) of all scanners that apply to files(path, content): errors and risky calls
+    in Python, long lines in every language that has a parser."""
+    errors = udtf(PythonErrors, returnType=PythonErrors.returns)
+    known = files.where(parser_of(F.col("path")).isNotNull()).select("path", F.col("content").cast("string").alias("content"))
+    python = known.where(F.endswith("path", F.lit(".py"))).lateralJoin(errors(F.col("content").outer()))
+    from graphloom.functions.text import lines_of
+
+    long = lines_of(known, "path", "content").where(F.length("content") > 120).select("path", "line", F.lit("line over 120 characters").alias("message"))
+    return python.select("path", "line", "message").unionAll(long)

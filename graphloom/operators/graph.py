@@ -200,6 +200,21 @@ def mermaid_classes(classes: DataFrame) -> DataFrame:
     return render(classes, F.concat(body, bases), ["name"], "classDiagram")
 
 
+def build_targets(targets: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and DEPENDS_ON edges of targets(name, files)."""
+    id = F.concat(F.lit(f"{repo}:build:"), "name")
+    nodes = targets.select(id.alias("id"), F.array(F.lit("BuildTarget")).alias("labels"), "name")
+    return nodes, targets.select(id.alias("src"), F.explode("files").alias("f")).select("src", F.concat(F.lit(f"{repo}:"), "f").alias("dst"), F.lit("DEPENDS_ON").alias("type"))
+
+
+def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(src, dst): calls(file_id, caller, callee) between functions(file_id, name, id): the caller by its
+    file and name, every function of the callee's name."""
+    a = functions.select("file_id", F.col("name").alias("caller"), F.col("id").alias("src"))
+    b = functions.select(F.col("name").alias("callee"), F.col("id").alias("dst"))
+    return calls.join(a, ["file_id", "caller"]).join(b, "callee").select("src", "dst").distinct()
+
+
 class PropertyGraph:
     """A thin handle on nodes and edges, for those who prefer methods."""
 

@@ -133,3 +133,37 @@ def touch_repos(repos: DataFrame, visits: DataFrame) -> DataFrame:
 def elapsed(seconds: Column) -> Column:
     """A duration as text: seconds below a minute, minutes below an hour, else hours."""
     return F.when(seconds < 60, F.format_string("%ds", seconds.cast("int"))).when(seconds < 3600, F.format_string("%dm", (seconds / 60).cast("int"))).otherwise(F.format_string("%dh", (seconds / 3600).cast("int")))
+
+
+def changed_python(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """Changed Python paths that still exist."""
+    return changes.where(F.endswith("path", F.lit(".py"))).join(files.select("path"), "path", "left_semi")
+
+
+def is_test(path: Column) -> Column:
+    """Whether a path of a change is a test: in a folder of tests, or named as one."""
+    return F.startswith(path, F.lit("test")) | F.contains(path, F.lit("/test")) | F.contains(path, F.lit("_test."))
+
+
+TASKS = "array<struct<id:string,description:string,priority:string,dependencies:array<string>>>"
+
+
+def normalize_tasks(answers: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, task_id, description, priority, status, dependencies): tasks of JSON answers under `subtasks`
+    or `tasks`; what a task lacks has a default; answers that are no JSON give none."""
+    parsed = F.from_json(text, f"subtasks {TASKS}, tasks {TASKS}")
+    rows = answers.select(id, F.posexplode(F.coalesce(parsed["subtasks"], parsed["tasks"])).alias("n", "t"))
+    return rows.select(id, F.coalesce("t.id", F.concat(F.lit("task_"), (F.col("n") + 1).cast("string"))).alias("task_id"), F.coalesce("t.description", F.lit("")).alias("description"), F.coalesce("t.priority", F.lit("medium")).alias("priority"), F.lit("PENDING").alias("status"), F.coalesce("t.dependencies", F.array().cast("array<string>")).alias("dependencies"))
+
+
+def resolve_dependencies(tasks: DataFrame) -> DataFrame:
+    """tasks(id, description, dependencies) whose dependencies, given by id or description, become ids;
+    unknown ones go."""
+    names = tasks.select(F.col("id").alias("_to"), F.explode(F.array_distinct(F.array("id", "description"))).alias("_name"))
+    found = tasks.select("id", F.explode("dependencies").alias("_name")).join(names, "_name").groupBy("id").agg(F.array_sort(F.collect_set("_to")).alias("_deps"))
+    return tasks.join(found, "id", "left").withColumn("dependencies", F.coalesce("_deps", F.array().cast("array<string>"))).drop("_deps")
+
+
+def head_distinct(first: Column, second: Column, n: int = 5) -> Column:
+    """The first n of both arrays together, then without repeats."""
+    return F.array_distinct(F.slice(F.concat(first, second), 1, n))

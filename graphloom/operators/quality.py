@@ -122,3 +122,23 @@ def file_metrics(lines: DataFrame, python: DataFrame, generic: DataFrame) -> Dat
     g = generic.select("path", F.col("complexity").alias("_g"))
     found = lines.where("code > 0").join(p, "path", "left").join(g, "path", "left")
     return found.withColumn("complexity", F.coalesce("_p", "_g", F.lit(1.0))).withColumn("maintainability", F.coalesce("_m", F.lit(100.0))).drop("_p", "_g", "_m")
+
+
+def file_complexity(functions: DataFrame, above: int = COMPLEX) -> DataFrame:
+    """(path, average, highest, complex): mean to two places, maximum, and the names above the limit by
+    complexity of functions(path, name, complexity)."""
+    hard = F.array_sort(F.collect_list(F.when(F.col("complexity") > above, F.struct((-F.col("complexity")).alias("k"), F.col("name")))))
+    return functions.groupBy("path").agg(F.round(F.avg("complexity"), 2).alias("average"), F.max("complexity").alias("highest"), F.transform(hard, lambda x: x["name"]).alias("complex"))
+
+
+def repository_score(files: DataFrame) -> DataFrame:
+    """One row: the mean maintainability to two places."""
+    return files.agg(F.round(F.avg("maintainability"), 2).alias("score"))
+
+
+def task_context(node: DataFrame, ripple: DataFrame, critical: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row about node(id): how much hangs on it, whether it is among the critical, and its issues."""
+    n = ripple.agg(F.count("*").alias("affected"), F.array_sort(F.collect_list(F.when(F.col("distance") == 1, F.col("id")))).alias("direct"))
+    known = critical.select(F.col("id"), F.lit(True).alias("is_critical"))
+    own = related_issues(issues, node).agg(F.array_sort(F.collect_list("issue_id")).alias("issues"))
+    return node.join(known, "id", "left").select("id", F.coalesce("is_critical", F.lit(False)).alias("is_critical")).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(own))

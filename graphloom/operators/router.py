@@ -98,6 +98,13 @@ def render_context(fused: DataFrame) -> DataFrame:
     return fused.agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("k"), line.alias("line")))).alias("x")).select(F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
 
 
+def shape(hits: DataFrame) -> DataFrame:
+    """Search hits(id, score, payload) as (id, name, type, snippet, score): what a payload lacks is
+    unknown, a snippet has 200 characters at most."""
+    unknown = F.lit("unknown")
+    return hits.select("id", F.coalesce(F.col("payload")["name"], unknown).alias("name"), F.coalesce(F.col("payload")["type"], unknown).alias("type"), F.substring(F.coalesce(F.col("payload")["content"], F.lit("")), 1, 200).alias("snippet"), "score")
+
+
 class Registry:
     """Named queries: the commands of an analysis engine, a repository client or a tool box."""
 

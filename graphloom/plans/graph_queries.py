@@ -306,3 +306,17 @@ def importance_5rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, round(score, 6) AS score, calls, score > 0.5 AS is_critical, CASE WHEN score > 0.7 AND calls > 5 THEN 'critical' WHEN score > 0.5 AND calls > 3 THEN 'important' WHEN score > 0.3 THEN 'watch' ELSE 'fine' END AS suggestion FROM t""")
 def criticality_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.criticality(parts(spark, sf_dir), transitions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT DISTINCT 's' || s_suppkey AS src, 'c' || c_custkey AS dst FROM (SELECT o_custkey % 25 AS f, (o_orderkey % 30)::VARCHAR AS caller, (o_orderkey % 90)::VARCHAR AS callee FROM orders) JOIN supplier ON s_nationkey = f AND (s_suppkey % 30)::VARCHAR = caller JOIN customer ON (1000 + c_custkey % 90)::VARCHAR = '10' || lpad(callee, 2, '0')")
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).cast("int").alias("file_id"), (F.col("o_orderkey") % 30).cast("string").alias("caller"), F.concat(F.lit("10"), F.lpad((F.col("o_orderkey") % 90).cast("string"), 2, "0")).alias("callee"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file_id"), (F.col("s_suppkey") % 30).cast("string").alias("name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    c = table(spark, sf_dir, "customer").select(F.lit(-1).alias("file_id"), (1000 + F.col("c_custkey") % 90).cast("string").alias("name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return graph.call_edges(o, s.unionAll(c))
+
+
+@query("SELECT 'r:build:' || p_brand AS src, 'r:' || p_partkey AS dst, 'DEPENDS_ON' AS type FROM part")
+def build_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = parts(spark, sf_dir).groupBy(F.col("owner").alias("name")).agg(F.collect_list(F.col("id").cast("string")).alias("files"))
+    return graph.build_targets(t, "r")[1]

@@ -168,3 +168,21 @@ def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("id", F.col("user_id") * 10)
     found = streams.pair_runs(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "id", "ts")
     return found.select("id", at("started").alias("started"), at("ended").alias("ended"))
+
+
+@query("""SELECT event_id, 'task_' || n AS task_id, CASE WHEN n = 1 THEN event_type ELSE '' END AS description, CASE WHEN n = 1 THEN 'high' ELSE 'medium' END AS priority FROM events, (SELECT unnest([1, 2]) AS n) WHERE event_id % 3 <> 2""")
+def normalize_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    key = F.when(F.col("event_id") % 3 == 0, "tasks").otherwise("subtasks")
+    said = F.when(F.col("event_id") % 3 == 2, "no json").otherwise(F.concat(F.lit('{"'), key, F.lit('": [{"description": "'), F.col("event_type"), F.lit('", "priority": "high"}, {}]}')))
+    return history.normalize_tasks(e.select("event_id", said.alias("t")), "event_id", "t").select("event_id", "task_id", "description", "priority")
+
+
+@query("""WITH t AS (SELECT o_orderkey::VARCHAR AS id, 'order ' || o_orderkey AS d FROM orders) SELECT id, CASE WHEN id::BIGINT % 2 = 0 THEN (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT unnest([(id::BIGINT // 2)::VARCHAR, (id::BIGINT // 3)::VARCHAR]) AS x) WHERE true) ELSE '' END AS dependencies FROM t WHERE id::BIGINT // 2 <> id::BIGINT // 3
+UNION ALL SELECT id, CASE WHEN id::BIGINT % 2 = 0 THEN (id::BIGINT // 2)::VARCHAR ELSE '' END FROM t WHERE id::BIGINT // 2 = id::BIGINT // 3""")
+def resolve_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    half, third = F.floor(k / 2).cast("string"), F.floor(k / 3).cast("string")
+    need = F.when(k % 2 == 0, F.array(half, F.concat(F.lit("order "), third), F.lit("unknown"))).otherwise(F.array(F.lit("nobody")))
+    t = table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), F.concat(F.lit("order "), k.cast("string")).alias("description"), need.alias("dependencies"))
+    return history.resolve_dependencies(t).select("id", F.array_join("dependencies", ",").alias("dependencies"))

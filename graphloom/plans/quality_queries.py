@@ -283,3 +283,39 @@ def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = calls(spark, sf_dir).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "src")))
+
+
+@query("""SELECT p_brand AS path, round(avg(p_size), 2) AS average, max(p_size) AS highest, coalesce(string_agg(CASE WHEN p_size > 40 THEN lpad(p_partkey::VARCHAR, 9, '0') END, ',' ORDER BY p_size DESC, lpad(p_partkey::VARCHAR, 9, '0')), '') AS complex FROM part GROUP BY p_brand""")
+def file_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = parts(spark, sf_dir).select(F.col("owner").alias("path"), F.lpad(F.col("id").cast("string"), 9, "0").alias("name"), "complexity")
+    found = quality.file_complexity(f, 40)
+    return found.select("path", "average", "highest", F.array_join("complex", ",").alias("complex"))
+
+
+@query("SELECT round(avg(s_acctbal), 2) AS score FROM supplier")
+def repository_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repository_score(table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("maintainability")))
+
+
+@query()
+def task_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.plans.datasets import busiest
+
+    c = calls(spark, sf_dir)
+    node = busiest(c)
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("issue_id")).agg(F.collect_set("l_partkey").alias("affected"))
+    return quality.task_context(node, paths.ripple(main_calls(spark, sf_dir), node), paths.criticality(parts(spark, sf_dir), transitions(spark, sf_dir), 5), i)
+
+
+@query("SELECT vec_id AS id, 'unknown' AS name, label::VARCHAR AS type, 'text ' || vec_id AS snippet FROM embeddings WHERE label = 3")
+def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("label = 3")
+    hits = e.select(F.col("vec_id").alias("id"), F.lit(1.0).alias("score"), F.create_map(F.lit("type"), F.col("label").cast("string"), F.lit("content"), F.concat(F.lit("text "), F.col("vec_id").cast("string"))).alias("payload"))
+    return router.shape(hits).drop("score")
+
+
+@query()
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.sources import state
+
+    return state.markdown(quality_report(spark, sf_dir))

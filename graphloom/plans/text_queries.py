@@ -216,3 +216,20 @@ def c_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def c_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.c_calls(spark.createDataFrame([("m.c", C_SOURCE)], "path string, content string"), "path", "content")
+
+
+@query()
+def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.structure(snippets(spark).unionAll(spark.createDataFrame([("m.c", C_SOURCE), ("notes.txt", "x")], "path string, content string")))
+
+
+@query()
+def scanner_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.scan_issues(spark, snippets(spark))
+
+
+@query(f"WITH {SQL_PATHS} SELECT page_id, path FROM pages JOIN paths ON path LIKE 'r' || page_id || '/%'")
+def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = file_list(spark, sf_dir)
+    said = listed.select(F.regexp_extract("path", r"^r(\d+)/", 1).cast("bigint").alias("page_id"), F.concat(F.lit("see @"), F.col("path"), F.lit(", and @missing/file")).alias("text"))
+    return files.expand_references(said, listed, "page_id", "text").select("page_id", "path")

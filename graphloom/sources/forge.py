@@ -81,8 +81,61 @@ class _GitLogReader(DataSourceReader):
             yield commit, parents.split(), author, datetime.fromtimestamp(int(at), timezone.utc), subject, [f for f in files.split("\n") if f]
 
 
+#: What `git` lists line by line, as (arguments, columns parted by tabs).
+RELATIONS = {
+    "files": (["ls-files", "--format=%(objectname)%x09%(path)"], "hash string, path string"),
+    "branches": (["for-each-ref", "--format=%(refname:short)%09%(objectname)%09%(HEAD)", "refs/heads"], "name string, commit string, head string"),
+    "remotes": (["config", "--get-regexp", r"^remote\..*\.url$"], "line string"),
+    "status": (["status", "--porcelain=v1"], "line string"),
+    "ancestors": (["rev-list", "HEAD"], "commit string"),
+    "diff": (["diff", "HEAD"], "line string"),
+}
+
+
+class GitRelation(DataSource):
+    """Relations of a local clone: spark.read.format("git").option("path", ...).option("relation", ...):
+    files, branches, remotes, status, ancestors (is a commit one? how many?), diff."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git"
+
+    def schema(self) -> str:
+        return RELATIONS[self.options["relation"]][1]
+
+    def reader(self, schema) -> DataSourceReader:
+        return _GitRelationReader(dict(self.options))
+
+
+class _GitRelationReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        args, columns = RELATIONS[self.options["relation"]]
+        n = columns.count(",") + 1
+        out = subprocess.run(["git", "-c", "safe.directory=*", "-C", self.options["path"], *args], capture_output=True).stdout
+        for line in out.decode("utf-8", "replace").splitlines():
+            yield tuple(line.split("\t", n - 1))
+
+
+def remotes(lines: DataFrame) -> DataFrame:
+    """(name, url, provider) of the relation `remotes`."""
+    url = F.regexp_extract("line", r"^\S+ (.*)$", 1)
+    return lines.select(F.regexp_extract("line", r"^remote\.(.*)\.url ", 1).alias("name"), url.alias("url"), provider(url).alias("provider"))
+
+
+def status(lines: DataFrame) -> DataFrame:
+    """(state, path) of the relation `status`."""
+    return lines.select(F.trim(F.left("line", F.lit(2))).alias("state"), F.substring("line", 4, 1 << 20).alias("path"))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GitLog)
+    spark.dataSource.register(GitRelation)
 
 
 def changed_files(log: DataFrame) -> DataFrame:

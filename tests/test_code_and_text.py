@@ -1,7 +1,5 @@
 """Source code, chunks and texts."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,9 +122,3 @@ def test_forge(spark, tmp_path):
     df = forge.items(spark, str(tmp_path / "i.json"))
     assert [(r.id, r.reasons) for r in forge.feed(df, "me").collect()] == [(1, ["mention", "review"])]
     assert [r.id for r in forge.pull_request_of(df, "fix").collect()] == [1]
-
-
-def test_git_log(spark):
-    forge.register(spark)
-    log = spark.read.format("gitlog").option("path", ".").option("max", "2").load()
-    assert 1 <= log.count() <= 2 and math.isfinite(len(log.first().commit))

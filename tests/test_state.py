@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from graphloom.operators import history, quality, router, vector
+from graphloom.sources import forge, state
 from graphloom.streaming import streams
 
 
@@ -99,3 +100,35 @@ def test_upsert_batches_count_once(spark, tmp_path):
         streams.upsert_batches(streams.stream(spark, path, schema, files=1), table, add, checkpoint).awaitTermination(120)
         time.sleep(0.1)
     assert {r.user_id: r.n for r in streams.current(spark, table).collect()} == {0: 67, 1: 67, 2: 66}
+
+
+def test_json_state_and_snapshots(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "tags": ["x"],\n "metadata": {"k": "v"}}')
+    (tmp_path / "b.json").write_text("no json")
+    assert [(r.id, r.tags, r.name) for r in state.read_json(spark, str(tmp_path), state.SESSION).collect()] == [("1", ["x"], None)]
+    for day, score in ((1, 50.0), (2, 60.0)):
+        state.snapshot(spark.createDataFrame([(score,)], "score double"), str(tmp_path / "reports"), F.lit(datetime(2024, 1, day)))
+    reports = spark.read.schema("score double, ts string").json(str(tmp_path / "reports"))
+    assert [r.score for r in state.latest_snapshot(reports).collect()] == [60.0]
+    state.append_log(spark.createDataFrame([(1, "found")], "ts int, text string"), str(tmp_path / "log"), "finding")
+    assert spark.read.json(str(tmp_path / "log")).first().kind == "finding"
+
+
+def test_git_relations(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@example.com", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    git("remote", "add", "origin", "https://github.com/x/y.git")
+    (tmp_path / "b.py").write_text("y")
+    forge.register(spark)
+    read = lambda r: spark.read.format("git").option("path", str(tmp_path)).option("relation", r).load()
+    assert [r.path for r in read("files").collect()] == ["a.py"]
+    assert [(r.state, r.path) for r in forge.status(read("status")).collect()] == [("??", "b.py")]
+    assert [(r.name, r.url, r.provider) for r in forge.remotes(read("remotes")).collect()] == [("origin", "https://github.com/x/y.git", "github")]
+    assert read("ancestors").count() == 1 and read("branches").count() == 1
+    log = spark.read.format("gitlog").option("path", str(tmp_path)).load()
+    assert [r.path for r in forge.changed_files(log).collect()] == ["a.py"] and log.first().subject == "one"
