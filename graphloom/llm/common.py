@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are turned into numpy arrays at a time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -51,6 +56,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def frugal(function):
+    """The function over batches, which gives the memory that it used back to the system at its end:
+    workers live on, and several of them share an executor's memory."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
     temporary one, but only for a local master."""
@@ -86,5 +112,17 @@ def discard(df: DataFrame, path: str | None = None) -> None:
         return
 
 
+#: Bytes of an Arrow batch between Spark and Python: a batch is held several times over, on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(df: DataFrame) -> DataFrame:
+    """Lowers the session's limit of an Arrow batch to BATCH_BYTES, unless it is lower already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key)) or 0) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, mix, pieces, raw, words
+from graphloom.llm.common import discard, frugal, materialize, mix, pieces, prepare, raw, words
 from graphloom.llm.grouping import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +63,7 @@ def signatures(elements: np.ndarray, owner: np.ndarray, count: int, m: int) -> n
             break
         if places is None:  # only now is the permutation needed as an array
             e, d, k = e[going], d[going], k[going]
-            places = np.broadcast_to(np.arange(m, dtype=np.uint16), (len(e), m)).copy()
+            places = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(e), m)).copy()
             rows = np.arange(len(e))
             places[rows, k] = 0
             places[:, 0] = k
@@ -88,9 +88,10 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 def sign(df: DataFrame, k: int, m: int, rows: int) -> DataFrame:
     """(id, n_shingles, print, bands) of df's (id, text); print: 128 bits of the whole set."""
 
+    @frugal
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1_000_000):
+            for part in pieces(batch, "text", 500_000):
                 sets = [shingles(t, k) for t in raw(part.column("text"))]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = bands(signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), m), rows)
@@ -108,6 +109,7 @@ def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 def full_sets(df: DataFrame, k: int) -> DataFrame:
     """(id, set) of df's (id, text)."""
 
+    @frugal
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -185,6 +187,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, m: int = 120,
     document; a row with a null id is linked with nothing and has component_id null, kept true.
     Other columns of df are left out. An empty df gives an empty result.
     """
+    prepare(df)
     source = df.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = materialize(sign(source, k, m, rows), "signatures")
     some = signed.where("n_shingles > 0 and id is not null")
