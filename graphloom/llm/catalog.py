@@ -25,7 +25,7 @@ def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.quality(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_share", "coverage")
+    return quality.quality(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +60,56 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing)}
 
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _near_sql(k: int, percent: int) -> str:
+    """Links by counting common shingles of all pairs, components by recursion."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {k - 1}) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a), g AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m, w.doc_id)) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+
+def _vectors_sql(threshold: float) -> str:
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= {threshold}),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a), g AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept FROM v LEFT JOIN n USING (vec_id) LEFT JOIN g USING (vec_id)"""
+
+
+def _quality_sql(rules: quality.Rules) -> str:
+    """Every word in a row of its own; an n-gram's words are covered if its text occurs twice."""
+    steps, limits = [], []
+    for n in sorted({*rules.coverage, quality.WINDOW}):
+        steps.append(f"""g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS x FROM words WHERE i + {n - 1} <= len(w))),
+c{n} AS (SELECT doc_id, count(*) AS k, sum(length(w[j])) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS j FROM g{n} WHERE c > 1) JOIN d USING (doc_id) GROUP BY doc_id)""")
+    for n, most in rules.coverage.items():
+        limits.append(f"coalesce(c{n}.chars, 0) / greatest(1, word_chars)::DOUBLE > {most}")
+    joins = " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = m.doc_id" for n in sorted({*rules.coverage, quality.WINDOW}))
+    words_of = WORDS.format("coalesce(text, '')")
+    return f"""WITH d AS (SELECT doc_id, {words_of} AS w, coalesce(text, '') AS t FROM documents), words AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), {', '.join(steps)},
+l AS (SELECT doc_id, x, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, count(*) OVER (PARTITION BY doc_id, x) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, sum(CASE WHEN c > 1 THEN chars ELSE 0 END) / greatest(1, sum(chars))::DOUBLE AS share FROM l GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(share, 0) AS share FROM d LEFT JOIN lines USING (doc_id)),
+r AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(c{quality.WINDOW}.k, 0) AS n_repeat_words, share > {rules.lines} OR n_symbols > {rules.symbols}::DOUBLE * n_words OR {' OR '.join(limits)} AS bad FROM m {joins}),
+f AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM f"""
+
+
+def _mixing_sql(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> str:
+    words_of = WORDS.format("coalesce(text, '')")
+    return f"""WITH d AS (SELECT doc_id, source, len({words_of})::BIGINT AS size, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS symbols FROM documents),
+k AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)}::DOUBLE) / greatest(0.25::DOUBLE, coalesce(size::DOUBLE / nullif(size + symbols, 0), 1)) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract({list(map(float, weights))}::DOUBLE[], ((row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % {len(weights)} + 1)::INT) AS weight FROM k GROUP BY source),
+c AS (SELECT *, {most}::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, ({share}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE cap > weight * level), 'inf'::DOUBLE)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+p AS (SELECT doc_id, k.source, size, source_size, target, epochs, target - epochs * source_size - coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, round(room))))::BIGINT AS taken, source FROM p"""
+
+
 #: Only what SQL expresses at a bearable cost; the rest is tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": _near_sql(2, 80), "op3_quality": _quality_sql(quality.Rules()), "op5_near_vectors": _vectors_sql(0.95), "op7_mixing": _mixing_sql()}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, raw
+from graphloom.llm.common import discard, materialize, prepare, raw
 
 
 def _counted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -31,8 +31,9 @@ def quality_weight(size: Column, symbols: Column, least: float = 0.25) -> Column
 
 
 def sampling_key(weight: Column, seed: int, *identity: Column) -> Column:
-    """-ln(u) / weight; u in (0, 1) comes from a hash of what identifies the row."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *identity), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    """-ln(u) / weight; u in (0, 1) comes from 52 bits of the MD5 of what identifies the row."""
+    name = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("null")) for c in identity))
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
 
@@ -70,6 +71,7 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     A source may hold any share of the rows: rows are dealt by ranges of (source, key) that Spark
     balances, sums of whole ranges are carried forward, and only then are rows summed in a range.
     """
+    prepare(df)
     rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("source"), count_words(F.col(f"`{text}`").cast("string")).alias("w")).select("_id", "source", "w.*")
     rows = materialize(rows.select("_id", "source", "size", sampling_key(quality_weight(F.col("size"), F.col("symbols")), seed, F.col("_id"), F.col("size")).alias("sampling_key")), "sizes")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
