@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, minhash, mixing, packing, passages
-from graphloom.llm.common import materialize, read
+from graphloom.llm.common import discard, materialize, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage on all that the one before it kept; each result is written and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "stored_at"):
+            discard(before)
     return docs

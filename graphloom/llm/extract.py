@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import prepare
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 _TOKENS = re.compile(r"[a-z]+")
@@ -285,6 +287,7 @@ def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     names are replaced; an empty df gives an empty result. No shuffle.
     """
 
+    prepare(df)
     @F.arrow_udf("string")
     def extracted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize
+from graphloom.llm.common import discard, frugal, materialize
 
 #: Nodes that a task's union-find holds before it sends its links on.
 HELD = 500_000
@@ -27,6 +27,7 @@ def _stars(parent: dict[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+@frugal
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition as stars around the smallest node of each set."""
     parent: dict[int, int] = {}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lengths
+from graphloom.llm.common import frugal, lengths, prepare
 
 #: Hashed n-gram dimensions; n-gram lengths in bytes.
 DIMENSIONS, GRAMS = 4096, (2, 3)
@@ -94,8 +94,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     rows of each language, the smallest hashes of id: the bound of what reaches the driver.
     radius: `slack` times the cosine that all but one in a hundred sampled texts reach.
     """
+    prepare(df)
     known = df.select(F.col(f"`{id}`").cast("string").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang")).where("_lang is not null and _text is not null")
 
+    @frugal
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, int] = {}
         found = np.zeros(DIMENSIONS, np.int64)
@@ -196,12 +198,14 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     there was nothing to learn from. Whole texts count, however long. Columns of df with the
     results' names are replaced. The model is a few hundred KB whatever the input.
     """
+    prepare(df)
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     return df.select(*kept, _predictor(model)(F.col(f"`{text}`").cast("string")).alias("_predicted")).select(*kept, "_predicted.*")
 
 
 def keep_identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows of df that identify() does not reject, with df's columns as they are."""
+    prepare(df)
     return df.where(~_predictor(model)(F.col(f"`{text}`").cast("string"))["rejected"])
 
 

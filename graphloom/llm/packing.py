@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
 import zlib
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import frugal, materialize, prepare
 
 #: Texts of these characters alone are encoded from the rank file, which holds the same
 #: vocabulary and is several times faster; both libraries cut them alike. All other texts go
@@ -26,18 +27,22 @@ from graphloom.llm.common import materialize
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
 
 
-@functools.cache
 def encoder(vocabulary: str, ranks: str | None):
-    """A function from a text to its ids as little-endian uint32."""
+    """A function from a text to its ids as little-endian uint32. The tokenizers library is loaded when
+    a text first needs it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(vocabulary)
-    model.no_truncation()
-    model.no_padding()
+    @functools.cache
+    def library():
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(vocabulary)
+        model.no_truncation()
+        model.no_padding()
+        return model
 
     def slow(text: str) -> np.ndarray:
-        return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(library().encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     if ranks is None:
         return slow
@@ -45,16 +50,24 @@ def encoder(vocabulary: str, ranks: str | None):
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {x.content: i for i, x in model.get_added_tokens_decoder().items()}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    special = _special(vocabulary)
 
     def encode(text: str) -> np.ndarray:
-        return fast.encode_to_numpy(text, allowed_special="all").astype("<u4") if _PLAIN.fullmatch(text) else slow(text)
+        if not _PLAIN.fullmatch(text) or any(x in text for x in special):
+            return slow(text)
+        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
     return encode
 
 
+def _special(vocabulary: str) -> list[str]:
+    """The special strings of a vocabulary file."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return [x["content"] for x in json.load(f).get("added_tokens", [])]
+
+
 def decompose(n: int, size: int) -> list[int]:
     """Lengths of the pieces of n tokens: full sequences, then the powers of two of the rest."""
     return [size] * (n // size) + [1 << k for k in range(size.bit_length() - 1, -1, -1) if (n % size) >> k & 1]
@@ -70,11 +83,13 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, id: str = "do
     longest first; the numbers are fixed once by a written table, so a lost task doesn't change
     them. Ids are never shuffled: only counts of pieces by task and length are.
     """
+    prepare(df)
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     schema = f"{id} {df.schema[id].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, nth bigint" + ", ids array<int>" * ids
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(vocabulary, ranks), TaskContext.get().partitionId(), {}
         for batch in batches:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lengths, mix, raw
+from graphloom.llm.common import lengths, mix, prepare, raw
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _REST = bytes(range(0x80, 0xC0))  # continuation bytes of UTF-8: not the first of a character
@@ -102,6 +102,7 @@ def quality(df: DataFrame, rules: Rules | None = None, text: str = "text") -> Da
     long; rows that repeat are measured each for itself; columns of df with the results' names are
     replaced; an empty df gives an empty result. No shuffle.
     """
+    prepare(df)
     rules = rules or Rules()
     ns = sorted(rules.coverage)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, mix, pieces, raw, words
+from graphloom.llm.common import discard, materialize, mix, pieces, prepare, raw, words
 
 #: Distinct words a task gathers before it sends their counts on.
 HELD = 300_000
@@ -236,6 +236,7 @@ def score(df: DataFrame, learn: Column, vocabulary_path: str, id: str = "doc_id"
     out; with no training rows c and N are 0. head: the commonest words, whose figures every task
     holds in a table of that bounded size; all other words are looked up by a join on the word.
     """
+    prepare(df)
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     source = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     table = materialize(source.select("text", "learn").mapInArrow(_sums, "word binary, trained bigint, total bigint").groupBy("word").agg(F.sum("trained").alias("c"), F.sum("total").alias("total")), "words")

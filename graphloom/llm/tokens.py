@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import lengths, prepare
+
 #: Between a character that is no white space and a space before a letter, the byte-level
 #: pattern always cuts: white space only ever begins its matches.
 _SAFE = re.compile(r"(?<=\S) (?=[A-Za-z])")
@@ -68,12 +70,11 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
     each counts for itself. Columns of df with the names of the results are replaced; an empty df
     gives an empty result. No shuffle, no driver work; a lost task is simply run again.
     """
+    prepare(df)
     kind = pa.struct([("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     @F.arrow_udf("struct<n_bytes:bigint,n_tokens:bigint>")
     def measured(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from graphloom.llm.common import lengths
-
         count, cut = tokenizer(vocabulary), cuts_safely(vocabulary)
         for column in columns:
             totals, batch, owners, size = [0] * len(column), [], [], 0
