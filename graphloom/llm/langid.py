@@ -90,7 +90,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     """Learns from rows with a language and a text; None if there are none.
 
     Document frequencies count all of them, whole, in one pass without a shuffle of texts (a task
-    sends one row for each language). The centroids are fitted on a sample of about `per_language`
+    sends its sums alone). The centroids are fitted on a sample of about `per_language`
     rows of each language, the smallest hashes of id: the bound of what reaches the driver.
     radius: `slack` times the cosine that all but one in a hundred sampled texts reach.
     """
@@ -106,17 +106,18 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
                 if has_letter(own := value.as_py()):
                     found += counts([own])[0] > 0
                     rows[language] = rows.get(language, 0) + 1
-        names = list(rows) or [None]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([rows.get(x, 0) for x in names], pa.int64()), pa.array([found.tolist()] + [None] * (len(names) - 1), pa.list_(pa.int64()))], names=["lang", "n", "found"])
+        at = np.flatnonzero(found)
+        keys = [None] * len(at) + list(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([*at.tolist(), *[-1] * len(rows)], pa.int64()), pa.array([*found[at].tolist(), *rows.values()], pa.int64())], names=["lang", "gram", "n"])
 
-    per_task = known.select("_text", "_lang").mapInArrow(frequencies, "lang string, n bigint, found array<bigint>")
+    # Summed on the executors: one row for each dimension and language reaches the driver.
     seen: dict[str, int] = {}
     total = np.zeros(DIMENSIONS, np.int64)
-    for row in per_task.toLocalIterator():
-        if row.lang is not None:
-            seen[row.lang] = seen.get(row.lang, 0) + row.n
-        if row.found is not None:
-            total += np.array(row.found)
+    for row in known.select("_text", "_lang").mapInArrow(frequencies, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
+        if row.lang is None:
+            total[row.gram] = row.n
+        else:
+            seen[row.lang] = row.n
     languages = sorted(seen)
     if not languages:
         return None
