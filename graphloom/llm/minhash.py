@@ -128,7 +128,7 @@ def links(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     component than h, and y any other member of yet another component. They need a common part of
     c = percent / (100 + percent) * (|x| + |y|), and share min(|x in h|, |y in h|) inside h at most. So
     either that is enough, which leaves only y of a few sizes, looked up by size; or they share some
-    shingles that h lacks, looked up by shingle, and as many of them as are missing. Heavily
+    shingles that h lacks, looked up by their rarest shingles. Heavily
     changed copies rarely share changes, so a bucket full of copies costs little more comparisons
     than it has members, and no link between components is lost. A member of several hubs meets
     those that have its nearest hub in common with it there only.
@@ -169,10 +169,15 @@ def links(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     fresh = y.select(F.col("hub").alias("a"), F.col("id_y").alias("b"), "i_y", "n_y", "c_y", "c_hub_y", "p_y").join(a, "a").join(b, "b")
     fresh = fresh.select(F.col("a").alias("hub"), F.col("b").alias("id_y"), "n_y", "i_y", "c_y", "c_hub_y", "p_y", F.explode(F.array_except("set_b", "set_a")).alias("e"))
     fresh = materialize(fresh, "changes")
-    several = fresh.groupBy("hub", "e").agg(F.min("c_y").alias("least"), F.max("c_y").alias("most"), F.min("p_y").alias("p1"), F.max("p_y").alias("p2")).where("least <> most and (p1 <> p2 or p1 = hub)").select("hub", "e")
-    fresh = materialize(fresh.join(several, ["hub", "e"], "left_semi"), "shared")
-    of_x = fresh.where("c_y <> c_hub_y").select(F.col("hub").alias("hub_x"), F.col("e").alias("e_x"), *(F.col(f"{c}_y").alias(f"{c}_x") for c in ("id", "n", "i", "c", "p")))
-    outside = of_x.join(fresh, (F.col("hub_x") == F.col("hub")) & (F.col("e_x") == F.col("e")) & apart).groupBy("hub", "id_x", "id_y").agg(F.count("*").alias("common"), F.first(missing).alias("missing")).where("common >= missing").select(*pair)
+    several = fresh.groupBy("hub", "e").agg(F.min("c_y").alias("least"), F.max("c_y").alias("most"), F.min("p_y").alias("p1"), F.max("p_y").alias("p2"), F.count("*").alias("held"))
+    several = several.where("least <> most and (p1 <> p2 or p1 = hub)").select("hub", "e", "held")
+    # Of m common shingles one is among all but m - 1 of either member's, so the rarest suffice.
+    own = Window.partitionBy("hub", "id_y")
+    fresh = fresh.join(several, ["hub", "e"]).withColumn("d_y", F.count("*").over(own)).withColumn("r_y", F.row_number().over(own.orderBy("held", "e"))).drop("held")
+    fresh = materialize(fresh, "shared")
+    of_x = fresh.where("c_y <> c_hub_y").select(F.col("hub").alias("hub_x"), F.col("e").alias("e_x"), *(F.col(f"{c}_y").alias(f"{c}_x") for c in ("id", "n", "i", "c", "p", "d", "r")))
+    rare = (missing >= 1) & (F.col("r_x") <= F.col("d_x") - missing + 1) & (F.col("r_y") <= F.col("d_y") - missing + 1)
+    outside = of_x.join(fresh, (F.col("hub_x") == F.col("hub")) & (F.col("e_x") == F.col("e")) & apart & rare).select(*pair)
     rest = inside.union(outside).distinct()
     return found.union(materialize(shares(rest).where(same).select("a", "b"), "links"))
 
