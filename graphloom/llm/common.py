@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that are broadcast at most, by a count; with more, the same join shuffles.
+MOST_BROADCAST = 2_000_000
 #: Bytes of text that are turned into numpy arrays at a time.
 CHUNK_BYTES = 1_000_000
 

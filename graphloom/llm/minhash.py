@@ -11,15 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, frugal, materialize, mix, pieces, prepare, raw, words
+from graphloom.llm.common import MOST_BROADCAST, discard, frugal, materialize, mix, pieces, prepare, raw, words
 from graphloom.llm.grouping import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Ids that are broadcast at most; with more, the same join shuffles.
-MOST_BROADCAST = 2_000_000
-
-
 def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's k-word shingles; with fewer words, of the whole
     sequence; none without words."""

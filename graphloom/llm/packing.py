@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import frugal, materialize, prepare
+from graphloom.llm.common import MOST_BROADCAST, frugal, materialize, prepare
 
 #: Texts of these characters alone are encoded from the rank file, which holds the same
 #: vocabulary and is several times faster; both libraries cut them alike. All other texts go
@@ -124,7 +124,9 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, id: str = "do
     source = df.select(F.col(f"`{id}`").alias(id), F.col(f"`{text}`").cast("string").alias("_text"))
     cuts = materialize(source.mapInArrow(cut, schema), "pieces")
     # One row for each task and length: counts that place a task's sequences after those before it.
-    counts = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
+    counts = materialize(cuts.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # So few rows that sending them to every task spares a shuffle of the ids; beyond the bound they shuffle.
+    firsts = F.broadcast(firsts) if counts.count() <= MOST_BROADCAST else firsts
     return cuts.join(firsts, ["length", "part"]).select(id, "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), *["ids"] * ids)
