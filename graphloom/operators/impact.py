@@ -110,14 +110,18 @@ def module_map(paths: DataFrame) -> DataFrame:
     return paths.where(F.endswith("path", F.lit(".py"))).select(F.translate(stem, "/", ".").alias("module"), "path")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, value: str, default: str = "<global>") -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, value: str, default: str = "<global>", width: int = 64) -> DataFrame:
     """points with `value` of the first range (by start, then value) of the same key that holds them,
-    else the default. The key makes it a hash or sort-merge join with a residual condition."""
-    points = points.withColumn("_row", F.monotonically_increasing_id())
-    r = ranges.select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value"))
-    hit = points.join(r, (F.col(key) == F.col("_key")) & F.col(at).between(F.col("_start"), F.col("_end")), "left")
-    first = first_match(hit, ["_row"], [F.asc_nulls_last("_start"), "_value"])
-    return first.withColumn(value, F.coalesce("_value", F.lit(default))).drop("_row", "_key", "_start", "_end", "_value")
+    else the default. Ranges are cut into bins of `width`, so that the join is one of equality on key
+    and bin, and a point meets only the ranges of its bin."""
+    bin = lambda c: F.floor(c / width).cast("bigint")
+    r = ranges.where(F.col(start) <= F.col(end)).select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value"))
+    r = r.withColumn("_bin", F.explode(F.sequence(bin(F.col("_start")), bin(F.col("_end")))))
+    asked = points.select(F.col(key).alias("_key"), F.col(at).alias("_at")).where("_key is not null and _at is not null").distinct().withColumn("_bin", bin(F.col("_at")))
+    hit = asked.join(r, ["_key", "_bin"]).where(F.col("_at").between(F.col("_start"), F.col("_end")))
+    first = hit.groupBy("_key", "_at").agg(F.min(F.struct("_start", "_value")).alias("_first"))
+    found = points.join(first, (F.col(key) == F.col("_key")) & (F.col(at) == F.col("_at")), "left")
+    return found.select(*points.columns, F.coalesce("_first._value", F.lit(default)).alias(value))
 
 
 def loose_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
