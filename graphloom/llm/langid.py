@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import frugal, lengths, prepare
+from graphloom.llm.common import frugal, lengths, prepare, release
 
 #: Hashed n-gram dimensions; n-gram lengths in bytes.
 DIMENSIONS, GRAMS = 4096, (2, 3)
@@ -188,6 +188,7 @@ def _predictor(model: Model | None):
                         size = 0
                 flush()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], names=["lang_pred", "score", "rejected"])
+        release()
 
     return predicted
 
