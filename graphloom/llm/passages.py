@@ -23,6 +23,8 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 32
 #: Words beyond a chain's ends, and between its parts, that alignment looks at.
 REACH = 24
+#: Words before and after a seed whose signs travel with it.
+SIGNS = 16
 #: What a word of gap costs a chain, in matched words.
 GAP_COST = 0.1
 
@@ -46,26 +48,50 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _paired(h: np.ndarray, owner: np.ndarray, pos: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """For rows sorted by (h, owner, pos), with the first row of each h: the hub's place that a row goes
-    with. The n-th time that a text holds a seed goes with the n-th time of the hub, or its last."""
+def _paired(h: np.ndarray, owner: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For rows sorted by (h, owner, place), with the first row of each h: the hub's place that a row goes
+    with, as a row. The n-th time that a text holds a seed goes with the n-th time of the hub, or its last."""
     run = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
     size = np.diff(np.r_[run, len(h)])
     rank = np.arange(len(h)) - np.repeat(run, size)
     of_hub = size[np.searchsorted(run, head)]
-    return pos[head + np.minimum(rank, of_hub - 1)]
+    return head + np.minimum(rank, of_hub - 1)
+
+
+def signs(h: np.ndarray) -> np.ndarray:
+    """For each place and the end, four bits of each of the SIGNS words from there on, the nearest lowest."""
+    x = np.r_[h >> np.uint64(60), np.zeros(1, np.uint64)]
+    for n in (1, 2, 4, 8):
+        x[: max(0, len(x) - n)] |= x[n:] << np.uint64(4 * n)
+    return x
+
+
+def may_go_on(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether reach() can find anything in REACH words that begin like these signs. It never says no
+    where reach() goes on: equal words have equal signs, and words behind the signs count as equal."""
+    out = np.zeros(len(a), bool)
+    for i, j in ((0, 0), *SKIPS):
+        x = (a >> np.uint64(4 * i)) ^ (b >> np.uint64(4 * j))
+        worth = np.zeros(len(a), np.int8)
+        for _ in range(SIGNS - max(i, j)):
+            worth += np.where(x & np.uint64(15), np.int8(-2), np.int8(1))
+            out |= worth > 2 * (i + j)
+            x >>= np.uint64(4)
+        out |= worth + (REACH - SIGNS) > 2 * (i + j)
+    return out
 
 
 def _seeds(k: int, every: int):
-    """(hash, id, pos, hub, hub_pos): each text's seeds, the least k-gram hash of every `every` places.
+    """(hash, id, pos, behind, ahead, hub, hub_pos, near): each text's seeds, the least k-gram hash of every `every` places.
     Of a seed that several texts of a chunk hold, only the first text's go on (hub null); the others
-    are anchors to it already, so a passage that very many texts share is shuffled once a chunk."""
+    are anchors to it already, so a passage that very many texts share is shuffled once a chunk.
+    behind and ahead: the signs of the words around; near: see _anchors."""
 
     @frugal
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 2_000_000):
-                found, owner, at = [], [], []
+                found, owner, at, around = [], [], [], []
                 for row, text in zip(part.column("id").to_pylist(), raw(part.column("text")), strict=True):
                     h = mix(hashes(text))
                     if len(h) < k:
@@ -78,44 +104,57 @@ def _seeds(k: int, every: int):
                     found.append(rolling[pos])
                     owner.append(np.full(len(pos), row, np.int64))
                     at.append(pos)
+                    around.append((signs(h[::-1])[len(h) - pos], signs(h)[pos + k]))
                 if not found:
                     continue
                 h, owner, at = np.concatenate(found).view(np.int64), np.concatenate(owner), np.concatenate(at)
+                behind, ahead = (np.concatenate(x) for x in zip(*around, strict=True))
                 order = np.lexsort((at, owner, h))
-                h, owner, at = h[order], owner[order], at[order]
+                h, owner, at, behind, ahead = h[order], owner[order], at[order], behind[order], ahead[order]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 head = np.repeat(first, np.diff(np.r_[first, len(h)]))
                 lead = owner == owner[head]
-                hub, hub_pos = (pa.array(x, pa.int64(), mask=lead) for x in (owner[head], _paired(h, owner, at, head)))
+                with_ = _paired(h, owner, head)
+                near = np.zeros(len(h), np.int8)
+                near[~lead] = _near(behind, ahead, np.flatnonzero(~lead), with_[~lead])
+                hub, hub_pos, near = (pa.array(x, t, mask=lead) for x, t in ((owner[head], pa.int64()), (at[with_], pa.int64()), (near, pa.int8())))
+                behind, ahead = (pa.array(x.view(np.int64), pa.int64(), mask=~lead) for x in (behind, ahead))
                 spread, mine, pos = np.where(lead, h, mix(owner.view(np.uint64)).view(np.int64)), owner, at
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(mine), pa.array(pos, pa.int64()), hub, hub_pos], names=["hash", "id", "pos", "hub", "hub_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(mine), pa.array(pos, pa.int64()), behind, ahead, hub, hub_pos, near], names=["hash", "id", "pos", "behind", "ahead", "hub", "hub_pos", "near"])
 
     return seeds
 
 
+def _near(behind: np.ndarray, ahead: np.ndarray, own: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """1 where the words before two rows' seeds may go on alike, plus 2 where those after them may."""
+    return may_go_on(behind[own], behind[hub]).astype(np.int8) + np.int8(2) * may_go_on(ahead[own], ahead[hub])
+
+
 @frugal
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hash, id, pos): each seed's first text is the hub of the others. Between batches
-    the hub's rows of the last seed are held, and those of its last text: a text's length at most."""
+    the hub's rows of the last seed are held, and those of its last text: a text's length at most.
+    near: 1 where the words before the seed may go on alike, plus 2 where those after it may."""
     held: list[np.ndarray] = []
     for batch in batches:
         ready = batch.filter(batch.column("hub").is_valid())
         seeds = batch.filter(batch.column("hub").is_null())
         if ready.num_rows:
-            yield ready.select(["id", "pos", "hub", "hub_pos"])
+            yield ready.select(["id", "pos", "hub", "hub_pos", "near"])
         if not seeds.num_rows:
             continue
-        rows = [seeds.column(c).to_numpy() for c in ("hash", "id", "pos")]
+        rows = [seeds.column(c).to_numpy() for c in ("hash", "id", "pos")] + [seeds.column(c).to_numpy().view(np.uint64) for c in ("behind", "ahead")]
         done = len(held[0]) if held else 0
-        h, owner, pos = (np.concatenate(x) for x in zip(held, rows, strict=True)) if held else rows
+        h, owner, pos, behind, ahead = (np.concatenate(x) for x in zip(held, rows, strict=True)) if held else rows
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         head = np.repeat(first, np.diff(np.r_[first, len(h)]))
         keep = (owner != owner[head]) & (np.arange(len(h)) >= done)
-        hub_pos = _paired(h, owner, pos, head)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (owner, pos, owner[head], hub_pos)], names=["id", "pos", "hub", "hub_pos"])
+            with_ = _paired(h, owner, head)[keep]
+            near = _near(behind, ahead, np.flatnonzero(keep), with_)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (owner[keep], pos[keep], owner[head][keep], pos[with_])), pa.array(near)], names=["id", "pos", "hub", "hub_pos", "near"])
         last = (h == h[-1]) & ((owner == owner[first[-1]]) | (owner == owner[-1]))
-        held = [h[last], owner[last], pos[last]]
+        held = [x[last] for x in (h, owner, pos, behind, ahead)]
 
 
 class Fenwick:
@@ -181,9 +220,18 @@ def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
+def farthest(chain: list[tuple[int, int, int]], k: int, near: dict[tuple[int, int], int]) -> int:
+    """Words that no passage of the chain exceeds: from the first place that one of its segments may
+    reach back to, to the last that one may reach forward to. near: of each (pos, hub_pos)."""
+    first = min(s - REACH * (near[s, h] & 1) for s, _, h in chain)
+    last = max(e + REACH * (near[e - k, h + e - k - s] >> 1) for s, e, h in chain)
+    return last - first
+
+
 def _chained(k: int, least: int):
     """Chains of rows sorted by (id, hub): (chain, id, hub, parts, own_blocks, hub_blocks). Chains that
-    REACH more words don't bring to `least` are dropped: a seed or two that texts share by chance."""
+    alignment can't bring to `least` are dropped: a seed or two that texts share by chance. It looks
+    at REACH words beyond either end, of which near tells where none can match."""
 
     @frugal
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +240,19 @@ def _chained(k: int, least: int):
 
         def solve(c: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal serial
-            own, pos, hub, hub_pos = c
+            own, pos, hub, hub_pos, near = c
             cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (hub[1:] != hub[:-1])])
             out: list[list] = [[] for _ in range(6)]
             for a, b in zip(cut, np.r_[cut[1:], len(own)], strict=True):
+                if b - a == 1 and k + REACH * ((near[a] & 1) + (near[a] >> 1)) < least:
+                    continue
+                at = None
                 for chain in chains(segments(pos[a:b], hub_pos[a:b], k)):
                     start, end = chain[0][0], chain[-1][1]
-                    if end - start + REACH < least:
-                        continue
+                    if end - start < least:
+                        at = at or dict(zip(zip(pos[a:b].tolist(), hub_pos[a:b].tolist(), strict=True), near[a:b].tolist(), strict=True))
+                        if farthest(chain, k, at) < least:
+                            continue
                     spots = [(start - REACH, start), (end, end + REACH)] + [(p[1], q[0]) for p, q in zip(chain, chain[1:], strict=False)]
                     last = chain[-1][2] + chain[-1][1] - chain[-1][0]
                     hub_spots = [(chain[0][2] - REACH, chain[0][2]), (last, last + REACH)] + [(p[2] + p[1] - p[0], q[2]) for p, q in zip(chain, chain[1:], strict=False)]
@@ -211,7 +264,7 @@ def _chained(k: int, least: int):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["chain", "id", "hub", "parts", "own_blocks", "hub_blocks"])
 
         for batch in batches:
-            c = [batch.column(n).to_numpy() for n in ("id", "pos", "hub", "hub_pos")]
+            c = [batch.column(n).to_numpy() for n in ("id", "pos", "hub", "hub_pos", "near")]
             if rest is not None:
                 c = [np.concatenate(x) for x in zip(rest, c, strict=True)]
             same = np.flatnonzero((c[0] != c[0][-1]) | (c[2] != c[2][-1])) if len(c[0]) else []
@@ -373,8 +426,8 @@ def repeated_passages(df: DataFrame, k: int = 5, least: int = 40, alike: float =
     prepare(df)
     source = df.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null and text is not null")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = source.mapInArrow(_seeds(k, every), "hash bigint, id bigint, pos bigint, hub bigint, hub_pos bigint")
-    anchors = seeds.repartition(n, "hash").sortWithinPartitions("hash", "id", "pos").mapInArrow(_anchors, "id bigint, pos bigint, hub bigint, hub_pos bigint")
+    seeds = source.mapInArrow(_seeds(k, every), "hash bigint, id bigint, pos bigint, behind bigint, ahead bigint, hub bigint, hub_pos bigint, near tinyint")
+    anchors = seeds.repartition(n, "hash").sortWithinPartitions("hash", "id", "pos").mapInArrow(_anchors, "id bigint, pos bigint, hub bigint, hub_pos bigint, near tinyint")
     grouped = anchors.repartition(n, "id", "hub").sortWithinPartitions("id", "hub")
     found = materialize(grouped.mapInArrow(_chained(k, least), "chain bigint, id bigint, hub bigint, parts array<bigint>, own_blocks array<bigint>, hub_blocks array<bigint>"), "chains")
     ids = materialize(found.select("id").union(found.select(F.col("hub").alias("id"))).distinct(), "ids")

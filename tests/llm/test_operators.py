@@ -345,6 +345,48 @@ def test_fuzzy_passages_are_found_and_cut(spark):
     assert all(len(left[i]) <= len(rows[i][1].split()) - (b - a) + 8 for i, (a, b) in places.items())
 
 
+def test_scattered_changes(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 300, 2):
+        passage = fresh(50)
+        copy = [fresh(1)[0] if n % 7 == 3 else w for n, w in enumerate(passage)]
+        rows += [(i, " ".join(fresh(40) + passage + fresh(40))), (i + 1, " ".join(fresh(40) + copy + fresh(40)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want, short = set(), 0
+    for i in range(0, 300, 2):  # every chain aligned, none dropped before
+        hub, own = (_own_seeds(rows[j][1]) for j in (i, i + 1))
+        pairs = [(p, hub[h]) for h, p in own.items() if h in hub]
+        blocks = [{n: x[n * 32 : n * 32 + 32] for n in range(-(-len(x) // 32))} for x in (passages.hashes(rows[j][1].encode()) for j in (i + 1, i))]
+        for chain in passages.chains(passages.segments(*map(np.array, zip(*pairs, strict=True)), 5)) if pairs else []:
+            got = passages.align([n for p in chain for n in p], *blocks, 40, 0.8)
+            want |= {(i + 1, x, y) for x, y, *_ in got}
+            short += bool(got) and chain[-1][1] - chain[0][0] < 16
+    assert short >= 10 and want == {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(df).collect()}
+
+
+def _own_seeds(text, k=5, every=6):
+    """The place of each seed of a text whose words all differ."""
+    h = passages.mix(passages.hashes(text.encode()))
+    rolling = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        rolling = rolling * passages._GOLD + h[i : len(h) - k + 1 + i]
+    rolling = passages.mix(rolling)
+    return {int(rolling[p]): int(p) for p in passages.winnow(rolling, every)}
+
+
+def test_signs_never_hide_what_reach_finds():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        a = rng.integers(0, 1 << 62, 24, np.uint64) << np.uint64(2)
+        b = a[rng.integers(0, 4) :].copy()
+        b[rng.random(len(b)) < rng.choice([0.1, 0.3, 0.5, 0.9])] = 7
+        b = np.r_[rng.integers(0, 1 << 62, rng.integers(0, 3), np.uint64), b][:24]
+        if passages.reach(a, b)[0]:
+            assert passages.may_go_on(passages.signs(a)[:1], passages.signs(b)[:1])[0]
+
+
 def test_passages_of_odd_rows(spark, odd):
     found = passages.repeated_passages(odd)
     assert {(r.doc_id, r.source_doc_id) for r in found.collect()} == {(5, 4)}
