@@ -55,9 +55,12 @@ def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _pairs(ids: np.ndarray, s: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row the k closest others that beat its worst neighbour so far."""
+def _pairs(ids: np.ndarray, s: np.ndarray, worst: np.ndarray, k: int, apart: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the k closest others that beat its worst neighbour so far; those
+    that have the same value of a column of `apart` don't count."""
     np.fill_diagonal(s, -2.0)
+    for value in apart:
+        s[value[:, None] == value[None, :]] = -2.0
     if s.shape[1] > k:
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
     else:
@@ -75,8 +78,8 @@ def _batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["u", "v", "s"])
 
 
-def _joined(keys: list[str], most: int, k: int):
-    """Compares the vectors of each group of sorted rows (*keys, id, worst, x)."""
+def _joined(keys: list[str], most: int, k: int, apart: list[str] = ()):
+    """Compares the vectors of each group of sorted rows (*keys, id, worst, x, *apart)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -84,7 +87,7 @@ def _joined(keys: list[str], most: int, k: int):
             if group.num_rows < 2:
                 continue
             x = unit(group.column("x"))
-            found = _pairs(group.column("id").to_numpy(), x @ x.T, group.column("worst").to_numpy(), k)
+            found = _pairs(group.column("id").to_numpy(), x @ x.T, group.column("worst").to_numpy(), k, [group.column(c).to_numpy() for c in apart])
             if len(found[0]):
                 parts.append(found)
                 n += len(found[0])
@@ -129,13 +132,16 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 
 def refine(vectors: DataFrame, lists: DataFrame, k: int, part: int) -> DataFrame:
-    """Neighbours of neighbours: around each vector, those in its list and those that list it are
-    compared with each other, in parts of `part` around vectors that very many list."""
+    """Neighbours of neighbours: around each vector, those in its list and those that list it are all
+    compared with each other; around vectors that very many list, in pairs of blocks of about `part`."""
     worst = lists.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(-2.0).alias("worst"))
     known = vectors.join(worst, vectors["id"] == worst["u"], "left").select("id", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "x")
     around = lists.select(F.col("u").alias("centre"), F.col("v").alias("id")).union(lists.select(F.col("v").alias("centre"), F.col("u").alias("id"))).union(vectors.select(F.col("id").alias("centre"), "id")).distinct()
-    grouped = around.join(known, "id").repartition("centre", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("centre")
-    return grouped.select("centre", "id", "worst", "x").mapInArrow(_joined(["centre"], part, k), _FOUND)
+    sized = around.join(around.groupBy("centre").agg(F.ceil(F.count("*") / part).cast("int").alias("blocks")), "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
+    dealt = sized.select("centre", "id", "block", pair.alias("pair")).select("centre", "id", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.when(F.col("pair.i") == F.col("pair.j"), F.col("id")).otherwise(F.col("block")).alias("side"))
+    grouped = dealt.join(known, "id").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return grouped.select("centre", "i", "j", "id", "worst", "x", "side").mapInArrow(_joined(["centre", "i", "j"], 1 << 40, k, ["side"]), _FOUND)
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:

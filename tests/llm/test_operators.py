@@ -284,6 +284,19 @@ def test_blocks_count_like_one_matrix(spark, monkeypatch):
     assert {r.id: r.n for r in vectors.count_links(members, 0.95).collect()} == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("part", [16, 512])
+def test_all_neighbours_of_a_vector_meet(spark, part):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).astype("<f8").tobytes()) for i in range(41)], "id bigint, x binary")
+    lists = spark.createDataFrame([(0, i, 0.9) for i in range(1, 41)], "u bigint, v bigint, s double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {(r.u, r.v) for r in vectors.refine(df, lists, 50, part).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found >= {(a, b) for a in range(1, 41) for b in range(1, 41) if a != b}
+
+
 # 6
 
 
