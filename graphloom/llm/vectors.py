@@ -111,15 +111,15 @@ def _code(planes: np.ndarray):
     return code
 
 
-def start(vectors: DataFrame, trees: int, leaf: int, k: int, dims: int) -> DataFrame:
+def start(vectors: DataFrame, trees: int, leaf: int, k: int, dims: int, apart: list[str] = ()) -> DataFrame:
     """Lists from `trees` orders of the vectors by the signs of random projections: neighbours in an
     order are compared in blocks of `leaf`, so blocks are equally full whatever the data."""
     out = None
     for tree in range(trees):
         code = _code(np.random.default_rng(tree).standard_normal((dims, 48)))
-        ordered = vectors.select(code("x").alias("code"), "id", F.lit(-2.0).alias("worst"), "x")
+        ordered = vectors.select(code("x").alias("code"), "id", F.lit(-2.0).alias("worst"), "x", *apart)
         ordered = ordered.repartitionByRange(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code", "id").sortWithinPartitions("code", "id")
-        one = ordered.withColumn("all", F.lit(0)).mapInArrow(_joined(["all"], leaf, k), _FOUND)
+        one = ordered.withColumn("all", F.lit(0)).mapInArrow(_joined(["all"], leaf, k, apart), _FOUND)
         out = one if out is None else out.union(one)
     return out
 
@@ -131,17 +131,19 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def refine(vectors: DataFrame, lists: DataFrame, k: int, part: int) -> DataFrame:
+def refine(vectors: DataFrame, lists: DataFrame, k: int, part: int, rivals: DataFrame | None = None, apart: list[str] = ()) -> DataFrame:
     """Neighbours of neighbours: around each vector, those in its list and those that list it are all
-    compared with each other; around vectors that very many list, in pairs of blocks of about `part`."""
-    worst = lists.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(-2.0).alias("worst"))
-    known = vectors.join(worst, vectors["id"] == worst["u"], "left").select("id", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "x")
+    compared with each other; around vectors that very many list, in pairs of blocks of about `part`.
+    What is found has to beat `rivals` (the lists themselves, if not given); vectors with the same value
+    of a column of `apart` are not compared."""
+    worst = (lists if rivals is None else rivals).groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(-2.0).alias("worst"))
+    known = vectors.join(worst, vectors["id"] == worst["u"], "left").select("id", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "x", *apart)
     around = lists.select(F.col("u").alias("centre"), F.col("v").alias("id")).union(lists.select(F.col("v").alias("centre"), F.col("u").alias("id"))).union(vectors.select(F.col("id").alias("centre"), "id")).distinct()
     sized = around.join(around.groupBy("centre").agg(F.ceil(F.count("*") / part).cast("int").alias("blocks")), "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
     dealt = sized.select("centre", "id", "block", pair.alias("pair")).select("centre", "id", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.when(F.col("pair.i") == F.col("pair.j"), F.col("id")).otherwise(F.col("block")).alias("side"))
     grouped = dealt.join(known, "id").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return grouped.select("centre", "i", "j", "id", "worst", "x", "side").mapInArrow(_joined(["centre", "i", "j"], 1 << 40, k, ["side"]), _FOUND)
+    return grouped.select("centre", "i", "j", "id", "worst", "x", "side", *apart).mapInArrow(_joined(["centre", "i", "j"], 1 << 40, k, ["side", *apart]), _FOUND)
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -169,10 +171,29 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def audit(vectors: DataFrame, threshold: float, queries: int) -> DataFrame:
-    """(u, v, s): all links of `queries` vectors, drawn by a hash of their ids, found by comparing
-    them with every vector."""
-    drawn = vectors.orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(queries).select("id", "x").toArrow()
+def across(vectors: DataFrame, lists: DataFrame, groups: DataFrame, threshold: float, k: int, trees: int, leaf: int, rounds: int, dims: int) -> DataFrame | None:
+    """(u, v): links between the components `groups` of saturated vectors, those whose whole list
+    reaches the threshold: their lists go on with the closest vectors of other components. None if
+    there are not two such components."""
+    full = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where((F.col("n") >= k) & (F.col("s") >= threshold)).select(F.col("u").alias("id"))
+    sub = materialize(vectors.join(full.join(groups.withColumnsRenamed({"node": "id", "component": "label"}), "id"), "id"), "saturated")
+    if len(sub.select("label").distinct().head(2)) < 2:
+        return None
+    ids = sub.select("id")
+    inner = lists.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v", "s")
+    outer = materialize(best(start(sub, trees, leaf, k, dims, ["label"]), k), "outer")
+    for _ in range(rounds):
+        after = materialize(best(outer.union(refine(sub, inner.union(outer), k, BLOCK, outer, ["label"])), k), "outer")
+        discard(outer)
+        outer = after
+    return outer.where(F.col("s") >= threshold).select("u", "v")
+
+
+def audit(vectors: DataFrame, threshold: float, queries: int, linked: DataFrame) -> DataFrame:
+    """(u, v, s): all links of `queries` vectors, drawn by a hash of their ids, those of `linked` (id)
+    first, found by comparing them with every vector."""
+    sure = linked.select("id", F.lit(1).alias("sure")).distinct()
+    drawn = vectors.join(sure, "id", "left").orderBy(F.coalesce("sure", F.lit(0)).desc(), F.xxhash64(F.lit("audit"), "id"), "id").limit(queries).select("id", "x").toArrow()
     if not drawn.num_rows:
         return vectors.sparkSession.createDataFrame([], _FOUND)
     ids, x = drawn.column("id").to_numpy(), unit(drawn.column("x"))
@@ -199,9 +220,11 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id: str = "vec_id", vec
     an empty df gives an empty result.
 
     After `rounds` rounds, the links of `queries` vectors are found by brute force; while the lists'
-    components hold less than `recall` of them, further rounds follow, up to `most_rounds`. A
-    vector whose whole list reaches the threshold is saturated; its list is enlarged to its whole
-    component, which count_links compares in blocks, so that no number of neighbours caps it.
+    components hold less than `recall` of them, further rounds follow, up to `most_rounds`; the
+    audit adds nothing to the result. A vector whose whole list reaches the threshold is saturated;
+    its list is enlarged by the closest vectors outside its component, until no component is linked
+    with another, and to its whole component, which count_links compares in blocks, so that no
+    number of neighbours caps it.
     """
     prepare(df)
     values = F.col(f"`{vector}`").cast("array<double>")
@@ -226,7 +249,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id: str = "vec_id", vec
     classes = materialize(good.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "distinct")
     vectors = classes.select("id", "x").dropDuplicates(["id"])
     lists = materialize(best(start(vectors, trees, leaf, k, d), k), "lists")
-    truth = materialize(audit(vectors, threshold, queries), "audit")
+    truth = materialize(audit(vectors, threshold, queries, lists.where(F.col("s") >= threshold).select(F.col("u").alias("id"))), "audit")
     sought, done = truth.count(), 0
     while True:
         after = materialize(best(lists.union(refine(vectors, lists, k, BLOCK)), k), "lists")
@@ -240,7 +263,10 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id: str = "vec_id", vec
         a, b = groups.withColumnsRenamed({"node": "u", "component": "cu"}), groups.withColumnsRenamed({"node": "v", "component": "cv"})
         if truth.join(a, "u").join(b, "v").where("cu = cv").count() >= recall * sought:
             break
-    groups = components(lists.where(F.col("s") >= threshold).select("u", "v").union(truth.select("u", "v"))) if sought else groups
+    links = lists.where(F.col("s") >= threshold).select("u", "v")
+    while (more := across(vectors, lists, groups, threshold, k, trees, leaf, rounds, d)) is not None and more.head(1):
+        links = links.union(more)
+        groups = components(links)
     placed = materialize(classes.join(groups.withColumnRenamed("node", "id"), "id", "left"), "placed")
     counts = count_links(placed.where("component is not null").select("id", "component", "copies", "x"), threshold)
     solved = placed.join(counts, "id", "left").select("x", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))

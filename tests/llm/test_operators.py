@@ -297,6 +297,22 @@ def test_all_neighbours_of_a_vector_meet(spark, part):
     assert found >= {(a, b) for a in range(1, 41) for b in range(1, 41) if a != b}
 
 
+def test_saturated_lists_hide_no_other_cluster(spark):
+    rng = np.random.default_rng(8)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    rows = []
+    for n, centre in enumerate((axes[0], 0.97 * axes[0] + math.sqrt(1 - 0.97**2) * axes[1])):
+        for i in range(30):
+            noise = axes[2:].T @ rng.standard_normal(62)
+            rows.append((30 * n + i, (centre + 0.08 * noise / np.linalg.norm(noise)).tolist()))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, int(n) - 1, 0, i == 0) for i, n in enumerate((x @ x.T >= 0.95).sum(axis=1))}
+    assert min(n for _, n, _, _ in want) >= 50
+    assert {tuple(r) for r in vectors.near_vectors(df, queries=0).select("vec_id", "n_links", "component_id", "kept").collect()} == want
+
+
 # 6
 
 
