@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that are broadcast at most, by a count; with more, the same join shuffles.
 MOST_BROADCAST = 2_000_000
@@ -128,3 +129,23 @@ def prepare(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Keys that are sent to every task at most because they are hot: so many can have more than this share of the rows.
+HEAVY_KEYS = 200_000
+
+
+def heavy_from(count: int, each: int = 64) -> int:
+    """The number of rows beyond which a key of `count` rows is hot: fewer than HEAVY_KEYS keys are, whatever the input."""
+    return max(each, -(-count // HEAVY_KEYS))
+
+
+def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, heavy: DataFrame, each: int = 64) -> DataFrame:
+    """rows.join(other, keys) where a key may hold any share of `rows`. `heavy` has the hot keys and _n, their
+    numbers of rows (fewer than HEAVY_KEYS keys: see heavy_from). Such a key's rows are dealt by `by` over
+    parts of about `each` rows, and other's rows with it are copied to each part."""
+    parts = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / each).cast("int").alias("_parts")))
+    salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))
+    left = rows.join(parts, keys, "left").withColumn("_salt", salt).drop("_parts")
+    right = other.join(parts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, frugal, materialize
+from graphloom.llm.common import discard, frugal, heavy_from, materialize, salted_join
 
 #: Nodes that a task's union-find holds before it sends its links on.
 HELD = 500_000
@@ -54,27 +54,30 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node in `links`, whose two columns
     are bigint ids. Self-links and repeated links are harmless, links with a null are ignored.
 
-    Rounds of large-star and small-star: every node's neighbours are linked to its smallest one.
-    A node of any degree is only ever a key of sums and joins. Each round is a written table.
+    Rounds of large-star and small-star: every node's neighbours are linked to its smallest one. The
+    links of a node with very many are dealt over tasks by salted_join. Each round is a written table.
     """
     a, b = links.columns
     edges = links.select(F.col(f"`{a}`").cast("bigint").alias("u"), F.col(f"`{b}`").cast("bigint").alias("v")).where("u is not null and v is not null")
     alone = edges.where("u = v").select("u").distinct()
     edges = materialize(edges.where("u <> v").mapInArrow(_merge, "u bigint, v bigint"), "links")
-    mark = None
+    count, mark = edges.count(), None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("_n")), "least")
+        hot = least.where(F.col("_n") > heavy_from(2 * count)).select("u", "_n")
+        large = salted_join(both.where("v > u"), least.select("u", "m"), ["u"], "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # A node has few smaller ones here: what a task's union-find sends on is stars around their smallest.
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(smallest.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small, "stars")
         discard(edges)
+        discard(least)
         edges = after
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == mark:
             break
-        mark = found
+        count, mark = found[0], found
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     single = alone.select(F.col("u").alias("node"), F.col("u").alias("component")).join(stars.union(roots).select("node"), "node", "left_anti")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import MOST_BROADCAST, discard, frugal, materialize, mix, pieces, prepare, raw, words
+from graphloom.llm.common import MOST_BROADCAST, discard, frugal, heavy_from, materialize, mix, pieces, prepare, raw, salted_join, words
 from graphloom.llm.grouping import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -138,7 +138,8 @@ def links(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     both = F.size(F.array_intersect("set_a", "set_b"))
 
     def shares(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
+        hot = pairs.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_from(pairs.count()))
+        return salted_join(pairs.join(b, "b"), a, ["a"], "b", hot).select("a", "b", both.alias("both"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
 
     same = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
     first = materialize(shares(around.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "stars")
@@ -174,7 +175,7 @@ def links(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     of_x = fresh.where("c_y <> c_hub_y").select(F.col("hub").alias("hub_x"), F.col("e").alias("e_x"), *(F.col(f"{c}_y").alias(f"{c}_x") for c in ("id", "n", "i", "c", "p", "d", "r")))
     rare = (missing >= 1) & (F.col("r_x") <= F.col("d_x") - missing + 1) & (F.col("r_y") <= F.col("d_y") - missing + 1)
     outside = of_x.join(fresh, (F.col("hub_x") == F.col("hub")) & (F.col("e_x") == F.col("e")) & apart & rare).select(*pair)
-    rest = inside.union(outside).distinct()
+    rest = materialize(inside.union(outside).distinct(), "pairs")
     return found.union(materialize(shares(rest).where(same).select("a", "b"), "links"))
 
 
