@@ -125,7 +125,12 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: s
 
 
 def loose_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
-    """sources(path) whose base name, without its ending, is in no path of tests(path). Tests are
-    those of one change, so the loop join's small side is bounded by its size check in Spark."""
+    """sources(path) whose base name, without its ending, is in no path of tests(path); an empty name is in
+    all. Test paths are exploded into their parts of the names' lengths, so that the join is one of equality."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return sources.withColumn("_stem", stem).join(tests.select(F.col("path").alias("_test")), F.contains(F.col("_test"), F.col("_stem")), "left_anti").drop("_stem")
+    named = sources.withColumn("_stem", stem)
+    lengths = named.agg(F.array_sort(F.collect_set(F.length("_stem"))).alias("_lengths"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda i: F.substr(F.col("path"), i, n))
+    inside = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("path")), at)))
+    held = tests.select("path").distinct().crossJoin(F.broadcast(lengths)).select(F.explode(inside).alias("_stem")).distinct()
+    return named.join(held, "_stem", "left_anti").select(*sources.columns)

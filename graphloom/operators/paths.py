@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,45 +15,67 @@ def _link(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
-def bounded_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(path, hops): every walk of 0 to `depth` edges from starts(id), as arrays of ids, that uses no
-    edge twice. One join a hop; each is a hash or sort-merge join on the walk's last node."""
+def _walks(edges: DataFrame, starts: DataFrame, depth: int) -> Iterator[DataFrame]:
+    """(path, used) of the walks of 0, 1, ... `depth` edges from starts(id) that use no edge twice: one
+    join a hop, a hash or sort-merge join on the walk's last node."""
     link = _link(edges)
-    walk = starts.select(F.array("id").alias("path"), F.array().cast("array<struct<src:string,dst:string>>").alias("used"))
-    found = [walk]
+    step = F.struct("src", "dst")
+    kinds = ", ".join(f"{c}:{link.schema[c].dataType.simpleString()}" for c in ("src", "dst"))
+    walk = starts.select(F.array("id").alias("path"), F.array().cast(f"array<struct<{kinds}>>").alias("used"))
+    yield walk
     for _ in range(depth):
-        step = F.struct(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
         walk = walk.join(link, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("used", step))
         walk = walk.select(F.concat("path", F.array("dst")).alias("path"), F.concat("used", F.array(step)).alias("used"))
-        found.append(walk)
-    every = reduce(DataFrame.unionAll, found)
+        yield walk
+
+
+def bounded_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(path, hops): every walk of 0 to `depth` edges from starts(id), as arrays of ids, that uses no
+    edge twice."""
+    every = reduce(DataFrame.unionAll, (w.select("path") for w in _walks(edges, starts, depth)))
     return every.select("path", (F.size("path") - 1).alias("hops"))
 
 
 def call_graph(edges: DataFrame, starts: DataFrame, depth: int = 3, limit: int = 50) -> DataFrame:
     """The edges, repeats kept, on the first `limit` paths of up to `depth` hops (shortest first, then
-    by id): (src, dst, n) with n the paths that hold the edge."""
-    paths = bounded_paths(edges, starts, depth).orderBy("hops", "path").limit(limit)
+    by id): (src, dst, n) with n the paths that hold the edge. Hops beyond the one at which the limit
+    is met are not walked, so `limit` paths at most are held."""
+    walks, left = [], limit
+    for hops, walk in enumerate(_walks(edges, starts, depth)):
+        walk = cut(walk.orderBy("path").limit(left))
+        walks.append(walk.select("path", F.lit(hops).alias("hops")))
+        left -= walk.count()
+        if left <= 0:
+            break
     pairs = F.transform(F.sequence(F.lit(1), F.col("hops")), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
-    steps = paths.where("hops > 0").select(F.explode(pairs).alias("e"))
+    steps = reduce(DataFrame.unionAll, walks).where("hops > 0").select(F.explode(pairs).alias("e"))
     return steps.groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.count("*").alias("n"))
 
 
 def cycles(edges: DataFrame, least: int = 2, most: int = 5, limit: int | None = 10) -> DataFrame:
     """(path, length): cycles of `least` to `most` edges, none used twice. Of the cycles over the same
     set of nodes one stays: the shortest, then the smallest path, so rotations count once.
-    Walks start at their smallest node only, which keeps a rotation of each and prunes the joins."""
-    link = _link(edges).where("src <> dst")
-    walk = link.where("src < dst").select(F.array("src", "dst").alias("path"))
-    found = []
+
+    Walks start at their smallest node only, which keeps a rotation of each and prunes the joins; the
+    closing edge is a join on both ends. Shorter cycles come first, so walks end at the length at
+    which `limit` cycles are found."""
+    link = cut(_link(edges).where("src <> dst"))
+    used = F.exists(F.sequence(F.lit(1), F.size("path") - 1), lambda i: (F.element_at("path", i) == F.col("src")) & (F.element_at("path", i + 1) == F.col("dst")))
+    longer = F.concat("path", F.array("dst")).alias("path")
+    last, first = F.element_at("path", -1), F.col("path")[0]
+    walk, once = link.where("src < dst").select(F.array("src", "dst").alias("path")), None
     for hops in range(2, most + 1):
-        last, first = F.element_at("path", -1), F.col("path")[0]
-        used = F.exists(F.sequence(F.lit(1), F.size("path") - 1), lambda i: (F.element_at("path", i) == F.col("src")) & (F.element_at("path", i + 1) == F.col("dst")))
-        walk = walk.join(link, (last == F.col("src")) & (F.col("dst") >= first)).where(~used).select(F.concat("path", F.array("dst")).alias("path"))
         if hops >= least:
-            found.append(walk.where(F.element_at("path", -1) == F.col("path")[0]))
-    every = reduce(DataFrame.unionAll, found).select("path", (F.size("path") - 1).alias("length"), F.array_sort(F.array_distinct("path")).alias("set"))
-    once = every.groupBy("set").agg(F.min(F.struct("length", "path")).alias("c")).select("c.path", "c.length")
+            closed = walk.join(link, (last == F.col("src")) & (first == F.col("dst"))).where(~used).select(longer, F.lit(hops).alias("length"))
+            closed = closed.withColumn("set", F.array_sort(F.array_distinct("path"))) if once is None else once.unionByName(closed.withColumn("set", F.array_sort(F.array_distinct("path"))))
+            once = closed.groupBy("set").agg(F.min(F.struct("length", "path")).alias("c")).select("c.path", "c.length", "set")
+            if limit is not None:
+                once = cut(once)
+                if len(once.select("length").head(limit)) == limit:
+                    break
+        if hops < most:
+            walk = walk.join(link, (last == F.col("src")) & (F.col("dst") >= first)).where(~used).select(longer)
+    once = once.drop("set")
     return once if limit is None else once.orderBy("length", "path").limit(limit)
 
 
@@ -79,17 +102,18 @@ def ripple_summary(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFr
     return found.withColumn("severity", severity(F.col("affected"))).withColumn("transitive_impact", F.lit(depth))
 
 
-def shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, most: int = 6) -> DataFrame:
-    """(path, distance): the shortest path of up to `most` edges between the ids; among equally short
-    ones the smallest in order; itself with distance 0; no row if there is none."""
-    link = _link(edges)
-    seen = source.select("id", F.array("id").alias("path"))
-    frontier = seen
-    for _ in range(most):
+def shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """(path, distance): the shortest path between the ids, however long; among equally short ones the
+    smallest in order; itself with distance 0; no row if there is none. Hop by hop until the target is
+    reached or nothing new is."""
+    link, target = cut(_link(edges)), cut(target.select("id").distinct())
+    frontier = cut(source.select("id", F.array("id").alias("path")))
+    seen = frontier.select("id")
+    while frontier.join(target, "id", "left_semi").isEmpty() and not frontier.isEmpty():
         step = frontier.join(link, F.col("id") == F.col("src")).groupBy("dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = cut(step.select(F.col("dst").alias("id"), "path").join(seen.select("id"), "id", "left_anti"))
-        seen = seen.unionAll(frontier)
-    return seen.join(target.select("id"), "id").select("path", (F.size("path") - 1).alias("distance"))
+        frontier = cut(step.select(F.col("dst").alias("id"), "path").join(seen, "id", "left_anti"))
+        seen = cut(seen.unionAll(frontier.select("id")))
+    return frontier.join(target, "id").select("path", (F.size("path") - 1).alias("distance"))
 
 
 def importance(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:

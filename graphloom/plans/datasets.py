@@ -60,13 +60,6 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def main_calls(spark: SparkSession, sf_dir: str, most: int = 2) -> DataFrame:
-    """(src, dst): the `most` commonest calls out of each part. All of lineitem counts; with so few
-    ways out, walks of five hops stay in proportion to the parts."""
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return calls(spark, sf_dir).withColumn("_r", rank).where(F.col("_r") <= most).select("src", "dst")
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as functions: id, name, owner (brand: their file), klass, complexity (size), loc, documented."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("owner"), F.col("p_type").alias("klass"), F.col("p_size").alias("complexity"), F.col("p_size").alias("loc"), (F.col("p_retailprice") > 1000).alias("documented"))
@@ -95,6 +88,4 @@ SQL_EDGES = """edges AS (
 SQL_CALLS = """steps AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS dst FROM lineitem),
  transitions AS (SELECT src, dst FROM steps WHERE dst IS NOT NULL AND src <> dst),
  calls AS (SELECT src, dst, count(*) AS n FROM transitions GROUP BY src, dst)"""
-SQL_MAIN = SQL_CALLS + """,
- main AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM calls) WHERE r <= 2)"""
 SQL_BUSIEST = "busiest AS (SELECT dst AS id FROM calls GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph, impact, paths
 from graphloom.plans.catalog import query
-from graphloom.plans.datasets import SQL_BUSIEST, SQL_CALLS, SQL_EDGES, SQL_MAIN, SQL_NODES, busiest, calls, main_calls, parts, star, table, transitions
+from graphloom.plans.datasets import SQL_BUSIEST, SQL_CALLS, SQL_EDGES, SQL_NODES, busiest, calls, parts, star, table, transitions
 
 
 def text_path(c: str = "path"):
@@ -104,9 +104,9 @@ def call_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_counts(parts(spark, sf_dir), transitions(spark, sf_dir).withColumn("type", F.lit("CALLS")))
 
 
-@query(f"WITH {SQL_MAIN} SELECT src, string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) AS targets FROM main GROUP BY src")
+@query(f"WITH {SQL_CALLS} SELECT src, string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) AS targets FROM calls GROUP BY src")
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = main_calls(spark, sf_dir).select("src", F.col("dst").cast("string").alias("dst"), F.lit("CALLS").alias("type"))
+    edges = calls(spark, sf_dir).select("src", F.col("dst").cast("string").alias("dst"), F.lit("CALLS").alias("type"))
     return graph.adjacency(edges, "CALLS").select("src", F.array_join("targets", ",").alias("targets"))
 
 
@@ -118,14 +118,18 @@ def layer_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.tag_layers(table(spark, sf_dir, "pages").select(F.col("url").alias("path")).unionAll(made)).select("path", "layer")
 
 
-@query(f"WITH {SQL_CALLS} SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM transitions WHERE dst = p_partkey) AND p_name NOT IN ('__init__', '__main__', 'main')")
+@query(f"WITH {SQL_CALLS} SELECT f.p_partkey AS id FROM part f WHERE NOT EXISTS (SELECT 1 FROM transitions JOIN part c ON src = c.p_partkey WHERE dst = f.p_partkey AND c.p_brand = f.p_brand) AND f.p_name NOT IN ('__init__', '__main__', 'main')")
 def dead_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dead_nodes(parts(spark, sf_dir), transitions(spark, sf_dir).withColumn("type", F.lit("CALLS"))).select("id")
+    """Functions that no function of their own file calls."""
+    p, t = parts(spark, sf_dir), transitions(spark, sf_dir)
+    a, b = (p.select(F.col("id").alias(x), F.col("owner").alias(f"of_{x}")) for x in ("src", "dst"))
+    inside = t.join(a, "src").join(b, "dst").where("of_src = of_dst").select("src", "dst", F.lit("CALLS").alias("type"))
+    return graph.dead_nodes(p, inside).select("id")
 
 
-@query(f"WITH {SQL_EDGES} SELECT src AS id, count(*) AS n FROM edges WHERE type = 'CONTAINS' GROUP BY src HAVING count(*) > 15")
+@query(f"WITH {SQL_EDGES} SELECT src AS id, count(*) AS n FROM edges WHERE type = 'ORDERED' GROUP BY src HAVING count(*) > 15")
 def god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.out_degree_above(*star(spark, sf_dir), ("CONTAINS",), 15).select("id", "n")
+    return graph.out_degree_above(*star(spark, sf_dir), ("ORDERED",), 15).select("id", "n")
 
 
 @query(f"WITH {SQL_EDGES} SELECT src AS id, count(*) AS n FROM edges WHERE type IN ('ORDERED', 'IN_NATION') GROUP BY src HAVING count(*) > 10")
@@ -214,9 +218,10 @@ def module_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.module_map(made.unionAll(own))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT 'tests/test_' || replace(p_name, ' ', '_') || '.py' AS path FROM part WHERE p_size > 25) t WHERE contains(t.path, replace(p_name, ' ', '_')))")
+@query("""SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT 'tests/test_' || replace(p_name, ' ', '_') || p_partkey || '.py' AS path FROM part WHERE p_size > 25) t
+WHERE contains(t.path, replace(p_name, ' ', '_') || p_partkey))""")
 def loose_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".py")).alias("path"), "p_size")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), "p_size")
     tests = p.where("p_size > 25").select(F.concat(F.lit("tests/test_"), F.replace("path", F.lit("src/"), F.lit(""))).alias("path")).distinct()
     return impact.loose_tests(p.select("id", "path"), tests).select("id")
 
@@ -243,51 +248,64 @@ def affected_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.affected(defines, calls(spark, sf_dir), spark.createDataFrame([("Brand#1",), ("Brand#2",)], "id string"))
 
 
-@query(f"""WITH {SQL_MAIN}, {SQL_BUSIEST}, one AS (SELECT src, dst FROM main WHERE dst = (SELECT id FROM busiest)), two AS (SELECT m.src, m.dst FROM main m JOIN one o ON m.dst = o.src),
+@query(f"""WITH {SQL_CALLS}, {SQL_BUSIEST}, one AS (SELECT src, dst FROM calls WHERE dst = (SELECT id FROM busiest)), two AS (SELECT m.src, m.dst FROM calls m JOIN one o ON m.dst = o.src),
 x AS (SELECT src FROM one UNION ALL SELECT t.src FROM two t) SELECT count(*) AS paths, count(DISTINCT src) AS nodes, (SELECT count(DISTINCT src) FROM one) AS direct, CASE WHEN count(DISTINCT src) > 5 THEN 'High' ELSE 'Low' END AS risk_level FROM x""")
 def impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.impact_paths(main_calls(spark, sf_dir), busiest(calls(spark, sf_dir)))
+    c = calls(spark, sf_dir)
+    return impact.impact_paths(c, busiest(c))
 
 
-@query(f"""WITH {SQL_MAIN}, starts AS (SELECT p_partkey AS id FROM part WHERE contains(p_name, 'ring')),
-p0 AS (SELECT [id] AS path FROM starts), p1 AS (SELECT list_append(path, dst) AS path FROM p0 JOIN main ON src = path[-1]),
-p2 AS (SELECT list_append(path, dst) AS path FROM p1 JOIN main ON src = path[-1]),
-p3 AS (SELECT list_append(path, dst) AS path FROM p2 JOIN main ON src = path[-1] WHERE NOT (path[1] = src AND path[2] = dst)),
-a AS (SELECT path, len(path) - 1 AS hops FROM (SELECT path FROM p0 UNION ALL SELECT path FROM p1 UNION ALL SELECT path FROM p2 UNION ALL SELECT path FROM p3) ORDER BY hops, path LIMIT 5000),
+@query(f"""WITH {SQL_CALLS}, {SQL_BUSIEST}, p0 AS (SELECT [id] AS path FROM busiest), p1 AS (SELECT list_append(path, dst) AS path FROM p0 JOIN calls ON src = path[-1]),
+p2 AS (SELECT list_append(path, dst) AS path FROM p1 JOIN calls ON src = path[-1]),
+p3 AS (SELECT list_append(path, dst) AS path FROM p2 JOIN calls ON src = path[-1] WHERE NOT (path[1] = src AND path[2] = dst)),
+a AS (SELECT path, len(path) - 1 AS hops FROM (SELECT path FROM p0 UNION ALL SELECT path FROM p1 UNION ALL SELECT path FROM p2 UNION ALL SELECT path FROM p3) ORDER BY hops, path LIMIT 50),
 e AS (SELECT path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, hops + 1)) AS i FROM a)) SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst""")
 def call_graph_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = parts(spark, sf_dir).where(F.contains("name", F.lit("ring"))).select("id")
-    return paths.call_graph(main_calls(spark, sf_dir), starts, limit=5000)
+    c = calls(spark, sf_dir)
+    return paths.call_graph(c, busiest(c))
 
 
 def _cycles_sql() -> str:
-    parts_ = []
+    """Cycles by length; those of a length are sought only where shorter ones are fewer than ten sets of nodes."""
+    steps, shorter = [], []
     for n in range(2, 6):
-        joins = " ".join(f"JOIN main e{i} ON e{i}.src = e{i - 1}.dst" for i in range(2, n + 1))
+        few = " + ".join(f"(SELECT count(DISTINCT list_sort(list_distinct(path))) FROM c{m})" for m in shorter) or "0"
+        steps.append(f"f{n} AS (SELECT src, dst FROM calls WHERE {few} < 10)")
+        joins = " ".join(f"JOIN f{n} e{i} ON e{i}.src = e{i - 1}.dst" for i in range(2, n + 1))
         distinct = " AND ".join(f"(e{i}.src, e{i}.dst) <> (e{j}.src, e{j}.dst)" for i in range(1, n + 1) for j in range(1, i)) or "true"
-        parts_.append(f"SELECT [{', '.join(f'e{i}.src' for i in range(1, n + 1))}, e1.src] AS path, {n} AS length FROM main e1 {joins} WHERE e{n}.dst = e1.src AND {distinct}")
-    return f"""WITH {SQL_MAIN}, a AS ({' UNION ALL '.join(parts_)}), b AS (SELECT path, length, list_sort(list_distinct(path)) AS s FROM a),
+        steps.append(f"c{n} AS (SELECT [{', '.join(f'e{i}.src' for i in range(1, n + 1))}, e1.src] AS path, {n} AS length FROM f{n} e1 {joins} WHERE e{n}.dst = e1.src AND {distinct})")
+        shorter.append(n)
+    return f"""WITH {SQL_CALLS}, {', '.join(steps)}, a AS ({' UNION ALL '.join(f'SELECT * FROM c{n}' for n in shorter)}), b AS (SELECT path, length, list_sort(list_distinct(path)) AS s FROM a),
 c AS (SELECT path, length, row_number() OVER (PARTITION BY s ORDER BY length, path) AS r FROM b) SELECT array_to_string(path, '>') AS path, length FROM c WHERE r = 1 ORDER BY length, c.path LIMIT 10"""
 
 
 @query(_cycles_sql())
 def cycles_2_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.cycles(main_calls(spark, sf_dir)).select(text_path().alias("path"), "length")
+    return paths.cycles(calls(spark, sf_dir)).select(text_path().alias("path"), "length")
 
 
-@query(f"""WITH {SQL_MAIN}, {SQL_BUSIEST}, d1 AS (SELECT DISTINCT src AS id FROM main WHERE dst = (SELECT id FROM busiest) AND src <> (SELECT id FROM busiest)),
-d2 AS (SELECT DISTINCT src AS id FROM main WHERE dst IN (SELECT id FROM d1)), d3 AS (SELECT DISTINCT src AS id FROM main WHERE dst IN (SELECT id FROM d2)), d4 AS (SELECT DISTINCT src AS id FROM main WHERE dst IN (SELECT id FROM d3))
+@query(f"""WITH {SQL_CALLS}, {SQL_BUSIEST}, d1 AS (SELECT DISTINCT src AS id FROM calls WHERE dst = (SELECT id FROM busiest) AND src <> (SELECT id FROM busiest)),
+d2 AS (SELECT DISTINCT src AS id FROM calls WHERE dst IN (SELECT id FROM d1)), d3 AS (SELECT DISTINCT src AS id FROM calls WHERE dst IN (SELECT id FROM d2)), d4 AS (SELECT DISTINCT src AS id FROM calls WHERE dst IN (SELECT id FROM d3))
 SELECT id, min(distance) AS distance FROM (SELECT id, 1 AS distance FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3 UNION ALL SELECT id, 4 FROM d4) WHERE id <> (SELECT id FROM busiest) GROUP BY id""")
 def ripple_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.ripple(main_calls(spark, sf_dir), busiest(calls(spark, sf_dir)))
+    c = calls(spark, sf_dir)
+    return paths.ripple(c, busiest(c))
 
 
-@query(f"""WITH RECURSIVE {SQL_MAIN}, {SQL_BUSIEST}, ends AS (SELECT (SELECT min(src) FROM main) AS s, (SELECT id FROM busiest) AS t),
-walk AS (SELECT [s] AS path FROM ends UNION ALL SELECT list_append(path, dst) FROM walk JOIN main ON src = path[-1] WHERE len(path) <= 6 AND NOT list_contains(path, dst)),
-hit AS (SELECT path, len(path) - 1 AS distance FROM walk, ends WHERE path[-1] = t) SELECT array_to_string(path, '>') AS path, distance FROM hit ORDER BY distance, hit.path LIMIT 1""")
+def _shortest_sql(most: int = 8) -> str:
+    """Level by level; the tables' graphs are far less deep than `most`."""
+    steps = ["l0 AS (SELECT min(src) AS id, [min(src)] AS path FROM calls)"]
+    for i in range(1, most + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM l{j}" for j in range(i))
+        steps.append(f"l{i} AS (SELECT dst AS id, min(list_append(path, dst)) AS path FROM l{i - 1} JOIN calls ON src = id WHERE dst NOT IN ({seen}) GROUP BY dst)")
+    every = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(most + 1))
+    return f"WITH {SQL_CALLS}, {SQL_BUSIEST}, {', '.join(steps)} SELECT array_to_string(path, '>') AS path, len(path) - 1 AS distance FROM ({every}) WHERE id = (SELECT id FROM busiest)"
+
+
+@query(_shortest_sql())
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = main_calls(spark, sf_dir)
-    return paths.shortest_path(edges, edges.agg(F.min("src").alias("id")), busiest(calls(spark, sf_dir))).select(text_path().alias("path"), "distance")
+    c = calls(spark, sf_dir)
+    return paths.shortest_path(c, c.agg(F.min("src").alias("id")), busiest(c)).select(text_path().alias("path"), "distance")
 
 
 def _importance_sql(rounds: int = 5) -> str:

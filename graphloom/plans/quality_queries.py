@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import paths, quality, router, vector
 from graphloom.plans.catalog import query
-from graphloom.plans.datasets import SQL_CALLS, SQL_MAIN, calls, main_calls, parts, star, table, transitions
+from graphloom.plans.datasets import SQL_CALLS, calls, parts, star, table, transitions
 
 SQL_ISSUES = f"""{SQL_CALLS}, issues AS (
  SELECT 'dead_code' AS issue_type, 'medium' AS severity, p_partkey::VARCHAR AS id FROM part WHERE p_partkey NOT IN (SELECT dst FROM calls)
@@ -65,8 +65,9 @@ CASE WHEN t >= 80 THEN 'healthy' WHEN t >= 60 THEN 'warning' ELSE 'critical' END
 @query(_score_sql())
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
-    dead = p.join(calls(spark, sf_dir).select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-    one = quality.quality_score(p, dead, paths.cycles(main_calls(spark, sf_dir)))
+    c = calls(spark, sf_dir)
+    dead = p.join(c.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    one = quality.quality_score(p, dead, paths.cycles(c))
     return one.select(F.round("complexity_score", 6).alias("complexity_score"), "dead_code_score", "architecture_score", F.round("documentation_score", 6).alias("documentation_score"), quality.health(F.col("total_score")).alias("health"))
 
 
@@ -279,7 +280,7 @@ def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.render_context(router.fuse(_fused(spark, sf_dir)))
 
 
-@query(f"WITH {SQL_MAIN} SELECT src, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, src) AS rank FROM calls GROUP BY src ORDER BY n DESC, src LIMIT 10")
+@query(f"WITH {SQL_CALLS} SELECT src, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, src) AS rank FROM calls GROUP BY src ORDER BY n DESC, src LIMIT 10")
 def ranked_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = calls(spark, sf_dir).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "src")))
@@ -304,7 +305,7 @@ def task_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = calls(spark, sf_dir)
     node = busiest(c)
     i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("issue_id")).agg(F.collect_set("l_partkey").alias("affected"))
-    return quality.task_context(node, paths.ripple(main_calls(spark, sf_dir), node), paths.criticality(parts(spark, sf_dir), transitions(spark, sf_dir), 5), i)
+    return quality.task_context(node, paths.ripple(c, node), paths.criticality(parts(spark, sf_dir), transitions(spark, sf_dir), 5), i)
 
 
 @query("SELECT vec_id AS id, 'unknown' AS name, label::VARCHAR AS type, 'text ' || vec_id AS snippet FROM embeddings WHERE label = 3")

@@ -99,3 +99,35 @@ def test_range_join_takes_the_first(spark):
     ranges = spark.createDataFrame([("f", 1, 10, "outer"), ("f", 4, 6, "inner")], "file string, a int, b int, name string")
     found = impact.range_join(points, ranges, "file", "line", "a", "b", "name")
     assert sorted(map(tuple, found.collect())) == [("f", 5, "outer"), ("f", 50, "<global>"), ("g", 5, "<global>")]
+
+
+def test_shortest_path_has_no_bound(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(3, 3), (9, 0)], "src bigint, dst bigint")
+    one = lambda x: spark.createDataFrame([(x,)], "id bigint")
+    assert paths.shortest_path(edges, one(0), one(9)).first().distance == 9
+    assert paths.shortest_path(edges, one(0), one(77)).count() == 0
+
+
+def test_cycles_end_where_the_limit_is_met(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(7) for b in range(7)], "src bigint, dst bigint")
+    every = sorted(((r.length, r.path) for r in paths.cycles(edges, 2, 4, limit=None).collect()))
+    for limit in (5, 21, 22, 40):
+        assert [(r.length, r.path) for r in paths.cycles(edges, 2, 4, limit).collect()] == every[:limit]
+
+
+def test_call_graph_stops_at_its_limit(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "src bigint, dst bigint")
+    start = spark.createDataFrame([(0,)], "id bigint")
+    for limit in (1, 4, 6, 20, 1000):
+        first = paths.bounded_paths(edges, start, 3).orderBy("hops", "path").limit(limit).collect()
+        want = {}
+        for r in first:
+            for e in zip(r.path, r.path[1:], strict=False):
+                want[e] = want.get(e, 0) + 1
+        assert {(r.src, r.dst): r.n for r in paths.call_graph(edges, start, 3, limit).collect()} == want
+
+
+def test_loose_tests(spark):
+    sources = spark.createDataFrame([("a/util.py", 1), ("b/util_x.py", 2), ("c/other.py", 3), ("d/long_name_indeed.py", 4), ("e/.py", 5)], "path string, n int")
+    tests = spark.createDataFrame([("t/test_util.py",), ("x",)], "path string")
+    assert sorted(r.n for r in impact.loose_tests(sources, tests).collect()) == [2, 3, 4]
