@@ -1,6 +1,6 @@
 """Main text of HTML pages by tree scoring: paragraphs pass points for their length and commas
-to their ancestors, links take points away, and the best container is kept with those of its
-siblings that score like it."""
+to their ancestors, names add or take points, links discount them, and the best container is kept
+with those of its siblings that score like it."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import prepare
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote opens a value only behind "="; one that never closes is a character like others.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 _TOKENS = re.compile(r"[a-z]+")
 
@@ -36,56 +37,65 @@ ENDS = {
     "option": (("option",), ("select",)),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that name what isn't the article.
+#: Siblings of the container that belong to it where they aren't mostly links.
+PROSE = HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
+#: Words of class, id and role that name what a page has beside its article.
 AWAY = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc toolbar"
-    " sidebar sidebars aside rail widget widgets related recommended recommendations"
-    " header masthead footer foot copyright legal disclaimer"
-    " cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay"
-    " newsletter subscribe subscription signup login register paywall"
-    " share sharing social follow"
-    " comment comments commentlist disqus reply replies respond responses discussion feedback"
-    " search searchbox searchform contentinfo complementary hidden".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos banner banners"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar"
+    " sidebar sidebars aside widget widgets related recommended recommendations"
+    " header masthead footer foot contentinfo complementary hidden"
+    " cookie cookies consent gdpr notice notices notification notifications popup modal overlay"
+    " newsletter subscribe subscription signup login paywall share sharing"
+    " comment comments commentlist disqus replies respond searchbox searchform".split()
 )
+#: Words that as often name a part of the article: they only take points.
+DOUBTFUL = frozenset("legal disclaimer copyright search alert alerts social follow feedback discussion responses reply toc rail promotion register".split())
 #: Words that speak for the article where both kinds meet, as in "article no-sidebar".
 TOWARDS = frozenset("article articlebody content entry main post story body text".split())
 START = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -3.0}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "words", "away", "score", "size", "linked", "links", "level")
+    """away: no part of the article; named: only because of a word of AWAY."""
 
-    def __init__(self, tag: str, parent: Node | None, words: frozenset, away: bool):
-        self.tag, self.parent, self.words, self.away = tag, parent, words, away
+    __slots__ = ("tag", "parent", "children", "points", "away", "named", "score", "size", "linked", "links", "level")
+
+    def __init__(self, tag: str, parent: Node | None, points: float = 0.0, away: bool = False, named: bool = False):
+        self.tag, self.parent, self.points, self.away, self.named = tag, parent, points, away or named, named and not away
         self.children: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = self.links = 0
         self.level = parent.level + 1 if parent else 0
 
 
-def _away(tag: str, attributes: str, inside: bool) -> tuple[frozenset, bool]:
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[float, bool, bool]:
+    """(points, away, named) of an element by its tag and attributes; inside: within an article or main."""
+    points = START.get(tag, 0.0)
     if tag in NEVER or tag == "header" and not inside:
-        return frozenset(), True
+        return points, True, False
     if not attributes or attributes.isspace():
-        return frozenset(), False
-    named: set[str] = set()
+        return points, False, False
+    words: set[str] = set()
     away = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role", "itemprop"):
-            named.update(_TOKENS.findall(value.lower()))
+            words.update(_TOKENS.findall(value.lower()))
         elif name == "hidden" or name == "aria-hidden" and "true" in value.lower() or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             away = True
-    if tag in ("html", "body", "article", "main"):
-        return frozenset(named), away
-    return frozenset(named), away or bool(named & AWAY) and not named & (TOWARDS - {"body", "text", "content"}) or bool(named & {"comment", "comments", "sidebar", "ad", "ads", "advert", "cookie"})
+    points += 25.0 * bool(words & TOWARDS) - 25.0 * bool(words & DOUBTFUL)
+    comment = bool(words & {"comment", "comments"})
+    if tag in ("html", "body", "main", "article"):
+        return points, away, tag == "article" and inside and comment
+    named = bool(words & AWAY) and not words & (TOWARDS - {"body", "text", "content"}) or comment or bool(words & {"sidebar", "ad", "ads", "advert", "cookie"})
+    return points, away, named
 
 
 def parse(html: str) -> Node:
     """The tree of a page. Open ends are closed as browsers do for paragraphs, items and cells; what
     is cut off at the end of the page is let go."""
-    root = top = Node("#root", None, frozenset(), False)
+    root = top = Node("#root", None)
     opened: dict[str, int] = {}
     at, end = 0, len(html)
     inside = 0
@@ -118,7 +128,7 @@ def parse(html: str) -> Node:
                     top = close(top)
                 top = close(top)
             elif tag == "p":
-                top.children.append(Node("p", top, frozenset(), False))
+                top.children.append(Node("p", top))
             continue
         if tag in CLOSES_P and opened.get("p"):
             node = top
@@ -139,17 +149,12 @@ def parse(html: str) -> Node:
                 while top is not last:
                     top = close(top)
                 top = close(top)
-        words, away = _away(tag, m[3], inside > 0)
-        node = Node(tag, top, words, away)
+        node = Node(tag, top, *_judge(tag, m[3], inside > 0))
         top.children.append(node)
         if tag in RAW:
             close_at = re.compile(f"</{re.escape(tag)}(?![^\\s/>])[^>]*>?", re.I).search(html, at)
             at = close_at.end() if close_at else end
-        elif tag not in VOID and not m[0].endswith("/>"):
-            top = node
-            opened[tag] = opened.get(tag, 0) + 1
-            inside += tag in ("article", "main")
-        elif m[0].endswith("/>") and tag not in VOID:
+        elif tag not in VOID:  # browsers take no heed of "/>" here
             top = node
             opened[tag] = opened.get(tag, 0) + 1
             inside += tag in ("article", "main")
@@ -160,15 +165,14 @@ def _flat(text: str) -> str:
     return " ".join(unescape(text).split())
 
 
-def measure(root: Node) -> tuple[list[Node], Node | None]:
-    """Sets size, linked and score of every node that isn't away; returns the nodes with points and
-    the outermost article or main."""
-    order, stack, home = [], [root], None
+def measure(root: Node) -> list[Node]:
+    """Sets size, linked, links and score of every node that isn't away; returns those with points."""
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        if home is None and node.tag in ("article", "main") or home is not None and home.tag == "main" and node.tag == "article":
-            home = node
+        node.size = node.linked = node.links = 0
+        node.score = 0.0
         stack.extend(x for x in reversed(node.children) if isinstance(x, Node) and not x.away)
     scored: dict[int, Node] = {}
     for node in reversed(order):
@@ -201,26 +205,45 @@ def measure(root: Node) -> tuple[list[Node], Node | None]:
                 up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 up, level = up.parent, level + 1
     for node in scored.values():
-        node.score = (node.score + START.get(node.tag, 0.0) + (25.0 if node.words & TOWARDS else 0.0)) * (1.0 - node.linked / max(1, node.size))
-    return list(scored.values()), home
+        node.score = (node.score + node.points) * (1.0 - node.linked / max(1, node.size))
+    return list(scored.values())
 
 
-def _within(node: Node, outer: Node) -> bool:
-    while node is not None and node is not outer:
-        node = node.parent
-    return node is outer
+def _characters(node: Node) -> int:
+    """Characters of a node's text, whatever it is named."""
+    n, stack = 0, [node]
+    while stack:
+        for x in stack.pop().children:
+            if isinstance(x, str):
+                n += len(x.strip())
+            elif x.named or not x.away:
+                stack.append(x)
+    return n
+
+
+def scores(root: Node) -> list[Node]:
+    """Scored nodes. A page all of whose text, links aside, stands in elements with a name of AWAY has its
+    article in the one with most text: that name then counts for nothing."""
+    while not (scored := measure(root)) and root.size == root.linked:
+        named, stack = [], [root]
+        while stack:
+            for x in stack.pop().children:
+                if isinstance(x, Node):
+                    (named if x.named and x.away else stack).append(x) if x.named or not x.away else None
+        largest = max(named, key=_characters, default=None)
+        if largest is None or _characters(largest) < 25:
+            break
+        largest.away = False
+    return scored
 
 
 def containers(root: Node) -> list[Node]:
-    """The best container and its like siblings, in page order. If the best stands in an article (or
-    in main), that whole element is the container; a page without a scored one gives its article,
-    main or body."""
-    scored, home = measure(root)
+    """The best container with its like siblings, in page order, and up to the body those of its
+    ancestors; a page without a scored one gives its body."""
+    scored = scores(root)
     best = max((n for n in scored if n.tag not in ("body", "html")), key=lambda n: (n.score, n.level), default=None)
     if best is None:
         best = max(scored, key=lambda n: n.score, default=None)
-    if home is not None and home.size and (best is None or _within(best, home) or _within(home, best) or home.score * 4 >= best.score):
-        return [home]
     if best is None:
         body = [root]
         for node in body:
@@ -228,24 +251,30 @@ def containers(root: Node) -> list[Node]:
                 return [node]
             body.extend(x for x in node.children if isinstance(x, Node) and not x.away)
         return [root]
+    if best.tag in ("body", "html"):
+        return [best]
     known = {id(n) for n in scored}
-    kept = []
-    for x in best.parent.children:
-        if isinstance(x, str) or x.away:
-            continue
-        density = x.linked / max(1, x.size)
+
+    def belongs(x: Node) -> bool:
         like = id(x) in known and x.score >= max(3.0, 0.2 * best.score)
-        prose = x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and x.size and density < 0.25
-        if x is best or like or prose:
-            kept.append(x)
+        return like or x.tag == "header" or x.tag in PROSE and x.size > 0 and x.linked < 0.25 * x.size
+
+    kept, node = [best], best
+    while node is best or node.parent and node.parent.tag not in ("body", "html", "#root"):
+        around = [x for x in node.parent.children if isinstance(x, Node) and (x is node or not x.away and belongs(x))]
+        at = next(i for i, x in enumerate(around) if x is node)
+        kept = around[:at] + kept + around[at + 1 :]
+        node = node.parent
     return kept
 
 
 def main_text(html: str) -> str:
-    """The page's main text: blocks in page order, parted by an empty line."""
+    """The page's main text: blocks in page order, parted by an empty line. A list of links that stands
+    before the first paragraph is a menu."""
     root = parse(html)
     blocks: list[str] = []
     line: list[str] = []
+    prose = False
 
     def flush() -> None:
         if line and (text := _flat("".join(line))):
@@ -263,15 +292,16 @@ def main_text(html: str) -> str:
                 line.append(x)
             elif x.away and x is not container or x.tag in NEVER:
                 continue
-            elif x is not container and x.tag in ("ul", "ol", "div", "section", "table", "p") and x.links >= 3 and x.linked > 0.5 * x.size:
-                continue  # a list of links
-            elif x.tag == "header" and x is not container:
-                stack.extend(h for h in reversed(x.children) if isinstance(h, Node) and h.tag in HEADINGS)
+            elif x is not container and not prose and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 3 and x.linked > 0.5 * x.size:
+                continue
+            elif x.tag == "header":
+                flush()
+                stack.extend([None, *(h for h in _headings(x))])
             else:
-                block = x.tag in BLOCK
-                if block:
+                if x.tag in BLOCK:
                     flush()
                     stack.append(None)
+                    prose = prose or x.tag in ("p", "pre", "blockquote") and x.size - x.linked >= 25
                 elif x.tag in ("br", "td", "th", "img"):
                     line.append(" ")
                 stack.extend(reversed(x.children))
@@ -279,6 +309,16 @@ def main_text(html: str) -> str:
     return "\n\n".join(blocks)
 
 
+def _headings(header: Node) -> list[Node]:
+    """The headings within an article's own header, last first."""
+    found, stack = [], [header]
+    while stack:
+        for x in stack.pop().children:
+            if isinstance(x, Node) and not x.away:
+                (found if x.tag in HEADINGS else stack).append(x)
+    return found[::-1]
+
+
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """df with the main text of every row's whole html as column `text`, and n_chars, its code points.
 
@@ -288,6 +328,7 @@ def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """
 
     prepare(df)
+
     @F.arrow_udf("string")
     def extracted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:

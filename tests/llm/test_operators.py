@@ -141,6 +141,8 @@ def test_extraction_of_the_pages(spark, sf_dir):
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", own))
         want = "\n\n".join(x for x in blocks if x)
         assert r.text == want and r.n_chars == len(want)
+        for name in ("div", "section", "main", "td"):  # scores decide, not the element's name
+            assert extract.main_text(r.html.replace("<article", f"<{name}").replace("</article", f"</{name}")) == want
 
 
 PROSE = "Plain words, set down with care, that go on for a while, so that nobody takes them for a menu. "
@@ -158,12 +160,31 @@ PROSE = "Plain words, set down with care, that go on for a while, so that nobody
         (f"<article><p>{PROSE}<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table><!-- <p>no --><p>end", f"{PROSE.strip()}\n\none\n\ntwo\n\na b\n\nc\n\nend"),
         ("<article><p>cut off <b", "cut off"),
         ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
+        ("<p data-x=it's>Hello, don't go away from here</p>", "Hello, don't go away from here"),
+        ('<p title="x>One two three four five', "One two three four five"),
+        (f"<p title='a>b' class = \"c\"\n>{PROSE}", PROSE.strip()),
+        (f"<div class='search-results-analysis'><p>{PROSE}</div>", PROSE.strip()),
+        (f"<nav><a>x</a></nav><div class='sidebar-less menu'><p>{PROSE}</div>", PROSE.strip()),
+        (f"<div class=post><p>{PROSE}</p><div class=legal><p>{PROSE}</p><p>x</p></div></div>", f"{PROSE.strip()}\n\n{PROSE.strip()}\n\nx"),
+        (f"<div><ul><li><a>m</a><li><a>n</a><li><a>o</a></ul><p>{PROSE}</p><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul></div>", f"{PROSE.strip()}\n\na\n\nb\n\nc"),
+        (f"<article><header><div><h1>T</h1></div><p>by N</p></header><div><p>{PROSE}</p></div></article>", f"T\n\n{PROSE.strip()}"),
+        (f"<main><article><p>{PROSE}<p>{PROSE}</article><article class='user comment'><p>{PROSE}</article></main>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        (f"<div class=ad>{PROSE}</div><article><h1>Short.</h1></article>", "Short."),
     ],
 )
 def test_extraction(html, text):
     assert extract.main_text(html) == text
 
 
+def test_broken_markup_takes_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for piece in ('<a b="c ', "<a b='c \" ", "<", "<!--", "<a b= = ", "</"):
+        extract.main_text(piece * 100_000)
+    assert time.perf_counter() - start < 10
+
+
 def test_extraction_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "", "old"), (2, "", "old")], "page_id int, html string, text string")
     assert [tuple(r) for r in extract.extract(df).collect()] == [(1, None, "", 0), (2, "", "", 0), (2, "", "", 0)]
