@@ -1,5 +1,6 @@
 """Language identification by nearest centroid: TF-IDF vectors of hashed byte n-grams, several
-clustered centroids for each language, cosine, and rejection by distance."""
+clustered centroids for each language, cosine, and rejection by a distance that depends on how long
+a text is."""
 
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ from graphloom.llm.common import frugal, lengths, prepare, release
 
 #: Hashed n-gram dimensions; n-gram lengths in bytes.
 DIMENSIONS, GRAMS = 4096, (2, 3)
+#: Lengths of texts that rejection tells apart, by doubling: up to 2^32 n-grams and more.
+LENGTHS = 32
 _SALT = np.uint32(0x9E3779B1)
 #: Bytes that are no letters of ASCII become a space; bytes of other characters stay.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -54,7 +57,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """idf: weight of each dimension. centroids: unit vectors. owner: the language of each
-    centroid. radius: the least cosine at which a text still belongs to that language."""
+    centroid. radius: by language and length (the binary logarithm of a text's n-grams, rounded down),
+    the least cosine at which a text still belongs to that language."""
 
     languages: list[str]
     idf: np.ndarray
@@ -71,7 +75,15 @@ class Model:
         best = close.argmax(axis=1)
         score = np.clip(close[np.arange(len(best)), best], 0.0, 1.0).astype(np.float64)
         mine = self.owner[best]
-        return [self.languages[k] for k in mine], score, score < self.radius[mine]
+        return [self.languages[k] for k in mine], score, score < self.radius[mine, length_bin(tf)]
+
+    def closeness(self, tf: np.ndarray, language: str) -> np.ndarray:
+        """Cosines with the nearest centroid of a language."""
+        return (self.vectors(tf) @ self.centroids[self.owner == self.languages.index(language)].T).max(axis=1)
+
+
+def length_bin(tf: np.ndarray) -> np.ndarray:
+    return np.minimum(LENGTHS - 1, np.log2(np.maximum(1.0, tf.sum(axis=1, dtype=np.float64)))).astype(int)
 
 
 def _clusters(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -86,13 +98,16 @@ def _clusters(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 400, clusters: int = 4, slack: float = 0.15) -> Model | None:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 400, clusters: int = 4, slack: float = 0.8, least: int = 20) -> Model | None:
     """Learns from rows with a language and a text; None if there are none.
 
     Document frequencies count all of them, whole, in one pass without a shuffle of texts (a task
-    sends its sums alone). The centroids are fitted on a sample of about `per_language`
-    rows of each language, the smallest hashes of id: the bound of what reaches the driver.
-    radius: `slack` times the cosine that all but one in a hundred sampled texts reach.
+    sends its sums alone). The centroids are fitted on a sample of up to `per_language` rows of each
+    language (half of a language's rows at most), the smallest hashes of id: the bound of what reaches
+    the driver. The next about `per_language` rows are held out to measure the radius: they and
+    excerpts of 1, 2, 4, ... words from their middle. It is `slack` times the cosine that all but one
+    in a hundred texts of a length reach, and at least that of shorter ones; a length with fewer than
+    `least` texts has that of shorter ones, and a language without rows to hold out 0: nothing is rejected.
     """
     prepare(df)
     known = df.select(F.col(f"`{id}`").cast("string").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang")).where("_lang is not null and _text is not null")
@@ -139,25 +154,54 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
                 out.append(base64.b64encode(at.astype("<u2").tobytes() + tf[at].astype("<f4").tobytes()).decode())
             yield pa.array(out, pa.string())
 
-    picked = known.withColumn("_draw", draw).where(F.col("_draw") < F.element_at(share, F.col("_lang"))).select("_lang", "_id", "_draw", sparse("_text").alias("tf"))
-    picked = picked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).orderBy("_lang", "_rank").select("_lang", "tf").collect()
+    most = F.create_map(*(F.lit(x) for k in languages for x in (k, min(per_language, -(-seen[k] // 2)))))
+    drawn = known.withColumn("_draw", draw)
+    picked = drawn.where(F.col("_draw") < F.element_at(share, F.col("_lang"))).select("_lang", "_id", "_draw", sparse("_text").alias("tf"))
+    picked = picked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.element_at(most, F.col("_lang"))).orderBy("_lang", "_rank").select("_lang", "_draw", "tf").collect()
     by: dict[str, list[np.ndarray]] = {}
+    last: dict[str, float] = {}
     for row in picked:
         data = base64.b64decode(row.tf)
         m = len(data) // 6
+        last[row._lang] = row._draw
         if m:
             tf = np.zeros(DIMENSIONS, np.float32)
             tf[np.frombuffer(data, "<u2", m)] = np.frombuffer(data, "<f4", m, 2 * m)
             by.setdefault(row._lang, []).append(tf)
     languages = [k for k in languages if k in by]
-    centroids, owner, radius = [], [], []
+    centroids, owner = [], []
     for k, language in enumerate(languages):
-        x = unit(np.log1p(np.stack(by[language])) * idf)
-        centres = _clusters(x, clusters, seed=k)
+        centres = _clusters(unit(np.log1p(np.stack(by[language])) * idf), clusters, seed=k)
         centroids.append(centres)
         owner += [k] * len(centres)
-        radius.append(slack * float(np.quantile((x @ centres.T).max(axis=1), 0.01)))
-    return Model(languages, idf, np.vstack(centroids).astype(np.float32), np.array(owner), np.array(radius))
+    model = Model(languages, idf, np.vstack(centroids).astype(np.float32), np.array(owner), np.zeros((len(languages), LENGTHS)))
+
+    @F.arrow_udf("array<struct<bin:int,close:double>>")
+    def measured(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, names in columns:
+            rows = []
+            for value, name in zip(texts, names.to_pylist(), strict=True):
+                tf = counts([x for x in excerpts(value.as_py()) if has_letter(x)])
+                rows.append([{"bin": int(b), "close": float(c)} for b, c in zip(length_bin(tf), model.closeness(tf, name), strict=True)] if len(tf) else [])
+            yield pa.array(rows, pa.list_(pa.struct([("bin", pa.int32()), ("close", pa.float64())])))
+
+    start, end = (F.create_map(*(F.lit(x) for k in languages for x in (k, last[k] + wide / seen[k]))) for wide in (0.0, 1.3 * per_language))
+    held = drawn.where(F.col("_lang").isin(languages) & (F.col("_draw") > F.element_at(start, F.col("_lang"))) & (F.col("_draw") <= F.element_at(end, F.col("_lang"))))
+    lengths_ = held.select("_lang", F.explode(measured("_text", "_lang")).alias("m")).groupBy("_lang", "m.bin").agg(F.percentile("m.close", F.lit(0.01)).alias("close"), F.count("*").alias("n")).where(F.col("n") >= least)
+    for row in lengths_.collect():  # a row for each language and length
+        model.radius[languages.index(row._lang), row.bin] = slack * row.close
+    model.radius = np.maximum.accumulate(model.radius, axis=1)
+    return model
+
+
+def excerpts(text: str) -> list[str]:
+    """The whole text, and 1, 2, 4, ... words from its middle."""
+    own, out, n = text.split(), [text], 1
+    while n < len(own):
+        at = (len(own) - n) // 2
+        out.append(" ".join(own[at : at + n]))
+        n *= 2
+    return out
 
 
 def _predictor(model: Model | None):

@@ -613,6 +613,57 @@ def test_language(spark, sf_dir, odd):
     assert kept.columns == odd.columns and {1, 2, 3, 8}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3,
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. " * 3,
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。" * 3,
+    " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for i in range(200)),
+    "".join(random.Random(5).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1200)),
+]
+
+
+def brute_language(model, text):
+    """Language, cosine and rejection by plain loops over n-grams."""
+    data = bytes(b if b >= 0x80 or chr(b).isalpha() else 32 for b in (" " + text.lower() + " ").encode())
+    tf = collections.Counter()
+    for n in (2, 3):
+        for i in range(len(data) - n + 1):
+            tf[((int.from_bytes(data[i : i + n], "big") + n) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    x = {g: math.log1p(k) * float(model.idf[g]) for g, k in tf.items()}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    close = [sum(v * float(c[g]) for g, v in x.items()) / length for c in model.centroids]
+    best = max(range(len(close)), key=close.__getitem__)
+    far = close[best] < model.radius[model.owner[best], int(math.log2(sum(tf.values())))]
+    return model.languages[model.owner[best]], close[best], far, tf
+
+
+def test_language_against_plain_loops(spark, documents):
+    df = spark.createDataFrame(documents[["doc_id", "text", "lang"]])
+    model = langid.train(df)
+    seen, n = collections.Counter(), 0
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    for i, text in zip(documents.doc_id, documents.text, strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        name, close, far, tf = brute_language(model, text)
+        seen.update(tf.keys())
+        n += 1
+        assert got[i].lang_pred == name and abs(got[i].score - close) < 1e-4 and got[i].rejected == far
+    assert np.allclose(model.idf, [math.log((1 + n) / (1 + seen[g])) + 0.1 for g in range(langid.DIMENSIONS)], atol=1e-5)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5) and (np.diff(model.radius, axis=1) >= 0).all()
+
+
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(langid.fold("doc_id", 4) != 2))
+    rows = spark.createDataFrame(list(enumerate(FOREIGN)), "doc_id bigint, text string")
+    assert [r.rejected for r in langid.identify(rows, model).orderBy("doc_id").collect()] == [True] * len(FOREIGN)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    clean = langid.identify(docs.join(labels, "doc_id", "left_semi"), model)
+    assert clean.where("rejected").count() <= 0.005 * clean.count()
+
+
 # 10
 
 
