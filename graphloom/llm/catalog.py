@@ -55,7 +55,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
-    return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=False)
+    return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing)}

@@ -80,6 +80,14 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, or with more underscores where df has such a column: temporary columns never clash."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
     temporary one, but only for a local master."""

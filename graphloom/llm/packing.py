@@ -5,11 +5,6 @@ documents."""
 
 from __future__ import annotations
 
-import base64
-import functools
-import json
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,61 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import MOST_BROADCAST, frugal, materialize, prepare
-
-#: Texts of these characters alone are encoded from the rank file, which holds the same
-#: vocabulary and is several times faster; both libraries cut them alike. All other texts go
-#: to the tokenizers library.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
-
-
-def encoder(vocabulary: str, ranks: str | None):
-    """A function from a text to its ids as little-endian uint32. The tokenizers library is loaded when
-    a text first needs it."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
-    @functools.cache
-    def library():
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(vocabulary)
-        model.no_truncation()
-        model.no_padding()
-        return model
-
-    def slow(text: str) -> np.ndarray:
-        return np.array(library().encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    if ranks is None:
-        return slow
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    special = _special(vocabulary)
-
-    def encode(text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text) or any(x in text for x in special):
-            return slow(text)
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-
-    return encode
-
-
-def _special(vocabulary: str) -> list[str]:
-    """The special strings of a vocabulary file."""
-    with open(vocabulary, encoding="utf-8") as f:
-        return [x["content"] for x in json.load(f).get("added_tokens", [])]
-
+from graphloom.llm.common import MOST_BROADCAST, frugal, materialize, pieces, prepare
+from graphloom.llm.tokens import BATCH_BYTES, Encoder
 
 def decompose(n: int, size: int) -> list[int]:
     """Lengths of the pieces of n tokens: full sequences, then the powers of two of the rest."""
     return [size] * (n // size) + [1 << k for k in range(size.bit_length() - 1, -1, -1) if (n % size) >> k & 1]
 
 
-def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, id: str = "doc_id", text: str = "text", size: int = 2048, end: int = 1, ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", size: int = 2048, end: int = 1, ids: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     if asked for, the ids themselves.
 
@@ -91,8 +40,8 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, id: str = "do
 
     @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(vocabulary, ranks), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        encoder, part, seen = Encoder(vocabulary), TaskContext.get().partitionId(), {}
+        for batch in (x for whole in batches for x in pieces(whole, "_text", BATCH_BYTES)):
             out: list[list] = [[] for _ in names]
             rows: list[int] = []
 
@@ -104,8 +53,8 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, id: str = "do
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
             held = 0
-            for row in range(batch.num_rows):
-                tokens = np.append(encode(batch.column(1)[row].as_py() or ""), np.uint32(end)).astype("<u4")
+            for row, own in enumerate(encoder.encode([x.as_py() or "" for x in batch.column(1)])):
+                tokens = np.append(own, np.uint32(end)).astype("<u4")
                 at = 0
                 for n in decompose(len(tokens), size):
                     piece = tokens[at : at + n]

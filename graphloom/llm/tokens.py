@@ -1,28 +1,40 @@
 """Token counts: whole batches are encoded by the tokenizer's own library inside an Arrow
-function that returns lengths only. Batches hold about equally many bytes, and long texts are
-cut where the tokenizer cuts anyway."""
+function that returns lengths only. Batches hold about equally many bytes, and texts are cut where
+the tokenizer cuts anyway, so that what repeats in a batch is encoded once."""
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lengths, prepare
+from graphloom.llm.common import fresh_name, lengths, prepare
 
-#: Between a character that is no white space and a space before a letter, the byte-level
-#: pattern always cuts: white space only ever begins its matches.
-_SAFE = re.compile(r"(?<=\S) (?=[A-Za-z])")
+#: The byte-level pattern always cuts before a space between two characters that are no white space
+#: (Python counts a few more characters as such than the pattern does, which only means fewer cuts),
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: and between these marks and a letter or digit.
+_MARKS = re.compile(r"(?<=[。，、！？；：])(?=[^\W_])")
+#: White space other than spaces and line ends.
+_ODD = re.compile(r"[^\S \n]")
+#: Characters of a piece from which it is cut at marks too.
+LONG = 20_000
+#: Pieces, and characters of them, that a worker remembers at most.
+MOST_PIECES, MOST_CHARACTERS = 500_000, 16_000_000
+#: Bytes that the library encodes at a time.
+BATCH_BYTES = 500_000
 
 
 @functools.cache
 def tokenizer(path: str):
-    """A function from texts to their numbers of tokens, loaded once in each Python worker."""
+    """A function from texts to the ids of each, loaded once in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
     if path.endswith(".json"):
         from tokenizers import Tokenizer
@@ -30,72 +42,156 @@ def tokenizer(path: str):
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
-        return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        return lambda texts: model.encode(texts, num_threads=1)
     raise ValueError(f"no tokenizer library for {path}")
 
 
 @functools.cache
 def cuts_safely(path: str) -> bool:
-    """Whether texts may be cut at _SAFE: the file is a byte-level model with the usual pattern."""
+    """Whether texts may be cut at _SAFE and _MARKS: the file is a byte-level model with the usual pattern,
+    and no added token reaches across a cut."""
     if not path.endswith(".json"):
         return False
-    import json
-
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    before = model.get("pre_tokenizer") or {}
-    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not model.get("normalizer") and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in model.get("added_tokens", []))
-
+    before, added = model.get("pre_tokenizer") or {}, model.get("added_tokens", [])
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not model.get("normalizer")
+    return usual and not any(" " in x["content"] or _MARKS.search(f"a{x['content']}a") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added)
 
-def split_safely(text: str, size: int) -> list[str]:
-    """text in parts of about `size` characters, cut at _SAFE alone; their counts add up to the text's."""
-    parts, at = [], 0
-    while len(text) - at > size and (m := _SAFE.search(text, at + size)):
-        parts.append(text[at : m.start()])
-        at = m.start()
-    return [*parts, text[at:]]
 
-
-def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int = 1024, batch_chars: int = 500_000, part_chars: int = 50_000) -> DataFrame:
+@functools.cache
+def spaced(path: str) -> np.ndarray:
+    """Whether each id of a byte-level model begins with a space."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(ids.values()) + 1, bool)
+    out[[i for x, i in ids.items() if x.startswith("Ġ")]] = True  # the model's sign for a space
+    return out
+
+
+def split_safely(text: str) -> list[str]:
+    """Pieces of the text whose ids, one after the other, are the text's. All but the first have lost
+    the space before them."""
+    if _ODD.search(text) or "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+        return _SAFE.split(text)
+    return text.split(" ")
+
+
+class Encoder:
+    """The library's ids of whole texts. Texts are cut by split_safely where the model allows it, and a
+    worker remembers the numbers of the ids of pieces, so that a piece that repeats is encoded once;
+    what it remembers has a bound."""
+
+    def __init__(self, path: str):
+        self.library, self.cut = tokenizer(path), cuts_safely(path)
+        self.spaced = spaced(path) if self.cut else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, int] = {}
+        self.rest: dict[str, int] = {}
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.characters = 0
+
+    def _learn(self, first: list[str], rest: list[str]) -> None:
+        """Takes up new pieces. Those after a space and without another one are encoded as one text: its
+        ids that begin with a space begin a piece."""
+        one = [x for x in rest if " " not in x and len(x) <= LONG]
+        other = [x for x in rest if " " in x or len(x) > LONG]
+        found, sizes = [], []
+        for batch in _batches(one):
+            ids = np.array(self.library([" " + " ".join(batch)])[0], np.uint32)
+            found.append(ids)
+            sizes.append(np.diff(np.flatnonzero(np.append(self.spaced[ids], True))))
+        for batch in _batches([*(" " + x for x in other), *first]):
+            parts = [_MARKS.split(x) if len(x) > LONG else [x] for x in batch]
+            ids = iter(self.library([y for x in parts for y in x]))
+            for x in parts:
+                found.append(np.array([i for _ in x for i in next(ids)], np.uint32))
+                sizes.append([len(found[-1])])
+        at = len(self.start) - 1
+        self.rest.update(zip(one, range(at, at + len(one)), strict=True))
+        self.rest.update(zip(other, range(at + len(one), at + len(rest)), strict=True))
+        self.first.update(zip(first, range(at + len(rest), at + len(rest) + len(first)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, *found])
+        self.characters += sum(map(len, rest)) + sum(map(len, first))
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every piece of the texts, and where each text's begin."""
+        if len(self.first) + len(self.rest) > MOST_PIECES or self.characters > MOST_CHARACTERS:
+            self.forget()
+        split = [split_safely(t) for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])
+        heads, flat = [x[0] for x in split], [p for x in split for p in x[1:]]
+        first, rest = {*heads}.difference(self.first), {*flat}.difference(self.rest)
+        if first or rest:
+            self._learn([*first], [*rest])
+        numbers = np.empty(at[-1], np.int64)
+        inner = np.ones(at[-1], bool)
+        inner[at[:-1]] = False
+        numbers[at[:-1]] = [self.first[h] for h in heads]
+        numbers[inner] = np.fromiter(map(self.rest.__getitem__, flat), np.int64, len(flat))
+        return numbers, at
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        if not self.cut:
+            return [len(x) for x in self.library(texts)]
+        numbers, at = self._numbers(texts)
+        total = np.concatenate([[0], np.cumsum(np.diff(self.start)[numbers])])
+        return (total[at[1:]] - total[at[:-1]]).tolist()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, little-endian uint32."""
+        if not self.cut:
+            return [np.array(x, "<u4") for x in self.library(texts)]
+        numbers, at = self._numbers(texts)
+        size = np.diff(self.start)[numbers]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        all_ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends[:-1], size)].astype("<u4")
+        return [all_ids[ends[a] : ends[b]] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _batches(texts: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Runs of texts of about `most` bytes; a longer one is a run of its own."""
+    batch, size = [], 0
+    for x in texts:
+        n = len(x) if x.isascii() else len(x.encode())
+        if batch and size + n > most:
+            yield batch
+            batch, size = [], 0
+        batch.append(x)
+        size += n
+    if batch:
+        yield batch
+
+
+def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int = 1024, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """df with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every row's whole text.
 
     vocabulary: path of a .json (tokenizers) or .model (sentencepiece) file, readable on every
-    executor. batch_chars: characters encoded at once; part_chars: longer texts are cut at safe
-    boundaries (byte-level models only). Null counts as empty: 0 bytes, 0 tokens. Rows may repeat;
-    each counts for itself. Columns of df with the names of the results are replaced; an empty df
-    gives an empty result. No shuffle, no driver work; a lost task is simply run again.
+    executor. batch_bytes: bytes of text that are cut and encoded at a time. Texts are cut at safe
+    boundaries (byte-level models only; others get whole texts). Null counts as empty: 0 bytes, 0
+    tokens. Rows may repeat; each counts for itself. Columns of df with the names of the results are
+    replaced; an empty df gives an empty result. No shuffle, no driver work; a lost task is run again.
     """
     prepare(df)
     kind = pa.struct([("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     @F.arrow_udf("struct<n_bytes:bigint,n_tokens:bigint>")
     def measured(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        count, cut = tokenizer(vocabulary), cuts_safely(vocabulary)
+        encoder = Encoder(vocabulary)
         for column in columns:
-            totals, batch, owners, size = [0] * len(column), [], [], 0
-
-            def flush() -> None:
-                for row, n in zip(owners, count(batch), strict=True):
-                    totals[row] += n
-                batch.clear(), owners.clear()
-
-            for row in range(len(column)):
-                whole = column[row].as_py()
-                for part in split_safely(whole, part_chars) if cut and whole else [whole] if whole else []:
-                    batch.append(part), owners.append(row)
-                    size += len(part)
-                    if size >= batch_chars:
-                        flush()
-                        size = 0
-            flush()
-            size = 0
+            totals = [n for batch in _batches([x.as_py() or "" for x in column], batch_bytes) for n in encoder.counts(batch)]
             yield pa.StructArray.from_arrays([pa.array(lengths(column), pa.int64()), pa.array(totals, pa.int64())], fields=list(kind))
 
-    of, taken = "_measured", {"n_bytes", "n_tokens", "over_limit"}
+    of, taken = fresh_name(df, "_measured"), {"n_bytes", "n_tokens", "over_limit"}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
     return df.select(*kept, measured(F.col(f"`{text}`").cast("string")).alias(of)).select(*kept, F.col(f"{of}.n_bytes").alias("n_bytes"), F.col(f"{of}.n_tokens").alias("n_tokens"), (F.col(f"{of}.n_tokens") > limit).alias("over_limit"))
