@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import MOST_BROADCAST, frugal, materialize, mix, pieces, prepare, raw, words
+from graphloom.llm.common import MOST_BROADCAST, fresh_name, frugal, heavy_from, materialize, mix, pieces, prepare, raw, salted_join, words
 from graphloom.llm.minhash import only
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -27,6 +27,9 @@ REACH = 24
 SIGNS = 16
 #: What a word of gap costs a chain, in matched words.
 GAP_COST = 0.1
+MOST_CARRIED = GAP_COST * 8 * REACH
+#: Words between two seeds that stand next to each other in a junction.
+NEXT = 12
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -48,14 +51,27 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def monotone(h: np.ndarray, least: int) -> np.ndarray:
+    """Places `least` apart, and the last one, in stretches of `least` equal hashes or more: a word that is
+    repeated on and on. Their first document is one that repeats it as long, not just once or twice."""
+    cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[cut, len(h)])
+    out = [np.r_[np.arange(a, a + n - least + 1, least), a + n - least] for a, n in zip(cut, size, strict=True) if n >= least] if size.max() >= least else []
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 def _paired(h: np.ndarray, owner: np.ndarray, head: np.ndarray) -> np.ndarray:
     """For rows sorted by (h, owner, place), with the first row of each h: the hub's place that a row goes
-    with, as a row. The n-th time that a text holds a seed goes with the n-th time of the hub, or its last."""
+    with, as a row. The n-th time that a text holds a seed goes with the n-th time of the hub; a text that
+    holds it more often begins again, and what is left over goes with the hub's last times."""
     run = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
     size = np.diff(np.r_[run, len(h)])
+    times = np.repeat(size, size)
     rank = np.arange(len(h)) - np.repeat(run, size)
     of_hub = size[np.searchsorted(run, head)]
-    return head + np.minimum(rank, of_hub - 1)
+    rounds = times // of_hub
+    over = (rounds > 0) & (rank >= rounds * of_hub)
+    return head + np.where(over, of_hub - (times - rank), rank % of_hub)
 
 
 def signs(h: np.ndarray) -> np.ndarray:
@@ -66,10 +82,11 @@ def signs(h: np.ndarray) -> np.ndarray:
     return x
 
 
-def may_go_on(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether reach() can find anything in REACH words that begin like these signs. It never says no
-    where reach() goes on: equal words have equal signs, and words behind the signs count as equal."""
-    out = np.zeros(len(a), bool)
+def may_go_on(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether reach() can find anything in REACH words that begin like these signs, and whether it can
+    come to their end. It never says no where reach() goes on: equal words have equal signs, and words
+    behind the signs count as equal."""
+    out, far = np.zeros(len(a), bool), np.zeros(len(a), bool)
     for i, j in ((0, 0), *SKIPS):
         x = (a >> np.uint64(4 * i)) ^ (b >> np.uint64(4 * j))
         worth = np.zeros(len(a), np.int8)
@@ -77,15 +94,15 @@ def may_go_on(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             worth += np.where(x & np.uint64(15), np.int8(-2), np.int8(1))
             out |= worth > 2 * (i + j)
             x >>= np.uint64(4)
-        out |= worth + (REACH - SIGNS) > 2 * (i + j)
-    return out
+        far |= worth + (REACH - SIGNS) > 2 * (i + j)
+    return out | far, far
 
 
-def _seeds(k: int, every: int):
-    """(hash, id, pos, behind, ahead, hub, hub_pos, near): each text's seeds, the least k-gram hash of every `every` places.
-    Of a seed that several texts of a chunk hold, only the first text's go on (hub null); the others
-    are anchors to it already, so a passage that very many texts share is shuffled once a chunk.
-    behind and ahead: the signs of the words around; near: see _anchors."""
+def _seeds(k: int, every: int, least: int):
+    """(key, id, pos, behind, ahead, hash, hub, hub_pos, near): each text's seeds, the least k-gram hash of
+    every `every` places. Of a seed that several texts of a chunk hold, only the first text's go on (key is
+    their hash, hub null); the others are anchors to it already and spread by id, so a passage that very
+    many texts share is shuffled once a chunk. behind and ahead: the signs of the words around; near: see _near."""
 
     @frugal
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +118,9 @@ def _seeds(k: int, every: int):
                         rolling = rolling * _GOLD + h[i : len(h) - k + 1 + i]
                     rolling = mix(rolling)
                     pos = winnow(rolling, every)
-                    found.append(rolling[pos])
+                    more = monotone(rolling, least - k + 1)
+                    found += [rolling[pos], mix(~rolling[more])]
+                    pos = np.r_[pos, more]
                     owner.append(np.full(len(pos), row, np.int64))
                     at.append(pos)
                     around.append((signs(h[::-1])[len(h) - pos], signs(h)[pos + k]))
@@ -111,50 +130,73 @@ def _seeds(k: int, every: int):
                 behind, ahead = (np.concatenate(x) for x in zip(*around, strict=True))
                 order = np.lexsort((at, owner, h))
                 h, owner, at, behind, ahead = h[order], owner[order], at[order], behind[order], ahead[order]
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                head = np.repeat(first, np.diff(np.r_[first, len(h)]))
-                lead = owner == owner[head]
-                with_ = _paired(h, owner, head)
+                lead, with_ = _led(h, owner)
                 near = np.zeros(len(h), np.int8)
                 near[~lead] = _near(behind, ahead, np.flatnonzero(~lead), with_[~lead])
-                hub, hub_pos, near = (pa.array(x, t, mask=lead) for x, t in ((owner[head], pa.int64()), (at[with_], pa.int64()), (near, pa.int8())))
                 behind, ahead = (pa.array(x.view(np.int64), pa.int64(), mask=~lead) for x in (behind, ahead))
-                spread, mine, pos = np.where(lead, h, mix(owner.view(np.uint64)).view(np.int64)), owner, at
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(mine), pa.array(pos, pa.int64()), behind, ahead, hub, hub_pos, near], names=["hash", "id", "pos", "behind", "ahead", "hub", "hub_pos", "near"])
+                yield pa.RecordBatch.from_arrays([*_dealt(h, owner, at, lead, with_), behind, ahead, pa.array(near, pa.int8(), mask=lead)], names=["key", "id", "pos", "hash", "hub", "hub_pos", "behind", "ahead", "near"])
 
     return seeds
 
 
+def _led(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (h, owner, place): which belong to the first text of their h, and the rows of that
+    text that the others go with."""
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    head = np.repeat(first, np.diff(np.r_[first, len(h)]))
+    return owner == owner[head], _paired(h, owner, head)
+
+
+def _dealt(h: np.ndarray, owner: np.ndarray, at: np.ndarray, lead: np.ndarray, with_: np.ndarray) -> list[pa.Array]:
+    """(key, id, pos, hash, hub, hub_pos): leading rows go on by their hash, the others are anchors already."""
+    key = np.where(lead, h, mix(owner.view(np.uint64)).view(np.int64))
+    return [pa.array(key), pa.array(owner), pa.array(at, pa.int64()), *(pa.array(x, pa.int64(), mask=lead) for x in (h, owner[with_], at[with_]))]
+
+
 def _near(behind: np.ndarray, ahead: np.ndarray, own: np.ndarray, hub: np.ndarray) -> np.ndarray:
-    """1 where the words before two rows' seeds may go on alike, plus 2 where those after them may."""
-    return may_go_on(behind[own], behind[hub]).astype(np.int8) + np.int8(2) * may_go_on(ahead[own], ahead[hub])
+    """1 where the words before two rows' seeds may go on alike, plus 2 where those after them may, plus 4
+    and 8 where they may beyond REACH words."""
+    (left, far_left), (right, far_right) = may_go_on(behind[own], behind[hub]), may_go_on(ahead[own], ahead[hub])
+    return left + np.int8(2) * right + np.int8(4) * far_left + np.int8(8) * far_right
 
 
-@frugal
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hash, id, pos): each seed's first text is the hub of the others. Between batches
-    the hub's rows of the last seed are held, and those of its last text: a text's length at most.
-    near: 1 where the words before the seed may go on alike, plus 2 where those after it may."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        ready = batch.filter(batch.column("hub").is_valid())
-        seeds = batch.filter(batch.column("hub").is_null())
-        if ready.num_rows:
-            yield ready.select(["id", "pos", "hub", "hub_pos", "near"])
-        if not seeds.num_rows:
-            continue
-        rows = [seeds.column(c).to_numpy() for c in ("hash", "id", "pos")] + [seeds.column(c).to_numpy().view(np.uint64) for c in ("behind", "ahead")]
-        done = len(held[0]) if held else 0
-        h, owner, pos, behind, ahead = (np.concatenate(x) for x in zip(held, rows, strict=True)) if held else rows
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        head = np.repeat(first, np.diff(np.r_[first, len(h)]))
-        keep = (owner != owner[head]) & (np.arange(len(h)) >= done)
-        if keep.any():
-            with_ = _paired(h, owner, head)[keep]
-            near = _near(behind, ahead, np.flatnonzero(keep), with_)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (owner[keep], pos[keep], owner[head][keep], pos[with_])), pa.array(near)], names=["id", "pos", "hub", "hub_pos", "near"])
-        last = (h == h[-1]) & ((owner == owner[first[-1]]) | (owner == owner[-1]))
-        held = [x[last] for x in (h, owner, pos, behind, ahead)]
+_ANCHORS = "id bigint, pos bigint, hub bigint, hub_pos bigint, near tinyint, hash bigint, span bigint, need boolean"
+
+
+def _anchors(signed: bool):
+    """(id, pos, hub, hub_pos, near, hash, span) of rows sorted by (key, id, pos): each key's first text is
+    the hub of the others. Between batches the hub's rows of the last key are held, and those of its last
+    text: a text's length at most. signed: the rows have signs; else spans and whether they need a hub."""
+    names = [x.split()[0] for x in _ANCHORS.split(", ")]
+
+    @frugal
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            ready = batch.filter(batch.column("hub").is_valid())
+            seeds = batch.filter(batch.column("hub").is_null())
+            if ready.num_rows:
+                n = ready.num_rows
+                near, span, need = (ready.column("near"), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, bool))) if signed else (pa.array(np.full(n, 15, np.int8)), ready.column("span"), ready.column("need"))
+                yield pa.RecordBatch.from_arrays([*(ready.column(c) for c in names[:4]), near, ready.column("hash"), span, need], names=names)
+            if not seeds.num_rows:
+                continue
+            rows = [seeds.column(c).to_numpy() for c in ("key", "id", "pos", *(("behind", "ahead") if signed else ("span",)))] + ([] if signed else [seeds.column("need").to_numpy(zero_copy_only=False)])
+            done = len(held[0]) if held else 0
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            h, owner, pos = rows[:3]
+            lead, with_ = _led(h, owner)
+            keep = ~lead & (np.arange(len(h)) >= done)
+            if keep.any():
+                with_ = with_[keep]
+                near = _near(rows[3].view(np.uint64), rows[4].view(np.uint64), np.flatnonzero(keep), with_) if signed else np.full(len(with_), 15, np.int8)
+                span, need = (np.zeros(len(with_), np.int64), np.ones(len(with_), bool)) if signed else (rows[3][keep], rows[4][keep])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (owner[keep], pos[keep], owner[with_], pos[with_])), pa.array(near), pa.array(h[keep]), pa.array(span), pa.array(need)], names=names)
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[-1]
+            last = (h == h[-1]) & ((owner == owner[start]) | (owner == owner[-1]))
+            held = [x[last] for x in rows]
+
+    return anchors
 
 
 class Fenwick:
@@ -189,7 +231,9 @@ def segments(pos: np.ndarray, hub: np.ndarray, k: int) -> list[tuple[int, int, i
 
 
 def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """Collinear chains of segments, best first; each segment is in one chain at most."""
+    """Collinear chains of segments, best first; each segment is in one chain at most. What a chain hands
+    on to the next segment is MOST_CARRIED words at most, so that the best predecessor is one within
+    reach: gaps of more than MOST_CARRIED / GAP_COST words, of both sides together, part chains."""
     if len(parts) == 1:
         return [parts]
     ends = sorted({h + e - s for s, e, h in parts})
@@ -200,12 +244,12 @@ def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
         while done < len(parts) and parts[by_end[done]][1] <= s:  # all that end before this starts
             j = by_end[done]
             js, je, jh = parts[j]
-            tree.put(bisect_left(ends, jh + je - js), score[j] + GAP_COST * (je + jh + je - js), j)
+            tree.put(bisect_left(ends, jh + je - js), min(score[j], MOST_CARRIED) + GAP_COST * (je + jh + je - js), j)
             done += 1
         value, j = tree.most(bisect_left(ends, h + 1))
         value -= GAP_COST * (s + h)
-        if j >= 0 and value > 0 and s - parts[j][1] <= 4 * REACH and h - (parts[j][2] + parts[j][1] - parts[j][0]) <= 4 * REACH:
-            score[i], before[i] = e - s + value, j
+        if j >= 0 and value > 0:
+            score[i], before[i] = e - s + score[j] - (min(score[j], MOST_CARRIED) - value), j
         else:
             score[i] = float(e - s)
     out, used = [], [False] * len(parts)
@@ -220,31 +264,54 @@ def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-def farthest(chain: list[tuple[int, int, int]], k: int, near: dict[tuple[int, int], int]) -> int:
+def farthest(chain: list[tuple[int, int, int]], k: int, near: dict[tuple[int, int], int]) -> float:
     """Words that no passage of the chain exceeds: from the first place that one of its segments may
     reach back to, to the last that one may reach forward to. near: of each (pos, hub_pos)."""
-    first = min(s - REACH * (near[s, h] & 1) for s, _, h in chain)
-    last = max(e + REACH * (near[e - k, h + e - k - s] >> 1) for s, e, h in chain)
+    codes = [(near[s, h], near[e - k, h + e - k - s]) for s, e, h in chain]
+    if any(a & 4 or b & 8 for a, b in codes):
+        return float("inf")
+    first = min(s - REACH * (a & 1) for (s, _, _), (a, _) in zip(chain, codes, strict=True))
+    last = max(e + REACH * (b >> 1 & 1) for (_, e, _), (_, b) in zip(chain, codes, strict=True))
     return last - first
 
 
-def _chained(k: int, least: int):
-    """Chains of rows sorted by (id, hub): (chain, id, hub, parts, own_blocks, hub_blocks). Chains that
-    alignment can't bring to `least` are dropped: a seed or two that texts share by chance. It looks
-    at REACH words beyond either end, of which near tells where none can match."""
+_CHAINS = "chain bigint, id bigint, hub bigint, parts array<bigint>, own_blocks array<bigint>, hub_blocks array<bigint>"
+_GROUPED = f"{_CHAINS}, key bigint, pos bigint, hash bigint, hub_pos bigint, span bigint, need boolean"
+
+
+def _grouped(k: int, every: int, least: int, level: int):
+    """Of anchors sorted by (id, pos): chains (chain, id, hub, parts, own_blocks, hub_blocks), at higher levels
+    the anchors themselves as parts of chains, and junctions (key, id, pos, hash, hub, hub_pos, span, need).
+
+    Chains that alignment can't bring to `least` are dropped: a seed or two that texts share by chance.
+    A junction is a pair of neighbouring anchors with different hubs, or different places in one. Texts
+    that share a passage whose parts different texts hold first have its junctions in common, and the
+    first text with a junction is its hub: an anchor of the next level. Only stretches of anchors that a
+    passage of `least` words could stand in have junctions. need: whether the text needs a hub there; others
+    only serve as hubs."""
+    names = [x.split()[0] for x in _GROUPED.split(", ")]
 
     @frugal
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 33
         rest: list[np.ndarray] | None = None
 
-        def solve(c: list[np.ndarray]) -> pa.RecordBatch:
+        def linked(c: list[np.ndarray]) -> pa.RecordBatch:
+            own, pos, hub, hub_pos, span = (x[c[7]] for x in (*c[:4], c[6]))
+            both = np.stack([pos, pos + k, hub_pos, pos + span, pos + span + k, hub_pos + span], axis=1)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * len(own) + 1, 6), pa.int32()), pa.array(both.reshape(-1)))
+            none = pa.nulls(len(own), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int64)), pa.array(own), pa.array(hub), parts, none, none] + [pa.nulls(len(own), pa.int64())] * 5 + [pa.nulls(len(own), pa.bool_())], names=names)
+
+        def chained(c: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal serial
-            own, pos, hub, hub_pos, near = c
+            own, pos, hub, hub_pos, near = c[:5]
+            order = np.lexsort((pos, hub, own))
+            own, pos, hub, hub_pos, near = own[order], pos[order], hub[order], hub_pos[order], near[order]
             cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (hub[1:] != hub[:-1])])
             out: list[list] = [[] for _ in range(6)]
             for a, b in zip(cut, np.r_[cut[1:], len(own)], strict=True):
-                if b - a == 1 and k + REACH * ((near[a] & 1) + (near[a] >> 1)) < least:
+                if b - a == 1 and near[a] < 4 and k + REACH * ((near[a] & 1) + (near[a] >> 1)) < least:
                     continue
                 at = None
                 for chain in chains(segments(pos[a:b], hub_pos[a:b], k)):
@@ -253,29 +320,111 @@ def _chained(k: int, least: int):
                         at = at or dict(zip(zip(pos[a:b].tolist(), hub_pos[a:b].tolist(), strict=True), near[a:b].tolist(), strict=True))
                         if farthest(chain, k, at) < least:
                             continue
-                    spots = [(start - REACH, start), (end, end + REACH)] + [(p[1], q[0]) for p, q in zip(chain, chain[1:], strict=False)]
-                    last = chain[-1][2] + chain[-1][1] - chain[-1][0]
-                    hub_spots = [(chain[0][2] - REACH, chain[0][2]), (last, last + REACH)] + [(p[2] + p[1] - p[0], q[2]) for p, q in zip(chain, chain[1:], strict=False)]
-                    need = [sorted({n for x, y in s if y > max(0, x) for n in range(max(0, x) // BLOCK, (y - 1) // BLOCK + 1)}) for s in (spots, hub_spots)]
-                    for column, value in zip(out, (serial, int(own[a]), int(hub[a]), [n for p in chain for n in p], *need), strict=True):
+                    for column, value in zip(out, (serial, int(own[a]), int(hub[a]), *spots(chain)), strict=True):
                         column.append(value)
                     serial += 1
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["chain", "id", "hub", "parts", "own_blocks", "hub_blocks"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)] + [pa.nulls(len(out[0]), pa.int64())] * 5 + [pa.nulls(len(out[0]), pa.bool_())], names=names)
+
+        def junctions(c: list[np.ndarray]) -> pa.RecordBatch | None:
+            own, pos, hub, hub_pos, _, h, span, need = c
+            apart = pos[1:] - (pos[:-1] + span[:-1])
+            beside = (own[1:] == own[:-1]) & (apart <= NEXT)
+            stretch, first = np.r_[0, np.cumsum(~beside)], np.flatnonzero(np.r_[True, ~beside])
+            long = (np.maximum.reduceat(pos + span, first) + k - pos[first] >= least - 2 * (every - 1))[stretch]
+            at = np.flatnonzero(beside & (pos[1:] > pos[:-1]) & long[1:] & ((hub[1:] != hub[:-1]) | (hub_pos[1:] - pos[1:] != hub_pos[:-1] - pos[:-1])))
+            if not len(at):
+                return None
+            with np.errstate(over="ignore"):
+                key = mix(mix(h[at].view(np.uint64)) * _GOLD + h[at + 1].view(np.uint64) + (pos[at + 1] - pos[at]).view(np.uint64) * _GOLD).view(np.int64)
+            width, owner, place, need = pos[at + 1] + span[at + 1] - pos[at], own[at], pos[at], need[at] | need[at + 1]
+            order = np.lexsort((place, owner, key))
+            key, owner, place, width, need = key[order], owner[order], place[order], width[order], need[order]
+            lead, with_ = _led(key, owner)
+            key_, id_, pos_, hash_, hub_, hub_pos_ = _dealt(key, owner, place, lead, with_)
+            none = pa.nulls(len(key), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), id_, hub_, none, none, none, key_, pos_, hash_, hub_pos_, pa.array(width), pa.array(need)], names=names)
+
+        def solve(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            yield linked(c) if level else chained(c)
+            if (found := junctions(c)) is not None:
+                yield found
 
         for batch in batches:
-            c = [batch.column(n).to_numpy() for n in ("id", "pos", "hub", "hub_pos", "near")]
+            c = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "pos", "hub", "hub_pos", "near", "hash", "span", "need")]
             if rest is not None:
                 c = [np.concatenate(x) for x in zip(rest, c, strict=True)]
-            same = np.flatnonzero((c[0] != c[0][-1]) | (c[2] != c[2][-1])) if len(c[0]) else []
+            same = np.flatnonzero(c[0] != c[0][-1]) if len(c[0]) else []
             whole = int(same[-1]) + 1 if len(same) else 0
             if whole:
-                yield solve([x[:whole] for x in c])
+                yield from solve([x[:whole] for x in c])
             rest = [x[whole:] for x in c]
         if rest is not None and len(rest[0]):
-            yield solve(rest)
+            yield from solve(rest)
+
+    return grouped
+
 
-    return chained
+def blocks_of(spots: list[tuple[int, int]]) -> list[int]:
+    """The blocks that hold the words of some stretches."""
+    return sorted({n for x, y in spots if y > max(0, x) for n in range(max(0, x) // BLOCK, (y - 1) // BLOCK + 1)})
+
+
+def spots(chain: list[tuple[int, int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """A chain's numbers, and the blocks of its own and its hub's words that alignment looks at: around its
+    ends and between its parts."""
+    start, end = chain[0][0], chain[-1][1]
+    last = chain[-1][2] + chain[-1][1] - chain[-1][0]
+    own = [(start - REACH, start), (end, end + REACH)] + [(p[1], q[0]) for p, q in zip(chain, chain[1:], strict=False)]
+    hub = [(chain[0][2] - REACH, chain[0][2]), (last, last + REACH)] + [(p[2] + p[1] - p[0], q[2]) for p, q in zip(chain, chain[1:], strict=False)]
+    return [n for p in chain for n in p], blocks_of(own), blocks_of(hub)
+
+
+def merged(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Segments (start, end, hub_start), of which those that overlap or touch on one diagonal are one."""
+    out: list[tuple[int, int, int]] = []
+    for s, e, h in sorted(parts, key=lambda p: (p[2] - p[0], p[0])):
+        if out and out[-1][2] - out[-1][0] == h - s and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
+        else:
+            out.append((s, e, h))
+    return sorted(out)
+
+
+@frugal
+def _rechained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of all the segments in `parts` of rows sorted by (id, hub)."""
+    names = [x.split()[0] for x in _CHAINS.split(", ")]
+    out: list[list] = [[] for _ in names]
+    serial = (1 << 56) + (TaskContext.get().partitionId() << 33)
+    now, segs = None, []
+
+    def done() -> None:
+        nonlocal serial
+        for chain in chains(merged(segs)):
+            for column, value in zip(out, (serial, *now, *spots(chain)), strict=True):
+                column.append(value)
+            serial += 1
+
+    def made() -> pa.RecordBatch:
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+        columns = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
+        for x in out:
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    for batch in batches:
+        for own, hub, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "hub", "parts")), strict=True):
+            if (own, hub) != now:
+                if now is not None:
+                    done()
+                now, segs = (own, hub), []
+            segs += [tuple(parts[i : i + 3]) for i in range(0, len(parts), 3)]
+        if len(out[0]) > 20_000:
+            yield made()
+    if now is not None:
+        done()
+    yield made()
 
 
 @frugal
@@ -338,24 +487,57 @@ def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         x, y = x + best[2], y + best[3]
 
 
-def align(parts: list[int], own: dict[int, np.ndarray], hub: dict[int, np.ndarray], least: int, alike: float) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, hub_start, hub_end, matched) of the passages in a chain of segments. Gaps are
-    aligned; where a chain as a whole is less than `alike`, it is parted at its worst gap."""
-
-    def take(blocks: dict[int, np.ndarray], start: int, end: int) -> np.ndarray:
-        start = max(0, start)
-        if end <= start:
-            return np.zeros(0, np.uint32)
-        found = []
-        for n in range(start // BLOCK, (end - 1) // BLOCK + 1):
-            if n not in blocks:
-                break
-            found.append(blocks[n])
-        if not found:
-            return np.zeros(0, np.uint32)
-        offset = start // BLOCK * BLOCK
-        return np.concatenate(found)[start - offset : end - offset]
-
+def reach_on(a: np.ndarray, b: np.ndarray, ended: bool) -> tuple[int, int, int, bool]:
+    """reach() again and again, REACH words at a time, while it comes to the end of what it looks at. The
+    last is whether it came to the end of the words at hand, and `ended` doesn't say that there are no more."""
+    x = y = matched = 0
+    while True:
+        i, j, m = reach(a[x : x + REACH], b[y : y + REACH])
+        x, y, matched = x + i, y + j, matched + m
+        if max(i, j) < REACH - 3:
+            return x, y, matched, False
+        if min(len(a) - x, len(b) - y) < REACH:
+            return (x, y, matched, True) if not ended else (*_last(a, b, x, y, matched), False)
+
+
+def _last(a: np.ndarray, b: np.ndarray, x: int, y: int, matched: int) -> tuple[int, int, int]:
+    i, j, m = reach(a[x : x + REACH], b[y : y + REACH])
+    return x + i, y + j, matched + m
+
+
+def take(blocks: dict[int, np.ndarray], start: int, end: int) -> np.ndarray:
+    """Words `start` to `end`, as far as the text goes."""
+    start = max(0, start)
+    found = []
+    for n in range(start // BLOCK, (end - 1) // BLOCK + 1) if end > start else ():
+        if n not in blocks:
+            break
+        found.append(blocks[n])
+    if not found:
+        return np.zeros(0, np.uint32)
+    offset = start // BLOCK * BLOCK
+    return np.concatenate(found)[start - offset : end - offset]
+
+
+def extend(spot: tuple[int, int, int, int, int], sides: int, far: int, own: dict[int, np.ndarray], hub: dict[int, np.ndarray]) -> tuple[int, int, int, int, int, int]:
+    """(start, end, hub_start, hub_end, matched, sides) of a passage, extended by up to `far` words at its
+    left (sides & 1) and right (sides & 2); the new sides are those that may go on."""
+    own_start, own_end, hub_start, hub_end, matched = spot
+    still = 0
+    if sides & 1:
+        a, b = take(own, own_start - far, own_start)[::-1], take(hub, hub_start - far, hub_start)[::-1]
+        x, y, more, on = reach_on(a, b, min(own_start, hub_start) <= far)
+        own_start, hub_start, matched, still = own_start - x, hub_start - y, matched + more, still | on
+    if sides & 2:
+        a, b = take(own, own_end, own_end + far), take(hub, hub_end, hub_end + far)
+        x, y, more, on = reach_on(a, b, min(len(a), len(b)) < far)
+        own_end, hub_end, matched, still = own_end + x, hub_end + y, matched + more, still | 2 * on
+    return own_start, own_end, hub_start, hub_end, matched, still
+
+
+def align(parts: list[int], own: dict[int, np.ndarray], hub: dict[int, np.ndarray], alike: float) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, hub_start, hub_end, matched, sides) of the passages in a chain of segments; sides: see
+    extend. Gaps are aligned; where a chain as a whole is less than `alike`, it is parted at its worst gap."""
     segs = [tuple(parts[i : i + 3]) for i in range(0, len(parts), 3)]
     gaps = []
     for (s, e, h), (s2, _, h2) in zip(segs, segs[1:], strict=False):
@@ -370,34 +552,43 @@ def align(parts: list[int], own: dict[int, np.ndarray], hub: dict[int, np.ndarra
             worst = max(range(a, b - 1), key=lambda i: gaps[i][1] - gaps[i][0])
             todo += [(a, worst + 1), (worst + 1, b)]
             continue
-        left, hub_left, more = reach(take(own, own_start - REACH, own_start)[::-1], take(hub, hub_start - REACH, hub_start)[::-1])
-        right, hub_right, further = reach(take(own, own_end, own_end + REACH), take(hub, hub_end, hub_end + REACH))
-        matched += more + further
-        own_start, own_end, hub_start, hub_end = own_start - left, own_end + right, hub_start - hub_left, hub_end + hub_right
-        if own_end - own_start >= least and matched >= alike * max(own_end - own_start, hub_end - hub_start):
-            out.append((own_start, own_end, hub_start, hub_end, matched))
+        out.append(extend((own_start, own_end, hub_start, hub_end, matched), 3, REACH, own, hub))
     return out
 
 
-def _aligned(least: int, alike: float):
-    """Passages of rows sorted by (chain, role): role 0 has the chain, 1 and 2 its blocks of words."""
+_PASSAGES = "chain bigint, id bigint, hub bigint, start bigint, end bigint, hub_start bigint, hub_end bigint, matched bigint, sides bigint"
+
+
+def _aligned(least: int, alike: float, far: int, step: int):
+    """Passages of rows sorted by (chain, role): role 0 has the chain, or from the second step on the passage
+    so far, 1 and 2 its blocks of words. Those that end (sides = 0) have `least` words, `alike` or more of them."""
+    names = [x.split()[0] for x in _PASSAGES.split(", ")]
 
     @frugal
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        serial = (step << 56) + (TaskContext.get().partitionId() << 33)
         now, parts, ids, own, hub = None, None, None, {}, {}
 
+        def done() -> None:
+            nonlocal serial
+            found = [extend(tuple(parts[:5]), parts[5], far, own, hub)] if step else align(parts, own, hub, alike)
+            for p in found:
+                if p[5] or p[1] - p[0] >= least and p[4] >= alike * max(p[1] - p[0], p[3] - p[2]):
+                    out.append((serial, *ids, *p))
+                    serial += 1
+
         def made() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 7
+            columns = list(zip(*out, strict=True)) or [()] * 9
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id", "source", "start", "end", "source_start", "source_end", "matched"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("chain", "role", "block", "words", "id", "hub", "parts")]
             for chain, role, block, data, own_id, hub_id, segs in zip(*columns, strict=True):
                 if chain != now:
                     if parts is not None:
-                        out += [(*ids, *p) for p in align(parts, own, hub, least, alike)]
+                        done()
                     now, parts, own, hub = chain, None, {}, {}
                 if role == 0:
                     parts, ids = segs, (own_id, hub_id)
@@ -406,37 +597,117 @@ def _aligned(least: int, alike: float):
             if len(out) > 50_000:
                 yield made()
         if parts is not None:
-            out += [(*ids, *p) for p in align(parts, own, hub, least, alike)]
+            done()
         yield made()
 
     return aligned
 
 
+def _with_words(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Rows of found (chain, id, hub, parts, own_blocks, hub_blocks) and the blocks of words that they name,
+    sorted by (chain, role) within partitions. A text that very many chains have as their hub is copied."""
+    ids = materialize(found.select("id").union(found.select(F.col("hub").alias("id"))).distinct(), "ids")
+    blocks = only(texts, ids).mapInArrow(_blocks, "id bigint, block bigint, words binary")
+    wanted = found.select("chain", "id", F.lit(1).alias("role"), F.explode("own_blocks").alias("block")).union(found.select("chain", F.col("hub").alias("id"), F.lit(2).alias("role"), F.explode("hub_blocks").alias("block")))
+    hot = wanted.groupBy("id", "block").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_from(wanted.count()))
+    none = {"id": "bigint", "hub": "bigint", "parts": "array<bigint>"}
+    words_ = salted_join(wanted, blocks, ["id", "block"], "chain", hot).select("chain", "role", "block", "words", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    heads = found.select("chain", F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("words"), "id", "hub", "parts")
+    return heads.union(words_).repartition(n, "chain").sortWithinPartitions("chain", "role")
+
+
+def _one_text(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) of df, of each id the row whose text has the smallest hash; and (id, text_hash) of the ids
+    that have several rows, None if there are none."""
+    rows = df.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null")
+    again = materialize(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    rows = rows.where("text is not null")
+    if again.isEmpty():
+        return rows, None
+    again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("text_hash", "text"))
+    several = rows.join(again, "id", "left_semi").withColumn("text_hash", F.xxhash64("text")).withColumn("rank", rank).where("rank = 1").drop("rank")
+    several = materialize(several, "several")
+    return rows.join(again, "id", "left_anti").union(several.select("id", "text")), several.select("id", "text_hash")
+
+
 def repeated_passages(df: DataFrame, k: int = 5, least: int = 40, alike: float = 0.8, every: int = 6, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per passage of a document that an earlier document (by id) holds too: id,
-    source_<id>, start_word, end_word, source_start, source_end (words, ends exclusive), n_matched.
+    source_<id>, start_word, end_word, source_start, source_end (words, ends exclusive), n_matched,
+    text_hash.
 
     A passage has `least` words or more, of which `alike` or more match, in order, those of the
-    earlier one. Words are compared without case (A-Z). Any run of k + every - 1
-    equal words shares a seed; each seed's first document is the one that the others are compared
-    with, so a passage in m documents costs m comparisons, and the first keeps it. Null and short
-    texts hold no passages; rows with a null id are left out; rows with the same id are one
-    document, whose first row counts. Other columns are left out; an empty df gives an empty result.
+    earlier one; it goes on, however far, as long as what follows matches more than it differs. Words
+    are compared without case (A-Z). Any run of k + every - 1 equal words shares a seed; each seed's
+    first document is the one that the others are compared with, so a passage in m documents costs m
+    comparisons, and the first keeps it. Where the seeds of a stretch have different first documents,
+    the first document that holds both sides of the junction is compared too, and where junctions
+    have different ones, that with both junctions, and so on until no junction is left.
+    Null and short texts hold no passages; rows with a null id are left out; rows with the same id are
+    one document, whose row with the smallest hash of its text counts: text_hash is that hash there,
+    and null for other ids. Other columns are left out; an empty df gives an empty result.
     """
     prepare(df)
-    source = df.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null and text is not null")
+    source, several = _one_text(df, id, text)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = source.mapInArrow(_seeds(k, every), "hash bigint, id bigint, pos bigint, behind bigint, ahead bigint, hub bigint, hub_pos bigint, near tinyint")
-    anchors = seeds.repartition(n, "hash").sortWithinPartitions("hash", "id", "pos").mapInArrow(_anchors, "id bigint, pos bigint, hub bigint, hub_pos bigint, near tinyint")
-    grouped = anchors.repartition(n, "id", "hub").sortWithinPartitions("id", "hub")
-    found = materialize(grouped.mapInArrow(_chained(k, least), "chain bigint, id bigint, hub bigint, parts array<bigint>, own_blocks array<bigint>, hub_blocks array<bigint>"), "chains")
-    ids = materialize(found.select("id").union(found.select(F.col("hub").alias("id"))).distinct(), "ids")
-    text_blocks = only(source, ids).mapInArrow(_blocks, "id bigint, block bigint, words binary")
-    wanted = found.select("chain", "id", F.lit(1).alias("role"), F.explode("own_blocks").alias("block")).union(found.select("chain", F.col("hub").alias("id"), F.lit(2).alias("role"), F.explode("hub_blocks").alias("block")))
-    words_ = wanted.join(text_blocks, ["id", "block"]).select("chain", "role", "block", "words", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("hub"), F.lit(None).cast("array<bigint>").alias("parts"))
-    heads = found.select("chain", F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("words"), "id", "hub", "parts")
-    passages = heads.union(words_).repartition(n, "chain").sortWithinPartitions("chain", "role").mapInArrow(_aligned(least, alike), "id bigint, source bigint, start bigint, end bigint, source_start bigint, source_end bigint, matched bigint")
-    return passages.select(F.col("id").alias(id), F.col("source").alias(f"source_{id}"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "source_start", "source_end", F.col("matched").alias("n_matched"))
+    seeds = source.mapInArrow(_seeds(k, every, least), "key bigint, id bigint, pos bigint, hash bigint, hub bigint, hub_pos bigint, behind bigint, ahead bigint, near tinyint")
+    kept = found = more = None
+    level = 0
+    while True:
+        anchors = seeds.repartition(n, "key").sortWithinPartitions("key", "id", "pos").mapInArrow(_anchors(not level), _ANCHORS)
+        grouped = materialize(anchors.repartition(n, "id").sortWithinPartitions("id", "pos").mapInArrow(_grouped(k, every, least, level), _GROUPED), "chains")
+        rows = grouped.where("chain is not null").select(*(x.split()[0] for x in _CHAINS.split(", ")))
+        seeds = grouped.where("key is not null").select("key", "id", "pos", "hash", "hub", "hub_pos", "span", "need")
+        if level:
+            more = rows if more is None else more.union(rows)
+        else:
+            found, kept = rows, _settled(rows, source, n, least, alike)
+            spans = materialize(spans_of(kept, "id", "start", "end"), "spans")
+            inside = F.exists("spans", lambda s: (s["a"] <= F.col("pos")) & (s["b"] >= F.col("pos") + F.col("span") + k))
+            seeds = seeds.join(spans, "id", "left").withColumn("need", F.coalesce(~inside, F.lit(True))).drop("spans")
+        level += 1
+        if seeds.where("need").isEmpty():
+            break
+    if more is not None:  # what junctions add to chains of the same two documents is one with them
+        more = more.select("id", "hub", "parts")
+        pairs = more.select("id", "hub").distinct()
+        again = more.union(found.join(pairs, ["id", "hub"], "left_semi").select("id", "hub", "parts")).repartition(n, "id", "hub").sortWithinPartitions("id", "hub")
+        kept = kept.union(_settled(materialize(again.mapInArrow(_rechained, _CHAINS), "chains"), source, n, least, alike))
+    # A passage that several chains found is one.
+    once = kept.groupBy("id", "hub", "start", "end", "hub_start", "hub_end").agg(F.max("matched").alias("matched"))
+    once = once.withColumn("text_hash", F.lit(None).cast("bigint")) if several is None else once.join(several, "id", "left")
+    return once.select(F.col("id").alias(id), F.col("hub").alias(f"source_{id}"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("hub_start").alias("source_start"), F.col("hub_end").alias("source_end"), F.col("matched").alias("n_matched"), "text_hash")
+
+
+def _settled(found: DataFrame, source: DataFrame, n: int, least: int, alike: float) -> DataFrame:
+    """The passages in chains `found`. Those that may go on beyond the words at hand are looked at again,
+    with four times as many, until none is left."""
+    kept, step, far = None, 0, REACH
+    while True:
+        aligned = materialize(_with_words(found, source, n).mapInArrow(_aligned(least, alike, far, step), _PASSAGES), "passages")
+        ended, going = aligned.where("sides = 0"), aligned.where("sides > 0")
+        kept = ended if kept is None else kept.union(ended)
+        if going.isEmpty():
+            return kept
+        step, far = step + 1, 4 * far
+        own, hub = (F.expr(f"array_distinct(concat({_blocks_sql(a, b, far)}))") for a, b in (("start", "end"), ("hub_start", "hub_end")))
+        found = going.select("chain", "id", "hub", F.array("start", "end", "hub_start", "hub_end", "matched", "sides").alias("parts"), own.alias("own_blocks"), hub.alias("hub_blocks"))
+
+
+def spans_of(passages: DataFrame, id: str, start: str, end: str) -> DataFrame:
+    """(id, spans): the passages' words as ascending disjoint (a, b)."""
+    by = Window.partitionBy(id).orderBy(start, end)
+    reach_ = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = passages.select(id, start, end).distinct().withColumn("_new", F.coalesce(F.col(start) > reach_, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(by))
+    runs = fresh.groupBy(id, "_run").agg(F.min(start).alias("a"), F.max(end).alias("b"))
+    return runs.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+
+
+def _blocks_sql(start: str, end: str, far: int) -> str:
+    """The blocks of `far` words before start, if it goes on there, and after end."""
+    empty = "cast(array() as array<bigint>)"
+    left = f"if(sides & 1 > 0 and {start} > 0, sequence(greatest({start} - {far}, 0L) div {BLOCK}, ({start} - 1) div {BLOCK}), {empty})"
+    return f"{left}, if(sides & 2 > 0, sequence({end} div {BLOCK}, ({end} + {far} - 1) div {BLOCK}), {empty})"
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -456,24 +727,23 @@ def remove_passages(df: DataFrame, passages: DataFrame, id: str = "doc_id", text
     """df with `text` less the words of repeated_passages(): its first document keeps a passage.
 
     Overlapping passages of a document are cut once. Texts without passages, rows with a null id
-    and null texts stay as they are; a text that was a copy throughout becomes empty. Columns and
-    rows are otherwise unchanged.
+    and null texts stay as they are, and so do, of rows with the same id, those with another text than
+    the one that counted; a text that was a copy throughout becomes empty. Columns, whatever their
+    names, and rows are otherwise unchanged.
     """
-    by = Window.partitionBy(id).orderBy("start_word", "end_word")
-    reach_ = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = passages.select(id, "start_word", "end_word").distinct().withColumn("_new", F.coalesce(F.col("start_word") > reach_, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(by))
-    runs = fresh.groupBy(id, "_run").agg(F.min("start_word").alias("a"), F.max("end_word").alias("b"))
-    spans = materialize(runs.groupBy(F.col(id).alias("id")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_spans")), "spans")
+    of, at, hash_ = (fresh_name(df, x) for x in ("_spans", "_span_id", "_text_hash"))
+    hashes_ = passages.groupBy(id).agg(F.first("text_hash").alias("text_hash"))
+    spans = spans_of(passages, id, "start_word", "end_word").join(hashes_, id).select(F.col(id).alias(at), F.col("spans").alias(of), F.col("text_hash").alias(hash_))
+    spans = materialize(spans, "spans")
 
     @F.arrow_udf("string")
     def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, all_spans in columns:
             yield pa.array([t if not s else cut_words(t.encode(), [(x["a"], x["b"]) for x in s]).decode() for t, s in zip(texts.to_pylist(), all_spans.to_pylist(), strict=True)], pa.string())
 
-    names = df.columns
-    few = spans.count() <= MOST_BROADCAST
-    spans = spans.withColumnsRenamed({"id": "_span_id"})
-    with_spans = df.join(F.broadcast(spans) if few else spans, F.col(f"`{id}`") == F.col("_span_id"), "left")
-    of = F.col(f"`{text}`")
-    less = F.when(F.col("_spans").isNull() | of.isNull(), of).otherwise(cut(of, F.col("_spans")))
-    return with_spans.select(*(less.alias(c) if c == text else F.col(f"`{c}`") for c in names))
+    spans = F.broadcast(spans) if spans.count() <= MOST_BROADCAST else spans
+    with_spans = df.join(spans, F.col(f"`{id}`") == F.col(at), "left")
+    own = F.col(f"`{text}`").cast("string")
+    whole = F.col(of).isNull() | own.isNull() | F.coalesce(F.xxhash64(own) != F.col(hash_), F.lit(False))
+    less = F.when(whole, F.col(f"`{text}`")).otherwise(cut(own, F.col(of)))
+    return with_spans.select(*(less.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))

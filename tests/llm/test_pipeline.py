@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_near, words
+from graphloom.llm import langid
+from tests.llm.test_operators import brute_language, brute_near, brute_passages, words
 
 
 def test_stages(spark, sf_dir):
@@ -20,7 +21,9 @@ def test_stages(spark, sf_dir):
             docs = after
     first = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     named = {r.doc_id for r in kept["language"].collect()}
-    assert all(not any(map(str.isalpha, first[i])) for i in set(first) - named)
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert named == {i for i, text in first.items() if any(map(str.isalpha, text)) and not brute_language(model, text)[2]}
+    assert len(named) >= 0.97 * len(first)
     order = sorted(named)
     _, parts = brute_near([first[i] for i in order], 5)
     assert {r.doc_id for r in kept["near_duplicates"].collect()} == {order[i] for i in set(parts)}
@@ -28,6 +31,12 @@ def test_stages(spark, sf_dir):
     for i, text in cut.items():  # what stays is in order, and only words go
         it = iter(words(first[i]))
         assert all(w in it for w in words(text))
+    left = sorted(r.doc_id for r in kept["near_duplicates"].collect())
+    gone = {i: len(words(first[i])) - len(words(cut.get(i))) for i in left}
+    for i, exact in zip(left, brute_passages([first[i] for i in left], 50), strict=True):
+        assert gone[i] >= len(exact)  # at least what an earlier document holds word for word
+        if gone[i] and not exact:
+            assert gone[i] >= 40
     times = collections.Counter(r.doc_id for r in kept["mix_sources"].collect())
     assert set(times) <= set(cut) and max(times.values()) <= 2
     from tokenizers import Tokenizer
