@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import MOST_BROADCAST, discard, frugal, heavy_from, materialize, mix, pieces, prepare, raw, salted_join, words
+from graphloom.llm.common import MOST_BROADCAST, discard, fresh_name, frugal, heavy_from, materialize, mix, pieces, prepare, raw, salted_join, words
 from graphloom.llm.grouping import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -210,18 +210,19 @@ def remove_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id: str
     of its text; rows with a null id, and null or empty texts, stay. Columns are unchanged. Texts
     are not shuffled: the ids that go are broadcast if few enough by count, else joined.
     """
-    groups = materialize(near_duplicates(df, k, percent, id=id, text=text).select(F.col(id).alias("_gone"), "kept"), "groups")
-    gone = groups.where("not kept").select("_gone").distinct()
-    again = groups.where("_gone is not null and kept").groupBy("_gone").agg(F.count("*").alias("n")).where("n > 1").select("_gone")
+    of, nth = fresh_name(df, "_gone"), fresh_name(df, "_rank")
+    groups = materialize(near_duplicates(df, k, percent, id=id, text=text).select(F.col(id).alias(of), "kept"), "groups")
+    gone = groups.where("not kept").select(of).distinct()
+    again = groups.where(F.col(of).isNotNull() & F.col("kept")).groupBy(of).agg(F.count("*").alias("n")).where("n > 1").select(of)
     key = F.col(f"`{id}`").cast("bigint")
 
     def small(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
-    left = df.join(small(gone), key == F.col("_gone"), "left_anti")
+    left = df.join(small(gone), key == F.col(of), "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(small(again), key == F.col("_gone"), "left_semi")
+    once = left.join(small(again), key == F.col(of), "left_semi")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text}`").cast("string")), F.col(f"`{text}`").cast("string")))
-    once = once.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return left.join(small(again), key == F.col("_gone"), "left_anti").unionByName(once)
+    once = once.withColumn(nth, rank).where(F.col(nth) == 1).drop(nth)
+    return left.join(small(again), key == F.col(of), "left_anti").unionByName(once)

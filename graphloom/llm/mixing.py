@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, prepare, raw
+from graphloom.llm.common import discard, fresh_name, materialize, prepare, raw
 
 
 def _counted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -96,17 +96,21 @@ def mixed(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     """df with every row as often as mix() takes it (0, 1, 2 times); columns are unchanged.
 
     Texts are not shuffled: a row is taken again if its key is at most the largest one picked in its
-    source, a figure for each source. Rows with equal keys (repeated ones) are taken alike.
+    source, a figure for each source. Rows with equal keys (repeated ones) are taken alike. Rows
+    without a source are one source, a null text has no words, a null id is a value like others, and
+    columns of df may have any names.
     """
     took = mix(df, id, text, source, seed=seed, **options)
     last = F.max(F.when(F.col("taken") > F.col("epochs") * F.col("size"), F.col("sampling_key")))
     of = materialize(took.groupBy(F.col("source").alias("_of")).agg(last.alias("_last"), F.max("epochs").alias("_epochs")), "borders")
     names = df.columns
-    keyed = df.withColumn("_w", count_words(F.col(f"`{text}`").cast("string")))
-    weight = quality_weight(F.col("_w.size"), F.col("_w.symbols"))
-    keyed = keyed.withColumn("_key", sampling_key(weight, seed, F.col(f"`{id}`"), F.col("_w.size")))
+    counted, key, of_, last_, epochs_, copy = (fresh_name(df, x) for x in ("_w", "_key", "_of", "_last", "_epochs", "_copy"))
+    of = of.withColumnsRenamed({"_of": of_, "_last": last_, "_epochs": epochs_})
+    keyed = df.withColumn(counted, count_words(F.col(f"`{text}`").cast("string")))
+    size, symbols = F.col(counted)["size"], F.col(counted)["symbols"]
+    keyed = keyed.withColumn(key, sampling_key(quality_weight(size, symbols), seed, F.col(f"`{id}`"), size))
     # A row for each source, so that side is small; Spark broadcasts it if its size allows.
-    joined = keyed.join(of, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("_of")))
-    times = F.col("_epochs") + F.when(F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False)), 1).otherwise(0)
+    joined = keyed.join(of, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(of_)))
+    times = F.col(epochs_) + F.when(F.coalesce(F.col(key) <= F.col(last_), F.lit(False)), 1).otherwise(0)
     copies = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>")))
-    return joined.select(*(F.col(f"`{c}`") for c in names), copies.alias("_copy")).drop("_copy")
+    return joined.select(*(F.col(f"`{c}`") for c in names), copies.alias(copy)).drop(copy)
