@@ -17,23 +17,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that with
+    the smallest id. Null and empty texts and rows with a null id stay; of rows that repeat an id one
+    stays, by the hash of its text; an empty table stays empty, and columns may have any names."""
     return minhash.remove_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds; a document that was nothing else goes."""
+    """Texts without the passages that an earlier document holds; a document that was nothing else, or
+    never held a word, goes. Null texts and rows with a null id stay as they are; of rows that repeat an id
+    only the text that stands for it is cut; an empty table stays empty, and columns may have any names."""
     cut = passages.remove_passages(docs, passages.repeated_passages(docs))
     return cut.where(F.col("text").isNull() | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it."""
+    """Every document, whole, as often as the mix of its source takes it. Rows without a source are one
+    source; null texts have no words and cost nothing; repeated rows have equal keys and are taken alike;
+    an empty table stays empty, and columns may have any names."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids, none across documents."""
+    """Sequences of token ids, none across documents. A null text is empty: its only token is the end;
+    repeated rows and rows with a null id are packed each for itself; an empty table gives no sequence;
+    other columns of docs are left out."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
