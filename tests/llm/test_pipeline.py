@@ -49,6 +49,8 @@ def test_stages(spark, sf_dir):
 def test_odd_documents(spark, sf_dir):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "Words of nobody in particular.", "en", None, 3), (4, "Some words in English, and more of them.", "en", "a", 9), (4, "Some words in English, and more of them.", "en", "a", 9)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("id", F.lit(1)).withColumn("score", F.lit(2))
+    for name in ("_gone", "_rank", "_spans", "_span_id", "_text_hash", "_w", "_key", "_of", "_last", "_epochs", "_copy", "_text", "_score"):
+        docs = docs.withColumn(name, F.lit(name))
     for df in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, sf_dir)
