@@ -102,16 +102,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost
-    executors, and is computed once however often it is read. Removed when the session ends."""
+    executors, and is computed once however often it is read. Removed when the session ends. The
+    shuffles that made it are no longer needed: their files go, so that disk holds one step's, not all."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     atexit.register(discard, out, path)
     out.stored_at = path
+    forget_plans(spark)
     return out
 
 
+def forget_plans(spark: SparkSession) -> None:
+    """Has the driver collect the plans that no DataFrame holds any more: executors delete a shuffle's files
+    when its plan is collected, which otherwise waits until the driver is short of memory."""
+    gc.collect()
+    with contextlib.suppress(Exception):  # where there is no JVM at hand, files stay until the session ends
+        spark._jvm.System.gc()
+
+
 def discard(df: DataFrame, path: str | None = None) -> None:
     """Deletes what materialize wrote, once nothing reads it any more."""
     path = path or df.stored_at

@@ -99,10 +99,11 @@ def may_go_on(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(k: int, every: int, least: int):
-    """(key, id, pos, behind, ahead, hash, hub, hub_pos, near): each text's seeds, the least k-gram hash of
-    every `every` places. Of a seed that several texts of a chunk hold, only the first text's go on (key is
-    their hash, hub null); the others are anchors to it already and spread by id, so a passage that very
-    many texts share is shuffled once a chunk. behind and ahead: the signs of the words around; near: see _near."""
+    """(id, pos, hash, a, b, near): each text's seeds, the least k-gram hash of every `every` places. Of a
+    seed that several texts of a chunk hold, only the first text's go on as seeds (near null, a and b the
+    signs of the words behind and ahead); the others are anchors to it already (near: see _near, a and b
+    hub and hub_pos) and spread by id, so a passage that very many texts share is shuffled once a chunk.
+    Seeds are most of what this operator shuffles, hence so few columns."""
 
     @frugal
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +134,8 @@ def _seeds(k: int, every: int, least: int):
                 lead, with_ = _led(h, owner)
                 near = np.zeros(len(h), np.int8)
                 near[~lead] = _near(behind, ahead, np.flatnonzero(~lead), with_[~lead])
-                behind, ahead = (pa.array(x.view(np.int64), pa.int64(), mask=~lead) for x in (behind, ahead))
-                yield pa.RecordBatch.from_arrays([*_dealt(h, owner, at, lead, with_), behind, ahead, pa.array(near, pa.int8(), mask=lead)], names=["key", "id", "pos", "hash", "hub", "hub_pos", "behind", "ahead", "near"])
+                a, b = np.where(lead, behind.view(np.int64), owner[with_]), np.where(lead, ahead.view(np.int64), at[with_])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (owner, at, h, a, b)), pa.array(near, pa.int8(), mask=lead)], names=["id", "pos", "hash", "a", "b", "near"])
 
     return seeds
 
@@ -148,9 +149,8 @@ def _led(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(h: np.ndarray, owner: np.ndarray, at: np.ndarray, lead: np.ndarray, with_: np.ndarray) -> list[pa.Array]:
-    """(key, id, pos, hash, hub, hub_pos): leading rows go on by their hash, the others are anchors already."""
-    key = np.where(lead, h, mix(owner.view(np.uint64)).view(np.int64))
-    return [pa.array(key), pa.array(owner), pa.array(at, pa.int64()), *(pa.array(x, pa.int64(), mask=lead) for x in (h, owner[with_], at[with_]))]
+    """(id, pos, hash, hub, hub_pos): leading rows have no hub, the others are anchors already."""
+    return [*(pa.array(x, pa.int64()) for x in (owner, at, h)), *(pa.array(x, pa.int64(), mask=lead) for x in (owner[with_], at[with_]))]
 
 
 def _near(behind: np.ndarray, ahead: np.ndarray, own: np.ndarray, hub: np.ndarray) -> np.ndarray:
@@ -164,24 +164,26 @@ _ANCHORS = "id bigint, pos bigint, hub bigint, hub_pos bigint, near tinyint, has
 
 
 def _anchors(signed: bool):
-    """(id, pos, hub, hub_pos, near, hash, span) of rows sorted by (key, id, pos): each key's first text is
-    the hub of the others. Between batches the hub's rows of the last key are held, and those of its last
-    text: a text's length at most. signed: the rows have signs; else spans and whether they need a hub."""
+    """(id, pos, hub, hub_pos, near, hash, span) of rows sorted by (hash, id, pos): each hash's first text is
+    the hub of the others. Between batches the hub's rows of the last hash are held, and those of its last
+    text: a text's length at most. signed: rows of _seeds(); else of _grouped(), with spans and whether they
+    need a hub."""
     names = [x.split()[0] for x in _ANCHORS.split(", ")]
+    partner = ("a", "b", "near") if signed else ("hub", "hub_pos", "hub")
 
     @frugal
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            ready = batch.filter(batch.column("hub").is_valid())
-            seeds = batch.filter(batch.column("hub").is_null())
+            known = batch.column(partner[2])
+            ready, seeds = batch.filter(known.is_valid()), batch.filter(known.is_null())
             if ready.num_rows:
                 n = ready.num_rows
                 near, span, need = (ready.column("near"), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, bool))) if signed else (pa.array(np.full(n, 15, np.int8)), ready.column("span"), ready.column("need"))
-                yield pa.RecordBatch.from_arrays([*(ready.column(c) for c in names[:4]), near, ready.column("hash"), span, need], names=names)
+                yield pa.RecordBatch.from_arrays([*(ready.column(c) for c in ("id", "pos", *partner[:2])), near, ready.column("hash"), span, need], names=names)
             if not seeds.num_rows:
                 continue
-            rows = [seeds.column(c).to_numpy() for c in ("key", "id", "pos", *(("behind", "ahead") if signed else ("span",)))] + ([] if signed else [seeds.column("need").to_numpy(zero_copy_only=False)])
+            rows = [seeds.column(c).to_numpy() for c in ("hash", "id", "pos", *(("a", "b") if signed else ("span",)))] + ([] if signed else [seeds.column("need").to_numpy(zero_copy_only=False)])
             done = len(held[0]) if held else 0
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
             h, owner, pos = rows[:3]
@@ -276,12 +278,12 @@ def farthest(chain: list[tuple[int, int, int]], k: int, near: dict[tuple[int, in
 
 
 _CHAINS = "chain bigint, id bigint, hub bigint, parts array<bigint>, own_blocks array<bigint>, hub_blocks array<bigint>"
-_GROUPED = f"{_CHAINS}, key bigint, pos bigint, hash bigint, hub_pos bigint, span bigint, need boolean"
+_GROUPED = f"{_CHAINS}, pos bigint, hash bigint, hub_pos bigint, span bigint, need boolean"
 
 
 def _grouped(k: int, every: int, least: int, level: int):
     """Of anchors sorted by (id, pos): chains (chain, id, hub, parts, own_blocks, hub_blocks), at higher levels
-    the anchors themselves as parts of chains, and junctions (key, id, pos, hash, hub, hub_pos, span, need).
+    the anchors themselves as parts of chains, and junctions (id, pos, hash, hub, hub_pos, span, need).
 
     Chains that alignment can't bring to `least` are dropped: a seed or two that texts share by chance.
     A junction is a pair of neighbouring anchors with different hubs, or different places in one. Texts
@@ -301,7 +303,7 @@ def _grouped(k: int, every: int, least: int, level: int):
             both = np.stack([pos, pos + k, hub_pos, pos + span, pos + span + k, hub_pos + span], axis=1)
             parts = pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * len(own) + 1, 6), pa.int32()), pa.array(both.reshape(-1)))
             none = pa.nulls(len(own), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int64)), pa.array(own), pa.array(hub), parts, none, none] + [pa.nulls(len(own), pa.int64())] * 5 + [pa.nulls(len(own), pa.bool_())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int64)), pa.array(own), pa.array(hub), parts, none, none] + [pa.nulls(len(own), pa.int64())] * 4 + [pa.nulls(len(own), pa.bool_())], names=names)
 
         def chained(c: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal serial
@@ -324,7 +326,7 @@ def _grouped(k: int, every: int, least: int, level: int):
                         column.append(value)
                     serial += 1
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)] + [pa.nulls(len(out[0]), pa.int64())] * 5 + [pa.nulls(len(out[0]), pa.bool_())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)] + [pa.nulls(len(out[0]), pa.int64())] * 4 + [pa.nulls(len(out[0]), pa.bool_())], names=names)
 
         def junctions(c: list[np.ndarray]) -> pa.RecordBatch | None:
             own, pos, hub, hub_pos, _, h, span, need = c
@@ -341,9 +343,9 @@ def _grouped(k: int, every: int, least: int, level: int):
             order = np.lexsort((place, owner, key))
             key, owner, place, width, need = key[order], owner[order], place[order], width[order], need[order]
             lead, with_ = _led(key, owner)
-            key_, id_, pos_, hash_, hub_, hub_pos_ = _dealt(key, owner, place, lead, with_)
+            id_, pos_, hash_, hub_, hub_pos_ = _dealt(key, owner, place, lead, with_)
             none = pa.nulls(len(key), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), id_, hub_, none, none, none, key_, pos_, hash_, hub_pos_, pa.array(width), pa.array(need)], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), id_, hub_, none, none, none, pos_, hash_, hub_pos_, pa.array(width), pa.array(need)], names=names)
 
         def solve(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             yield linked(c) if level else chained(c)
@@ -650,14 +652,15 @@ def repeated_passages(df: DataFrame, k: int = 5, least: int = 40, alike: float =
     prepare(df)
     source, several = _one_text(df, id, text)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = source.mapInArrow(_seeds(k, every, least), "key bigint, id bigint, pos bigint, hash bigint, hub bigint, hub_pos bigint, behind bigint, ahead bigint, near tinyint")
+    seeds = source.mapInArrow(_seeds(k, every, least), "id bigint, pos bigint, hash bigint, a bigint, b bigint, near tinyint")
     kept = found = more = None
     level = 0
     while True:
-        anchors = seeds.repartition(n, "key").sortWithinPartitions("key", "id", "pos").mapInArrow(_anchors(not level), _ANCHORS)
+        key = F.when(F.isnull("hub" if level else "near"), F.xxhash64("hash")).otherwise(F.xxhash64("id"))
+        anchors = seeds.repartition(n, key).sortWithinPartitions("hash", "id", "pos").mapInArrow(_anchors(not level), _ANCHORS)
         grouped = materialize(anchors.repartition(n, "id").sortWithinPartitions("id", "pos").mapInArrow(_grouped(k, every, least, level), _GROUPED), "chains")
         rows = grouped.where("chain is not null").select(*(x.split()[0] for x in _CHAINS.split(", ")))
-        seeds = grouped.where("key is not null").select("key", "id", "pos", "hash", "hub", "hub_pos", "span", "need")
+        seeds = grouped.where("chain is null").select("id", "pos", "hash", "hub", "hub_pos", "span", "need")
         if level:
             more = rows if more is None else more.union(rows)
         else:
