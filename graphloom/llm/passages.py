@@ -605,7 +605,7 @@ def _aligned(least: int, alike: float, far: int, step: int):
     return aligned
 
 
-def _with_words(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _with_words(found: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows of found (chain, id, hub, parts, own_blocks, hub_blocks) and the blocks of words that they name,
     sorted by (chain, role) within partitions. A text that very many chains have as their hub is copied."""
     ids = materialize(found.select("id").union(found.select(F.col("hub").alias("id"))).distinct(), "ids")
@@ -615,7 +615,7 @@ def _with_words(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     none = {"id": "bigint", "hub": "bigint", "parts": "array<bigint>"}
     words_ = salted_join(wanted, blocks, ["id", "block"], "chain", hot).select("chain", "role", "block", "words", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
     heads = found.select("chain", F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("words"), "id", "hub", "parts")
-    return heads.union(words_).repartition(n, "chain").sortWithinPartitions("chain", "role")
+    return heads.union(words_).repartition("chain").sortWithinPartitions("chain", "role")
 
 
 def _one_text(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
@@ -651,20 +651,19 @@ def repeated_passages(df: DataFrame, k: int = 5, least: int = 40, alike: float =
     """
     prepare(df)
     source, several = _one_text(df, id, text)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seeds = source.mapInArrow(_seeds(k, every, least), "id bigint, pos bigint, hash bigint, a bigint, b bigint, near tinyint")
     kept = found = more = None
     level = 0
     while True:
         key = F.when(F.isnull("hub" if level else "near"), F.xxhash64("hash")).otherwise(F.xxhash64("id"))
-        anchors = seeds.repartition(n, key).sortWithinPartitions("hash", "id", "pos").mapInArrow(_anchors(not level), _ANCHORS)
-        grouped = materialize(anchors.repartition(n, "id").sortWithinPartitions("id", "pos").mapInArrow(_grouped(k, every, least, level), _GROUPED), "chains")
+        anchors = seeds.repartition(key).sortWithinPartitions("hash", "id", "pos").mapInArrow(_anchors(not level), _ANCHORS)
+        grouped = materialize(anchors.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(_grouped(k, every, least, level), _GROUPED), "chains")
         rows = grouped.where("chain is not null").select(*(x.split()[0] for x in _CHAINS.split(", ")))
         seeds = grouped.where("chain is null").select("id", "pos", "hash", "hub", "hub_pos", "span", "need")
         if level:
             more = rows if more is None else more.union(rows)
         else:
-            found, kept = rows, _settled(rows, source, n, least, alike)
+            found, kept = rows, _settled(rows, source, least, alike)
             spans = materialize(spans_of(kept, "id", "start", "end"), "spans")
             inside = F.exists("spans", lambda s: (s["a"] <= F.col("pos")) & (s["b"] >= F.col("pos") + F.col("span") + k))
             seeds = seeds.join(spans, "id", "left").withColumn("need", F.coalesce(~inside, F.lit(True))).drop("spans")
@@ -674,25 +673,25 @@ def repeated_passages(df: DataFrame, k: int = 5, least: int = 40, alike: float =
     if more is not None:  # what junctions add to chains of the same two documents is one with them
         more = more.select("id", "hub", "parts")
         pairs = more.select("id", "hub").distinct()
-        again = more.union(found.join(pairs, ["id", "hub"], "left_semi").select("id", "hub", "parts")).repartition(n, "id", "hub").sortWithinPartitions("id", "hub")
-        kept = kept.union(_settled(materialize(again.mapInArrow(_rechained, _CHAINS), "chains"), source, n, least, alike))
+        again = more.union(found.join(pairs, ["id", "hub"], "left_semi").select("id", "hub", "parts")).repartition("id", "hub").sortWithinPartitions("id", "hub")
+        kept = kept.union(_settled(materialize(again.mapInArrow(_rechained, _CHAINS), "chains"), source, least, alike))
     # A passage that several chains found is one.
     once = kept.groupBy("id", "hub", "start", "end", "hub_start", "hub_end").agg(F.max("matched").alias("matched"))
     once = once.withColumn("text_hash", F.lit(None).cast("bigint")) if several is None else once.join(several, "id", "left")
     return once.select(F.col("id").alias(id), F.col("hub").alias(f"source_{id}"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("hub_start").alias("source_start"), F.col("hub_end").alias("source_end"), F.col("matched").alias("n_matched"), "text_hash")
 
 
-def _settled(found: DataFrame, source: DataFrame, n: int, least: int, alike: float) -> DataFrame:
+def _settled(found: DataFrame, source: DataFrame, least: int, alike: float) -> DataFrame:
     """The passages in chains `found`. Those that may go on beyond the words at hand are looked at again,
-    with four times as many, until none is left."""
+    with sixteen times as many, until none is left: few rounds, since each reads the texts again."""
     kept, step, far = None, 0, REACH
     while True:
-        aligned = materialize(_with_words(found, source, n).mapInArrow(_aligned(least, alike, far, step), _PASSAGES), "passages")
+        aligned = materialize(_with_words(found, source).mapInArrow(_aligned(least, alike, far, step), _PASSAGES), "passages")
         ended, going = aligned.where("sides = 0"), aligned.where("sides > 0")
         kept = ended if kept is None else kept.union(ended)
         if going.isEmpty():
             return kept
-        step, far = step + 1, 4 * far
+        step, far = step + 1, 16 * far
         own, hub = (F.expr(f"array_distinct(concat({_blocks_sql(a, b, far)}))") for a, b in (("start", "end"), ("hub_start", "hub_end")))
         found = going.select("chain", "id", "hub", F.array("start", "end", "hub_start", "hub_end", "matched", "sides").alias("parts"), own.alias("own_blocks"), hub.alias("hub_blocks"))
 
