@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import extract, langid, minhash, mixing, packing, passages, quality, scoring, tokens, vectors
+from graphloom.llm import extract, langid, minhash, mixing, packing, passages, quality, scoring, spelling, tokens, vectors
 from graphloom.llm.common import read
 
 
@@ -58,7 +58,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), slip=199))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing, op11_spelling)}
 
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
