@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import extract, langid, minhash, mixing, packing, passages, quality, scoring, spelling, tokens, vectors
+from graphloom.llm import extract, langid, minhash, mixing, packing, passages, quality, scoring, search, spelling, tokens, vectors
 from graphloom.llm.common import read
 
 
@@ -62,7 +62,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), slip=199))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing, op11_spelling)}
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing, op11_spelling, op12_search)}
 
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
@@ -115,5 +119,20 @@ p AS (SELECT doc_id, k.source, size, source_size, target, epochs, target - epoch
 SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, round(room))))::BIGINT AS taken, source FROM p"""
 
 
+def _lower(column: str) -> str:
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _search_sql(k: int = 10) -> str:
+    """Every document's score for every item."""
+    terms_of = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, {terms_of.format(_lower("text"))} AS x FROM documents), d AS (SELECT r, doc_id, x, len(x)::BIGINT AS n FROM t WHERE len(x) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d), q AS (SELECT DISTINCT item_id, unnest({terms_of.format(_lower("text"))}) AS term FROM benchmark),
+p AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(x) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= {k}"""
+
+
 #: Only what SQL expresses at a bearable cost; the rest is tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": _near_sql(2, 80), "op3_quality": _quality_sql(quality.Rules()), "op5_near_vectors": _vectors_sql(0.95), "op7_mixing": _mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": _near_sql(2, 80), "op3_quality": _quality_sql(quality.Rules()), "op5_near_vectors": _vectors_sql(0.95), "op7_mixing": _mixing_sql(), "op12_search": _search_sql()}
