@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import extract, langid, minhash, mixing, packing, passages, quality, scoring, search, spelling, tokens, vectors
+from graphloom.llm import bestfit, extract, langid, minhash, mixing, packing, passages, quality, scoring, search, spelling, tokens, vectors
 from graphloom.llm.common import read
 
 
@@ -66,7 +66,11 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing, op11_spelling, op12_search)}
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_extract, op3_quality, op4_token_counts, op5_near_vectors, op6_passages, op7_mixing, op8_lattice_score, op9_language, op10_packing, op11_spelling, op12_search, op13_best_fit)}
 
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
