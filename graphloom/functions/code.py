@@ -12,8 +12,9 @@ from pyspark.sql.functions import udtf
 #: Nodes that a path through a function can turn at.
 TURNS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert)
 
-_FUNCTION = "struct<name:string,args:array<string>,returns:string,docstring:string,start_line:int,end_line:int,complexity:int>"
-PARSED = f"struct<functions:array<{_FUNCTION}>,classes:array<struct<name:string,bases:array<string>,docstring:string,start_line:int,end_line:int,methods:array<{_FUNCTION}>>>,imports:array<struct<module:string,names:array<string>,alias:string,level:int>>,loc:int>"
+_FUNCTION = "struct<name:string,args:array<string>,signature:string,returns:string,docstring:string,start_line:int,end_line:int,complexity:int,last:boolean,within:array<struct<name:string,method:boolean>>>"
+_CALL = "struct<caller:string,callee:string,line:int,confidence:double,is_dynamic:boolean>"
+PARSED = f"struct<functions:array<{_FUNCTION}>,classes:array<struct<name:string,bases:array<string>,docstring:string,start_line:int,end_line:int,last:boolean,methods:array<{_FUNCTION}>>>,imports:array<struct<module:string,names:array<string>,alias:string,level:int>>,calls:array<{_CALL}>,loc:int,lines:int>"
 
 
 def mccabe(node: ast.AST) -> int:
@@ -21,36 +22,40 @@ def mccabe(node: ast.AST) -> int:
     return 1 + sum(isinstance(x, TURNS) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
 
 
-def _function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
+def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, last: bool) -> dict:
     a = node.args
     args = [x.arg for x in (*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else []))]
-    return {"name": node.name, "args": args, "returns": ast.unparse(node.returns) if node.returns else None, "docstring": ast.get_docstring(node), "start_line": node.lineno, "end_line": node.end_lineno, "complexity": mccabe(node)}
+    called = [x.func for x in ast.walk(node) if isinstance(x, ast.Call)]
+    within = [{"name": f.id, "method": False} if isinstance(f, ast.Name) else {"name": f.attr, "method": True} for f in called if isinstance(f, (ast.Name, ast.Attribute))]
+    signature = f"{node.name}({', '.join(x.arg for x in a.args)})"
+    return {"name": node.name, "args": args, "signature": signature, "returns": ast.unparse(node.returns) if node.returns else None, "docstring": ast.get_docstring(node), "start_line": node.lineno, "end_line": node.end_lineno, "complexity": mccabe(node), "last": last, "within": within}
 
 
 def parse(source: str | None) -> dict | None:
-    """Functions (nested ones too, methods apart), classes with methods, imports and lines; null if the
-    text is no Python."""
+    """Functions (nested ones too, methods apart), classes with methods, imports, calls and lines, from one
+    tree; null if the text is no Python. `within`: names called in a function and in what is nested
+    in it. `last`: no definition of that name is found later, level by level."""
     try:
         tree = ast.parse(source or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
-    out: dict = {"functions": [], "classes": [], "imports": [], "loc": len((source or "").splitlines())}
-    todo: list[tuple[ast.AST, bool]] = [(tree, False)]
-    while todo:
-        node, in_class = todo.pop()
-        for x in ast.iter_child_nodes(node):
-            if isinstance(x, ast.ClassDef):
-                out["classes"].append({"name": x.name, "bases": [ast.unparse(b) for b in x.bases], "docstring": ast.get_docstring(x), "start_line": x.lineno, "end_line": x.end_lineno, "methods": [_function(m) for m in x.body if isinstance(m, kinds)]})
-            elif isinstance(x, kinds) and not in_class:
-                out["functions"].append(_function(x))
-            elif isinstance(x, ast.Import):
-                out["imports"] += [{"module": n.name, "names": [], "alias": n.asname, "level": 0} for n in x.names]
-            elif isinstance(x, ast.ImportFrom):
-                out["imports"].append({"module": x.module or "", "names": [n.name for n in x.names], "alias": None, "level": x.level})
-            todo.append((x, isinstance(x, ast.ClassDef)))
+    every = [x for x in ast.walk(tree) if isinstance(x, (*kinds, ast.ClassDef, ast.Import, ast.ImportFrom))]
+    latest = {(isinstance(x, ast.ClassDef), x.name): x for x in every if not isinstance(x, (ast.Import, ast.ImportFrom))}
+    methods = {m for x in every if isinstance(x, ast.ClassDef) for m in x.body if isinstance(m, kinds)}
+    functions = {x: _function(x, latest[False, x.name] is x) for x in every if isinstance(x, kinds)}
+    out: dict = {"functions": [f for x, f in functions.items() if x not in methods], "classes": [], "imports": [], "loc": len((source or "").splitlines()), "lines": (source or "").count("\n") + 1}
+    for x in every:
+        if isinstance(x, ast.ClassDef):
+            own = [functions[m] for m in x.body if isinstance(m, kinds)]
+            out["classes"].append({"name": x.name, "bases": [ast.unparse(b) for b in x.bases], "docstring": ast.get_docstring(x), "start_line": x.lineno, "end_line": x.end_lineno, "last": latest[True, x.name] is x, "methods": own})
+        elif isinstance(x, ast.Import):
+            out["imports"] += [{"module": n.name, "names": [], "alias": n.asname, "level": 0} for n in x.names]
+        elif isinstance(x, ast.ImportFrom):
+            out["imports"].append({"module": x.module or "", "names": [n.name for n in x.names], "alias": None, "level": x.level})
     for k in ("functions", "classes"):
         out[k].sort(key=lambda r: (r["start_line"], r["name"]))
+    out["calls"] = [dict(zip(("caller", "callee", "line", "confidence", "is_dynamic"), c, strict=True)) for c in calls_of(tree)]
     return out
 
 
@@ -60,16 +65,16 @@ def parse_python(source: Column | str) -> Column:
 
 
 def callee(node: ast.AST) -> tuple[str | None, float, bool]:
-    """(dotted name, confidence, dynamic) of what is called; the result of a call is known by half."""
-    if isinstance(node, ast.Name):
-        return node.id, 1.0, False
-    if isinstance(node, ast.Attribute):
-        base, sure, dynamic = callee(node.value)
-        return (f"{base}.{node.attr}", sure, dynamic) if base else (node.attr, 1.0, False)
-    if isinstance(node, ast.Call):
-        base = callee(node.func)[0]
-        return (f"{base}(...).Result", 0.5, True) if base else (None, 0.0, False)
-    return None, 0.0, False
+    """(dotted name, confidence, dynamic) of what is called. The attributes down to the root of the chain are
+    the end of the name; a root that is a call itself is known by half, one without a name is left out."""
+    ends: list[str] = []
+    while isinstance(node, ast.Attribute):
+        ends.insert(0, node.attr)
+        node = node.value
+    made = callee(node.func)[0] if isinstance(node, ast.Call) else None
+    root = f"{made}(...).Result" if made else getattr(node, "id", None)
+    name = ".".join([root, *ends] if root else ends)
+    return name or None, (0.5 if made else 1.0) if name else 0.0, made is not None
 
 
 def calls(source: str | None) -> Iterator[tuple[str, str, int, float, bool]]:
@@ -78,6 +83,10 @@ def calls(source: str | None) -> Iterator[tuple[str, str, int, float, bool]]:
         tree = ast.parse(source or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
+    yield from calls_of(tree)
+
+
+def calls_of(tree: ast.AST) -> Iterator[tuple[str, str, int, float, bool]]:
     todo: list[tuple[ast.AST, str | None, str | None]] = [(tree, None, None)]
     while todo:
         node, owner, function = todo.pop()
@@ -101,39 +110,6 @@ class PythonCalls:
         yield from calls(source)
 
 
-class PythonGraph:
-    """Nodes (kind `node`) and edges (kind `edge`) of a Python file: File, Class and Function nodes;
-    DEFINED_IN, INHERITS, IMPORTS and CALLS edges, calls of attributes weighing half."""
-
-    returns = "kind string, id string, name string, src string, dst string, type string, weight double, line int"
-
-    def eval(self, path: str, source: str):
-        found = parse(source)
-        if found is None:
-            return
-        file = f"file:{path}"
-        yield "node", file, path, None, None, "File", None, None
-        for c in found["classes"]:
-            own = f"class:{path}:{c['name']}"
-            yield "node", own, c["name"], None, None, "Class", None, c["start_line"]
-            yield "edge", None, None, own, file, "DEFINED_IN", 1.0, c["start_line"]
-            for b in c["bases"]:
-                yield "edge", None, None, own, f"class:{path}:{b}", "INHERITS", 1.0, c["start_line"]
-            for m in c["methods"]:
-                yield "node", f"func:{path}:{m['name']}", m["name"], None, None, "Function", None, m["start_line"]
-                yield "edge", None, None, f"func:{path}:{m['name']}", own, "DEFINED_IN", 1.0, m["start_line"]
-        for f in found["functions"]:
-            yield "node", f"func:{path}:{f['name']}", f["name"], None, None, "Function", None, f["start_line"]
-            yield "edge", None, None, f"func:{path}:{f['name']}", file, "DEFINED_IN", 1.0, f["start_line"]
-        for i in found["imports"]:
-            for name in i["names"] or [None]:
-                yield "edge", None, None, file, f"import:{i['module']}" + (f":{name}" if name else ""), "IMPORTS", 1.0, None
-        for caller, name, line, _, _ in calls(source):
-            src = file if caller == "<module>" else f"func:{path}:{caller.rsplit('.', 1)[-1]}"
-            attribute = "." in name
-            yield "edge", None, None, src, f"method:{name.rsplit('.', 1)[-1]}" if attribute else f"func:{path}:{name}", "CALLS", 0.5 if attribute else 1.0, line
-
-
 class PythonErrors:
     """What is wrong with a Python text: a syntax error, and calls of eval and exec."""
 
@@ -156,7 +132,7 @@ class PythonErrors:
 def register(spark: SparkSession) -> None:
     """Makes the functions available to SQL."""
     spark.udf.register("parse_python", F.udf(parse, PARSED, useArrow=True))
-    for name, table in (("python_calls", PythonCalls), ("python_graph", PythonGraph), ("python_errors", PythonErrors)):
+    for name, table in (("python_calls", PythonCalls), ("python_errors", PythonErrors)):
         spark.udtf.register(name, udtf(table, returnType=table.returns))
 
 
@@ -195,6 +171,7 @@ PARSERS = {
     "go": (".go",),
     "javascript": (".js", ".jsx"),
     "typescript": (".ts", ".tsx"),
+    "rust": (".rs",),
 }
 
 
@@ -206,41 +183,6 @@ def parser_of(path: Column) -> Column:
     return found
 
 
-def analysis_graph(files: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of files(path, content, parsed): ids repo:path, repo:path::name and
-    repo:path::Class::method; CONTAINS, DEFINES_FUNCTION, DEFINES_METHOD and IMPORTS edges."""
-    f = files.withColumn("file", F.concat(F.lit(f"{repo}:"), "path"))
-    function = f.select("file", "path", F.explode("parsed.functions").alias("x"))
-    klass = f.select("file", "path", F.explode("parsed.classes").alias("c"))
-    method = klass.select("file", "path", F.col("c.name").alias("owner"), F.explode("c.methods").alias("x"))
-    null = F.lit(None)
-
-    def node(df: DataFrame, id: Column, label: str, name: Column, x: str | None) -> DataFrame:
-        at = (F.col(f"{x}.start_line"), F.col(f"{x}.end_line")) if x else (null.cast("int"), null.cast("int"))
-        depth = F.col(f"{x}.complexity") if x == "x" else null.cast("int")
-        return df.select(id.alias("id"), F.array(F.lit(label)).alias("labels"), name.alias("name"), F.col("path").alias("file_path"), at[0].alias("start_line"), at[1].alias("end_line"), depth.alias("complexity"))
-
-    own, of_class = F.concat_ws("::", "file", "x.name"), F.concat_ws("::", "file", "c.name")
-    of_method = F.concat_ws("::", "file", "owner", "x.name")
-    nodes = node(f, F.col("file"), "File", null.cast("string"), None).unionAll(node(klass, of_class, "Class", F.col("c.name"), "c")).unionAll(node(function, own, "Function", F.col("x.name"), "x")).unionAll(node(method, of_method, "Function", F.col("x.name"), "x"))
-    edges = klass.select(F.col("file").alias("src"), of_class.alias("dst"), F.lit("CONTAINS").alias("type"))
-    edges = edges.unionAll(function.select("file", own, F.lit("DEFINES_FUNCTION"))).unionAll(method.select(F.concat_ws("::", "file", "owner"), of_method, F.lit("DEFINES_METHOD")))
-    edges = edges.unionAll(f.select("file", F.explode("parsed.imports").alias("i")).select("file", F.col("i.module"), F.lit("IMPORTS")))
-    return nodes, edges.distinct()
-
-
-
-
-def structure(files: DataFrame) -> DataFrame:
-    """(path, functions, classes, imports): names in Python files by their tree and in other languages
-    that have a parser by patterns; files of no such language, and broken ones, are left out."""
-    kind = parser_of(F.col("path"))
-    text = F.col("content").cast("string")
-    python = files.where(kind == "python").select("path", parse_python(text).alias("p")).where("p is not null")
-    python = python.select("path", F.transform("p.functions", lambda f: f["name"]).alias("functions"), F.transform("p.classes", lambda c: c["name"]).alias("classes"), F.transform("p.imports", lambda i: i["module"]).alias("imports"))
-    return python.unionAll(files.where(kind != "python").select("path", c_symbols(text).alias("s")).select("path", "s.*"))
-
-
 def scan_issues(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(path, line, message) of all scanners that apply to files(path, content): errors and risky calls
     in Python, long lines in every language that has a parser."""

@@ -146,88 +146,6 @@ def repo_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.repo_id(F.col("url")).alias("repo"))
 
 
-# Code: fixed snippets
-
-
-SNIPPETS = {
-    "a/one.py": 'import os\nfrom . import db\n\n\nclass Base(object):\n    """A base."""\n\n    def run(self, x, *rest):\n        return self.step(x) if x and rest else os.path.join(x)\n\n    def step(self, x) -> int:\n        for i in range(x):\n            if i > 2 or x < 0:\n                print(i)\n        return x\n\n\ndef main():\n    Base().run(1)\n    get().send()\n\n\nmain()\n',
-    "a/bad.py": "def broken(:\n",
-    "b/two.py": "def f(a):\n    def g(b):\n        return eval(b)\n    return g(a)\n",
-}
-
-
-def snippets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SNIPPETS.items()), "path string, content string")
-
-
-@query()
-def parse_python_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = snippets(spark).select("path", code.parse_python("content").alias("p"))
-    return parsed.select("path", F.col("p.loc").alias("loc"), F.transform("p.functions", lambda f: f["name"]).alias("functions"), F.transform("p.classes", lambda c: c["name"]).alias("classes"), F.transform("p.imports", lambda i: i["module"]).alias("imports"))
-
-
-@query()
-def mccabe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = snippets(spark).select("path", F.explode(code.parse_python("content")["functions"]).alias("f"))
-    return parsed.select("path", F.col("f.name").alias("name"), F.col("f.complexity").alias("complexity"))
-
-
-@query()
-def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code.register(spark)
-    snippets(spark).createOrReplaceTempView("graphloom_snippets")
-    return spark.sql("SELECT path, c.* FROM graphloom_snippets, LATERAL python_calls(content) AS c")
-
-
-@query()
-def python_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code.register(spark)
-    snippets(spark).createOrReplaceTempView("graphloom_snippets")
-    return spark.sql("SELECT g.* FROM graphloom_snippets, LATERAL python_graph(path, content) AS g")
-
-
-@query()
-def python_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code.register(spark)
-    snippets(spark).createOrReplaceTempView("graphloom_snippets")
-    return spark.sql("SELECT path, e.* FROM graphloom_snippets, LATERAL python_errors(content) AS e")
-
-
-@query()
-def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = snippets(spark).select("path", "content", code.parse_python("content").alias("p")).select("path", "content", "p.functions", "p.classes")
-    return text.structural_chunks(parsed)
-
-
-@query()
-def analysis_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = code.analysis_graph(snippets(spark).select("path", "content", code.parse_python("content").alias("parsed")), "r")
-    return nodes.select("id", F.col("labels")[0].alias("what")).unionAll(edges.select(F.concat_ws(" -> ", "src", "dst"), "type"))
-
-
-C_SOURCE = '#include <stdio.h>\nclass Shape {\n};\nint add(int a, int b) {\n  return a + b;\n}\nint main(void) {\n  if (add(1, 2)) {\n    printf("x");\n  }\n}\n'
-
-
-@query()
-def c_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("m.c", C_SOURCE)], "path string, content string").select("path", code.c_symbols(F.col("content")).alias("s")).select("path", "s.*")
-
-
-@query()
-def c_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.c_calls(spark.createDataFrame([("m.c", C_SOURCE)], "path string, content string"), "path", "content")
-
-
-@query()
-def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.structure(snippets(spark).unionAll(spark.createDataFrame([("m.c", C_SOURCE), ("notes.txt", "x")], "path string, content string")))
-
-
-@query()
-def scanner_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.scan_issues(spark, snippets(spark))
-
-
 @query(f"WITH {SQL_PATHS} SELECT page_id, path FROM pages JOIN paths ON path LIKE 'r' || page_id || '/%'")
 def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = file_list(spark, sf_dir)
