@@ -10,7 +10,6 @@ length and its number among the pieces of that length."""
 
 from __future__ import annotations
 
-import functools
 import random
 import zlib
 from collections import Counter
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import MOST_BROADCAST, discard, frugal, materialize, pieces, prepare
-from graphloom.llm.tokens import BATCH_BYTES, Encoder
+from graphloom.llm.tokens import BATCH_BYTES, encoder
 
 #: Kinds of bins of a packing: a child with more is not taken up, so that a packing's size has a bound.
 MOST_KINDS = 50_000
@@ -216,12 +215,6 @@ def places(packing: Packing) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, np.int64) for x in zip(*sorted(rows), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-@functools.cache
-def _encoder(vocabulary: str) -> Encoder:
-    """One in each Python worker: what it remembers has a bound and serves all its tasks."""
-    return Encoder(vocabulary)
-
-
 def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", size: int = 1024, end: int = 2, ids: bool = True, **search: int) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, the ids.
 
@@ -241,10 +234,10 @@ def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text",
 
     @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = _encoder(vocabulary), TaskContext.get().partitionId(), Counter()
+        own_ids, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in (x for whole in batches for x in pieces(whole, "_text", BATCH_BYTES)):
             rows, out = [], []
-            for row, own in enumerate(encoder.encode([x.as_py() or "" for x in batch.column(1)])):
+            for row, own in enumerate(own_ids.encode([x.as_py() or "" for x in batch.column(1)])):
                 tokens = np.append(own, np.uint32(end)).astype("<u4")
                 stops = range(len(tokens) % size or size, len(tokens) + 1, size)
                 for piece, stop in enumerate(stops):

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import MOST_BROADCAST, frugal, materialize, pieces, prepare
-from graphloom.llm.tokens import BATCH_BYTES, Encoder
+from graphloom.llm.tokens import BATCH_BYTES, encoder
+
 
 def decompose(n: int, size: int) -> list[int]:
     """Lengths of the pieces of n tokens: full sequences, then the powers of two of the rest."""
@@ -40,7 +41,7 @@ def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text",
 
     @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(vocabulary), TaskContext.get().partitionId(), {}
+        own_ids, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), {}
         for batch in (x for whole in batches for x in pieces(whole, "_text", BATCH_BYTES)):
             out: list[list] = [[] for _ in names]
             rows: list[int] = []
@@ -53,7 +54,7 @@ def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text",
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
             held = 0
-            for row, own in enumerate(encoder.encode([x.as_py() or "" for x in batch.column(1)])):
+            for row, own in enumerate(own_ids.encode([x.as_py() or "" for x in batch.column(1)])):
                 tokens = np.append(own, np.uint32(end)).astype("<u4")
                 at = 0
                 for n in decompose(len(tokens), size):
