@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import frugal, lengths, prepare, release
+from graphloom.llm.common import fresh_name, frugal, lengths, prepare, release
 
 #: Hashed n-gram dimensions; n-gram lengths in bytes.
 DIMENSIONS, GRAMS = 4096, (2, 3)
@@ -246,7 +246,8 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     """
     prepare(df)
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score", "rejected")]
-    return df.select(*kept, _predictor(model)(F.col(f"`{text}`").cast("string")).alias("_predicted")).select(*kept, "_predicted.*")
+    of = fresh_name(df, "_predicted")
+    return df.select(*kept, _predictor(model)(F.col(f"`{text}`").cast("string")).alias(of)).select(*kept, f"{of}.*")
 
 
 def keep_identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lengths, mix, prepare, raw
+from graphloom.llm.common import fresh_name, lengths, mix, prepare, raw
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _REST = bytes(range(0x80, 0xC0))  # continuation bytes of UTF-8: not the first of a character
@@ -127,7 +127,8 @@ def quality(df: DataFrame, rules: Rules | None = None, text: str = "text") -> Da
 
     new = {*(c for c, _ in kind), "base_failed", "kept"}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in new]
-    out = df.select(*kept, measured(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("_measured")).select(*kept, "_measured.*")
+    of = fresh_name(df, "_measured")
+    out = df.select(*kept, measured(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias(of)).select(*kept, f"{of}.*")
     base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     bad = (F.col("line_share") > rules.lines) | (F.col("n_symbols") > rules.symbols * F.col("n_words"))
     for i, n in enumerate(ns):
