@@ -23,7 +23,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements that never hold an article's text.
-NEVER = frozenset("script style noscript template iframe textarea title head nav footer aside form button select option input svg math canvas object embed audio video dialog menu map noframes noembed fieldset datalist".split())
+NEVER = frozenset("script style noscript template iframe textarea title head nav footer aside button select option input svg math canvas object embed audio video dialog menu map noframes noembed fieldset datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "tbody", "tfoot", "thead", "tr"}
 #: An element that opens ends an open one of these, up to the nearest of those.
@@ -49,6 +49,8 @@ AWAY = frozenset(
     " newsletter subscribe subscription signup login paywall share sharing"
     " comment comments commentlist disqus replies respond searchbox searchform".split()
 )
+#: Those of them that a paragraph of the article may carry too: it goes only if it isn't running text.
+PLACES = frozenset("share sharing header menu menus nav navigation related aside".split())
 #: Words that as often name a part of the article: they only take points.
 DOUBTFUL = frozenset("legal disclaimer copyright search alert alerts social follow feedback discussion responses reply toc rail promotion register".split())
 #: Words that speak for the article where both kinds meet, as in "article no-sidebar".
@@ -57,25 +59,29 @@ START = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "pre": 3.0,
 
 
 class Node:
-    """away: no part of the article; named: only because of a word of AWAY."""
+    """away: no part of the article; named: only because of a word of AWAY; place: only because of words of
+    PLACES; header: the header of an article; site: a link to another page of the site."""
 
-    __slots__ = ("tag", "parent", "children", "points", "away", "named", "score", "size", "linked", "links", "level")
+    __slots__ = ("tag", "parent", "children", "points", "away", "named", "place", "header", "score", "size", "linked", "links", "site", "level")
 
-    def __init__(self, tag: str, parent: Node | None, points: float = 0.0, away: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, points: float = 0.0, away: bool = False, named: bool = False, place: bool = False, header: bool = False, site: bool = False):
         self.tag, self.parent, self.points, self.away, self.named = tag, parent, points, away or named, named and not away
+        self.place, self.header, self.site = place, header or tag == "header", int(site)
         self.children: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = self.links = 0
         self.level = parent.level + 1 if parent else 0
 
 
-def _judge(tag: str, attributes: str, inside: bool) -> tuple[float, bool, bool]:
-    """(points, away, named) of an element by its tag and attributes; inside: within an article or main."""
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[float, bool, bool, bool, bool, bool]:
+    """(points, away, named, place, header, site) of an element by its tag and attributes; inside: within an
+    article or main."""
     points = START.get(tag, 0.0)
     if tag in NEVER or tag == "header" and not inside:
-        return points, True, False
+        return points, True, False, False, False, False
+    site = tag == "a"
     if not attributes or attributes.isspace():
-        return points, False, False
+        return points, False, False, False, False, site
     words: set[str] = set()
     away = False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -84,12 +90,16 @@ def _judge(tag: str, attributes: str, inside: bool) -> tuple[float, bool, bool]:
             words.update(_TOKENS.findall(value.lower()))
         elif name == "hidden" or name == "aria-hidden" and "true" in value.lower() or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             away = True
+        elif name == "href" and tag == "a":
+            site = not re.match(r"[\"']?\s*(?:#|[a-z][a-z0-9+.-]*:|//)", value, re.I)
     points += 25.0 * bool(words & TOWARDS) - 25.0 * bool(words & DOUBTFUL)
     comment = bool(words & {"comment", "comments"})
     if tag in ("html", "body", "main", "article"):
-        return points, away, tag == "article" and inside and comment
+        return points, away, tag == "article" and inside and comment, False, False, site
     named = bool(words & AWAY) and not words & (TOWARDS - {"body", "text", "content"}) or comment or bool(words & {"sidebar", "ad", "ads", "advert", "cookie"})
-    return points, away, named
+    of = words & AWAY
+    header = named and inside and of == {"header"} and tag in ("div", "section")
+    return points, away, named and not header, named and of <= PLACES, header, site
 
 
 def parse(html: str) -> Node:
@@ -158,9 +168,48 @@ def parse(html: str) -> Node:
             top = node
             opened[tag] = opened.get(tag, 0) + 1
             inside += tag in ("article", "main")
+    _settle(root)
     return root
 
 
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*\Z")
+
+
+def _settle(root: Node) -> None:
+    """What names and tags leave open, by the text: a paragraph with a name of PLACES stays if it is running
+    text, and a form, unless it holds most of the page's running text, goes."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in node.children if isinstance(x, Node) and (x.named or not x.away))
+    prose: dict[int, int] = {}
+    for node in reversed(order):
+        node.size = sum(len(x.strip()) if isinstance(x, str) else x.size for x in node.children)
+        node.linked = node.size if node.tag == "a" else sum(x.linked for x in node.children if isinstance(x, Node))
+        if node.tag in ("p", "pre", "blockquote"):
+            running = node.size >= 25 and node.linked < 0.25 * node.size
+            if node.place and node.size >= 60 and running and _SENTENCE.search(_flat(_text(node))):
+                node.away = node.named = False
+            prose[id(node)] = node.size if running and not node.away else 0
+        else:
+            prose[id(node)] = 0 if node.away else sum(prose.get(id(x), 0) for x in node.children if isinstance(x, Node))
+    for node in order:
+        if node.tag == "form" and 2 * prose[id(node)] <= prose[id(root)]:
+            node.away, node.named = True, False
+
+
+def _text(node: Node) -> str:
+    parts, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        else:
+            stack.extend(reversed(x.children))
+    return " ".join(parts)
+
+
 def _flat(text: str) -> str:
     return " ".join(unescape(text).split())
 
@@ -172,6 +221,7 @@ def measure(root: Node) -> list[Node]:
         node = stack.pop()
         order.append(node)
         node.size = node.linked = node.links = 0
+        node.site = node.site if node.tag == "a" else 0
         node.score = 0.0
         stack.extend(x for x in reversed(node.children) if isinstance(x, Node) and not x.away)
     scored: dict[int, Node] = {}
@@ -186,6 +236,7 @@ def measure(root: Node) -> list[Node]:
                 node.size += x.size
                 node.linked += x.linked
                 node.links += x.links
+                node.site += x.site
                 commas += int(x.score) if x.tag not in BLOCK else 0
                 block = block or x.tag in BLOCK
         node.size += own
@@ -257,7 +308,7 @@ def containers(root: Node) -> list[Node]:
 
     def belongs(x: Node) -> bool:
         like = id(x) in known and x.score >= max(3.0, 0.2 * best.score)
-        return like or x.tag == "header" or x.tag in PROSE and x.size > 0 and x.linked < 0.25 * x.size
+        return like or x.header or x.tag in PROSE and x.size > 0 and x.linked < 0.25 * x.size
 
     kept, node = [best], best
     while node is best or node.parent and node.parent.tag not in ("body", "html", "#root"):
@@ -269,8 +320,9 @@ def containers(root: Node) -> list[Node]:
 
 
 def main_text(html: str) -> str:
-    """The page's main text: blocks in page order, parted by an empty line. A list of links that stands
-    before the first paragraph is a menu."""
+    """The page's main text: blocks in page order, parted by an empty line. A list of short links within the
+    site that stands before the first paragraph is a menu; of an article's header its headings and
+    paragraphs stay."""
     root = parse(html)
     blocks: list[str] = []
     line: list[str] = []
@@ -292,11 +344,11 @@ def main_text(html: str) -> str:
                 line.append(x)
             elif x.away and x is not container or x.tag in NEVER:
                 continue
-            elif x is not container and not prose and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 3 and x.linked > 0.5 * x.size:
+            elif x is not container and not prose and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 3 and x.linked > 0.5 * x.size and x.site > 0.5 * x.links and x.linked < 30 * x.links:
                 continue
-            elif x.tag == "header":
+            elif x.header:
                 flush()
-                stack.extend([None, *(h for h in _headings(x))])
+                stack.extend([None, *_headings(x)])
             else:
                 if x.tag in BLOCK:
                     flush()
@@ -310,12 +362,14 @@ def main_text(html: str) -> str:
 
 
 def _headings(header: Node) -> list[Node]:
-    """The headings within an article's own header, last first."""
+    """The headings and running text within an article's own header, last first."""
     found, stack = [], [header]
     while stack:
-        for x in stack.pop().children:
-            if isinstance(x, Node) and not x.away:
-                (found if x.tag in HEADINGS else stack).append(x)
+        x = stack.pop()
+        if x.tag in HEADINGS or x.tag in ("p", "pre", "blockquote") and x.size >= 25 and x.linked < 0.25 * x.size:
+            found.append(x)
+        else:
+            stack.extend(y for y in reversed(x.children) if isinstance(y, Node) and not y.away)
     return found[::-1]
 
 

@@ -170,12 +170,29 @@ PROSE = "Plain words, set down with care, that go on for a while, so that nobody
         (f"<article><header><div><h1>T</h1></div><p>by N</p></header><div><p>{PROSE}</p></div></article>", f"T\n\n{PROSE.strip()}"),
         (f"<main><article><p>{PROSE}<p>{PROSE}</article><article class='user comment'><p>{PROSE}</article></main>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
         (f"<div class=ad>{PROSE}</div><article><h1>Short.</h1></article>", "Short."),
+        (f"<form action=x><div class=nav><a href=/>Home</a></div><article><p>{PROSE}<p>{PROSE}</article><input></form>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        (f"<article><p>{PROSE}<p>{PROSE}</article><form><p>{PROSE}</p><input name=mail></form>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        (f"<article><p>{PROSE}<p class=share>{PROSE}<p class=share>Share this with your friends and with all of their friends on every network<p class=advert>{PROSE}</article>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        (f"<article><div class=header><h2>T</h2><p>A lead that says what follows.</div><p>{PROSE}</article>", f"T\n\nA lead that says what follows.\n\n{PROSE.strip()}"),
+        (f"<article><header><h1>T</h1><p>A lead that says what follows.<p>by N<nav>a b c</nav></header><p>{PROSE}</article>", f"T\n\nA lead that says what follows.\n\n{PROSE.strip()}"),
+        (f"<article><ul><li><a href=https://a.example/1>First source<li><a href='//b.example'>Second<li><a href=mailto:c>Third</ul><p>{PROSE}</article>", f"First source\n\nSecond\n\nThird\n\n{PROSE.strip()}"),
+        (f"<article><ol><li><a href=#1>One<li><a href='#2'>Two<li><a href=\"#3\">Three</ol><p>{PROSE}</article>", f"One\n\nTwo\n\nThree\n\n{PROSE.strip()}"),
+        (f"<article><ul><li><a href=/1>Home<li><a href='two.html'>News<li><a href='?p=3'>Sport</ul><p>{PROSE}</article>", PROSE.strip()),
     ],
 )
 def test_extraction(html, text):
     assert extract.main_text(html) == text
 
 
+def test_clashing_names_of_temporary_columns(spark, sf_dir):
+    """Names that operators use inside are columns like others."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("*", F.lit(1).alias("_measured"), F.lit(2).alias("_predicted"), F.lit("x").alias("_text")).limit(30)
+    model = langid.train(df)
+    for made in (quality.quality(df), langid.identify(df, model), langid.keep_identified(df, model), tokens.count_tokens(df, BPE)):
+        assert {(r["_measured"], r["_predicted"], r["_text"]) for r in made.collect()} == {(1, 2, "x")}
+    assert packing.pack(df, BPE).count() > 0
+
+
 def test_broken_markup_takes_linear_time():
     import time
 
