@@ -52,13 +52,26 @@ def call_graph(edges: DataFrame, starts: DataFrame, depth: int = 3, limit: int =
     return steps.groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.count("*").alias("n"))
 
 
-def cycles(edges: DataFrame, least: int = 2, most: int = 5, limit: int | None = 10) -> DataFrame:
+def members(defines: DataFrame, files: DataFrame, hops: int = 2) -> DataFrame:
+    """(id): what is tied to files(id) by 1 to `hops` edges of defines(src, dst), in either direction."""
+    ties = defines.select("src", "dst").unionAll(defines.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    files = files.select("id").distinct()
+    around = files
+    every = None
+    for _ in range(hops):
+        around = around.join(ties, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        every = around if every is None else every.unionAll(around)
+    return every.distinct().join(files, "id", "left_anti")
+
+
+def cycles(edges: DataFrame, least: int = 2, most: int = 5, limit: int | None = 10, within: DataFrame | None = None) -> DataFrame:
     """(path, length): cycles of `least` to `most` edges, none used twice. Of the cycles over the same
     set of nodes one stays: the shortest, then the smallest path, so rotations count once.
 
     Walks start at their smallest node only, which keeps a rotation of each and prunes the joins; the
     closing edge is a join on both ends. Shorter cycles come first, so walks end at the length at
-    which `limit` cycles are found."""
+    which `limit` cycles are found. With `within` (id), only cycles that hold one of its nodes count: they
+    are sorted out by a semi-join before the limit is."""
     link = cut(_link(edges).where("src <> dst"))
     used = F.exists(F.sequence(F.lit(1), F.size("path") - 1), lambda i: (F.element_at("path", i) == F.col("src")) & (F.element_at("path", i + 1) == F.col("dst")))
     longer = F.concat("path", F.array("dst")).alias("path")
@@ -67,6 +80,9 @@ def cycles(edges: DataFrame, least: int = 2, most: int = 5, limit: int | None =
     for hops in range(2, most + 1):
         if hops >= least:
             closed = walk.join(link, (last == F.col("src")) & (first == F.col("dst"))).where(~used).select(longer, F.lit(hops).alias("length"))
+            if within is not None:
+                held = closed.select("path", F.explode("path").alias("id")).join(within.select("id"), "id", "left_semi").select("path")
+                closed = closed.join(held.distinct(), "path", "left_semi")
             closed = closed.withColumn("set", F.array_sort(F.array_distinct("path"))) if once is None else once.unionByName(closed.withColumn("set", F.array_sort(F.array_distinct("path"))))
             once = closed.groupBy("set").agg(F.min(F.struct("length", "path")).alias("c")).select("c.path", "c.length", "set")
             if limit is not None:
@@ -104,16 +120,39 @@ def ripple_summary(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFr
 
 def shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """(path, distance): the shortest path between the ids, however long; among equally short ones the
-    smallest in order; itself with distance 0; no row if there is none. Hop by hop until the target is
-    reached or nothing new is."""
-    link, target = cut(_link(edges)), cut(target.select("id").distinct())
-    frontier = cut(source.select("id", F.array("id").alias("path")))
-    seen = frontier.select("id")
-    while frontier.join(target, "id", "left_semi").isEmpty() and not frontier.isEmpty():
-        step = frontier.join(link, F.col("id") == F.col("src")).groupBy("dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = cut(step.select(F.col("dst").alias("id"), "path").join(seen, "id", "left_anti"))
-        seen = cut(seen.unionAll(frontier.select("id")))
-    return frontier.join(target, "id").select("path", (F.size("path") - 1).alias("distance"))
+    smallest in order; itself with distance 0; no row if there is none."""
+    return typed_path(edges.select("src", "dst", F.lit("").alias("type"), F.col("dst").alias("place")), source, target, ("",))
+
+
+#: The relations that a dependency follows, in this order.
+DEPENDENCIES = ("CALLS", "IMPORTS", "DEPENDS_ON")
+
+
+def typed_path(edges: DataFrame, source: DataFrame, target: DataFrame, types: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
+    """(path, distance): a shortest path from source(id) to target(id) over edges(src, dst, type, place) of the
+    types. Of equally short ones that is taken which a breadth-first search meets first: nodes go on in the
+    order in which they were reached, their edges by type, then place. Itself with distance 0; no row if there
+    is no path.
+
+    Each hop is a table of its own: (id, parent, reached), with `reached` ascending in the order of the search,
+    as a sort by ranges gives it. The path is walked back over these tables at the end.
+    """
+    rank = F.array_position(F.array(*map(F.lit, types)), F.col("type"))
+    link = cut(edges.where(F.col("type").isin(*types)).select("src", "dst", rank.alias("rank"), "place"))
+    target = cut(target.select("id").distinct())
+    levels = [cut(source.select("id", F.lit(None).cast(source.schema["id"].dataType).alias("parent"), F.lit(0).cast("bigint").alias("reached")))]
+    while (last := levels[-1].join(target, "id", "left_semi")).isEmpty():
+        step = levels[-1].select(F.col("id").alias("src"), "reached").join(link, "src").groupBy("dst").agg(F.min(F.struct("reached", "rank", "place", "src")).alias("by"))
+        seen = reduce(DataFrame.unionAll, (level.select("id") for level in levels))
+        fresh = step.join(seen, F.col("dst") == F.col("id"), "left_anti").orderBy("by.reached", "by.rank", "by.place", "dst")
+        level = cut(fresh.select(F.col("dst").alias("id"), F.col("by.src").alias("parent"), F.monotonically_increasing_id().alias("reached")))
+        if level.isEmpty():
+            return level.select(F.array("id").alias("path"), F.lit(0).alias("distance"))
+        levels.append(level)
+    walk = last.orderBy("reached").limit(1).select(F.array("id").alias("path"), F.col("parent").alias("_at"))
+    for level in levels[-2::-1]:
+        walk = walk.join(level, F.col("_at") == F.col("id")).select(F.concat(F.array("id"), "path").alias("path"), F.col("parent").alias("_at"))
+    return walk.select("path", F.lit(len(levels) - 1).alias("distance"))
 
 
 def importance(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:

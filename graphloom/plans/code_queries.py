@@ -3,13 +3,16 @@ from its key and size, so that SQL can say what is in it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import code, parsing, text
+from graphloom.operators import impact, resolution
 from graphloom.plans.catalog import query
 from graphloom.plans.datasets import table
-from graphloom.plans.storage import cut
+from graphloom.plans.storage import cut, shared_folder
 
 #: By language: ending, text with {k} (the key) and one place for lines that repeat r times (the size modulo 7).
 TEMPLATES = {
@@ -319,3 +322,70 @@ def scanner_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = table(spark, sf_dir, "part").select(F.concat(F.lit("long"), F.col("p_partkey").cast("string"), F.lit(".rs")).alias("path"), F.repeat(F.lit("// 3"), F.when(F.col("p_size") > 20, 31).otherwise(30)).alias("content"))
     found = code.scan_issues(spark, sources(spark, sf_dir).unionAll(long))
     return found.select("path", "line", F.regexp_replace("message", ":.*", "").alias("message"))
+
+
+# Imports and calls across files: every part is a module of one package, which calls that of the next key
+
+
+#: By the key modulo 4: an absolute import, a relative one of a module, one of a name, and one of a longer name with an alias.
+MODULES = (
+    "import lib.m{j}\n\ndef f{k}():\n    lib.m{j}.f{j}()\n    return g{k}()\n\ndef g{k}():\n    return missing()\n",
+    "from . import m{j}\n\ndef f{k}():\n    m{j}.f{j}()\n    m{j}.C{j}.run()\n",
+    "from .m{j} import f{j}\nimport os\n\nclass C{k}:\n    def run(self):\n        m{j}.f{j}()\n        os.remove(1)\n\ndef f{k}():\n    return C{k}()\n",
+    "import lib.m{j}.deep as d{j}\n\ndef f{k}():\n    d{j}.f{j}()\n\nf{k}()\n",
+)
+SQL_MODULES = """m AS (SELECT p_partkey AS k, p_partkey + 1 AS j, p_partkey % 4 AS n, p_partkey + 1 IN (SELECT p_partkey FROM part) AS there, 'lib/m' || p_partkey || '.py' AS path, 'r:lib/m' || p_partkey || '.py' AS own, 'r:lib/m' || (p_partkey + 1) || '.py' AS other FROM part)"""
+SQL_LINKS = f"""WITH {SQL_MODULES}, e AS (SELECT own || CASE n WHEN 2 THEN '::C' || k || '::run' ELSE '::f' || k END AS src, other || '::f' || j AS dst FROM m WHERE there UNION ALL SELECT own || '::f' || k, other || '::C' || j || '::run' FROM m WHERE there AND n = 1
+UNION ALL SELECT own || '::f' || k, own || '::g' || k FROM m WHERE n = 0 UNION ALL SELECT own || '::f' || k, own || '::C' || k FROM m WHERE n = 2 UNION ALL SELECT own, own || '::f' || k FROM m WHERE n = 3)"""
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a Python module of each part."""
+    key = F.col("p_partkey")
+    pick = F.element_at(F.array(*map(F.lit, MODULES)), (key % 4 + 1).cast("int"))
+    filled = F.replace(F.replace(pick, F.lit("{k}"), key.cast("string")), F.lit("{j}"), (key + 1).cast("string"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("lib/m"), key.cast("string"), F.lit(".py")).alias("path"), filled.alias("content"))
+
+
+def _resolved(parsed: DataFrame) -> DataFrame:
+    return resolution.resolve_imports(resolution.candidates(resolution.imports_of(parsed)), impact.module_map(parsed.select("path")))
+
+
+@query(f"""WITH {SQL_MODULES} SELECT path, CASE n WHEN 0 THEN 'lib.m' || j WHEN 3 THEN 'lib.m' || j || '.deep' ELSE 'm' || j END AS key, 'lib/m' || j || '.py' AS target, (n = 1 OR n = 3)::INT AS rank FROM m WHERE there UNION ALL SELECT path, 'd' || j, 'lib/m' || j || '.py', 1 FROM m WHERE there AND n = 3""")
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(_modules(spark, sf_dir))
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(parsing.parse_files(modules(spark, sf_dir)))
+
+
+@query(f"{SQL_LINKS} SELECT src, dst, 1::BIGINT AS n FROM e")
+def linked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.call_graph(_modules(spark, sf_dir), "r")
+
+
+def _stored_links(spark: SparkSession, sf_dir: str) -> resolution.LinkStore:
+    store = resolution.LinkStore(spark, f"{shared_folder(spark)}/links-{uuid.uuid4().hex}", "r")
+    whole = modules(spark, sf_dir)
+    for number in range(2):
+        store.add(whole.where(F.pmod(F.xxhash64("path"), F.lit(2)) == number), number)
+    return store
+
+
+@query(f"{SQL_LINKS} SELECT src, dst, 1::BIGINT AS n FROM e")
+def links_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links as linked_calls, of files that arrive in two batches."""
+    return _stored_links(spark, sf_dir).edges()
+
+
+@query(f"""WITH {SQL_MODULES} SELECT own || '::g' || k AS src, 'missing' AS callee, 1::BIGINT AS n FROM m WHERE n = 0 UNION ALL SELECT own || '::C' || k || '::run', 'os.remove', 1 FROM m WHERE n = 2
+UNION ALL SELECT own || CASE n WHEN 2 THEN '::C' || k || '::run' ELSE '::f' || k END, CASE n WHEN 0 THEN 'lib.m' WHEN 3 THEN 'd' ELSE 'm' END || j || '.f' || j, 1 FROM m WHERE NOT there UNION ALL SELECT own || '::f' || k, 'm' || j || '.C' || j || '.run', 1 FROM m WHERE NOT there AND n = 1""")
+def external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_links(spark, sf_dir).external_calls()
+
+
+@query(f"""WITH {SQL_MODULES} SELECT path FROM m WHERE there AND j IN (SELECT p_partkey FROM part WHERE p_size > 40)""")
+def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = table(spark, sf_dir, "part").where("p_size > 40").select(F.concat(F.lit("lib/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
+    return resolution.importers(_resolved(_modules(spark, sf_dir)), big)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, impact, paths
+from graphloom.operators import graph, impact, linking, paths
 from graphloom.plans.catalog import query
 from graphloom.plans.datasets import SQL_BUSIEST, SQL_CALLS, SQL_EDGES, SQL_NODES, busiest, calls, parts, star, table, transitions
 
@@ -265,18 +265,25 @@ def call_graph_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.call_graph(c, busiest(c))
 
 
-def _cycles_sql() -> str:
+def _cycles_sql(result: str = "SELECT array_to_string(path, '>') AS path, length FROM found", within: str | None = None) -> str:
     """Cycles by length; those of a length are sought only where shorter ones are fewer than ten sets of nodes."""
     steps, shorter = [], []
+    held = f" AND list_has_any([e1.src, e1.dst, {{}}], (SELECT list(id) FROM {within}))" if within else ""
     for n in range(2, 6):
         few = " + ".join(f"(SELECT count(DISTINCT list_sort(list_distinct(path))) FROM c{m})" for m in shorter) or "0"
         steps.append(f"f{n} AS (SELECT src, dst FROM calls WHERE {few} < 10)")
         joins = " ".join(f"JOIN f{n} e{i} ON e{i}.src = e{i - 1}.dst" for i in range(2, n + 1))
         distinct = " AND ".join(f"(e{i}.src, e{i}.dst) <> (e{j}.src, e{j}.dst)" for i in range(1, n + 1) for j in range(1, i)) or "true"
-        steps.append(f"c{n} AS (SELECT [{', '.join(f'e{i}.src' for i in range(1, n + 1))}, e1.src] AS path, {n} AS length FROM f{n} e1 {joins} WHERE e{n}.dst = e1.src AND {distinct})")
+        steps.append(f"c{n} AS (SELECT [{', '.join(f'e{i}.src' for i in range(1, n + 1))}, e1.src] AS path, {n} AS length FROM f{n} e1 {joins} WHERE e{n}.dst = e1.src AND {distinct}{held.format(', '.join(f'e{i}.dst' for i in range(2, n + 1)))})")
         shorter.append(n)
-    return f"""WITH {SQL_CALLS}, {', '.join(steps)}, a AS ({' UNION ALL '.join(f'SELECT * FROM c{n}' for n in shorter)}), b AS (SELECT path, length, list_sort(list_distinct(path)) AS s FROM a),
-c AS (SELECT path, length, row_number() OVER (PARTITION BY s ORDER BY length, path) AS r FROM b) SELECT array_to_string(path, '>') AS path, length FROM c WHERE r = 1 ORDER BY length, c.path LIMIT 10"""
+    return f"""WITH {SQL_CALLS}, {SQL_MEMBERS + ', ' if within else ''}{', '.join(steps)}, a AS ({' UNION ALL '.join(f'SELECT * FROM c{n}' for n in shorter)}), b AS (SELECT path, length, list_sort(list_distinct(path)) AS s FROM a),
+c AS (SELECT path, length, row_number() OVER (PARTITION BY s ORDER BY length, path) AS r FROM b),
+found AS (SELECT path, length FROM c WHERE r = 1 ORDER BY length, c.path LIMIT 10) {result}"""
+
+
+#: Parts tied to the first two brands as their files: those of the brand, and those that such a part defines (the next key, of a big part).
+SQL_MEMBERS = """ties AS (SELECT p_brand AS a, p_partkey::VARCHAR AS b FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey::VARCHAR, (p_partkey + 1)::VARCHAR FROM part WHERE p_size > 25), undirected AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties),
+files AS (SELECT DISTINCT p_brand AS id FROM part ORDER BY 1 LIMIT 2), near AS (SELECT b AS id FROM undirected WHERE a IN (SELECT id FROM files)), tied AS (SELECT try_cast(id AS BIGINT) AS id FROM (SELECT id FROM near UNION SELECT b FROM undirected WHERE a IN (SELECT id FROM near)) WHERE id NOT IN (SELECT id FROM files) AND try_cast(id AS BIGINT) IS NOT NULL)"""
 
 
 @query(_cycles_sql())
@@ -284,6 +291,49 @@ def cycles_2_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.cycles(calls(spark, sf_dir)).select(text_path().alias("path"), "length")
 
 
+@query(_cycles_sql(within="tied"))
+def repository_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of calls that hold a function tied to the files of a repository by one or two definitions."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    ties = p.where("p_size <= 25").select(F.col("p_brand").alias("src"), key.cast("string").alias("dst")).unionAll(p.where("p_size > 25").select(key.cast("string"), (key + 1).cast("string")))
+    own = paths.members(ties, p.select(F.col("p_brand").alias("id")).distinct().orderBy("id").limit(2)).select(F.col("id").try_cast("bigint").alias("id")).where("id is not null")
+    return paths.cycles(calls(spark, sf_dir), within=own).select(text_path().alias("path"), "length")
+
+
+@query(_cycles_sql("SELECT 'circular_dependency' AS type, 'critical' AS severity, array_to_string(path, ' -> ') AS description FROM found"))
+def circular_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.circular_issues(paths.cycles(calls(spark, sf_dir)))
+
+
+#: Three relations between parts: calls of odd orders only, imports of the part 7 keys on, dependencies within a brand and size.
+SQL_TYPED = """typed AS (SELECT DISTINCT src, dst, 'CALLS' AS type FROM calls WHERE (src + dst) % 5 = 0 UNION ALL SELECT p_partkey, p_partkey + 7, 'IMPORTS' FROM part UNION ALL SELECT a.p_partkey, b.p_partkey, 'DEPENDS_ON' FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey BETWEEN a.p_partkey + 1 AND a.p_partkey + 60)"""
+
+
+def _typed_sql(most: int = 14) -> str:
+    """Breadth first, level by level: a node's place is that of the path that reaches it first."""
+    steps = ["l0 AS (SELECT (SELECT min(p_partkey) FROM part) AS id, []::BIGINT[] AS place, [(SELECT min(p_partkey) FROM part)] AS path)"]
+    for i in range(1, most + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM l{j}" for j in range(i))
+        done = " OR ".join(f"EXISTS (SELECT 1 FROM l{j} WHERE id = (SELECT id FROM goal))" for j in range(i))
+        steps.append(f"""l{i} AS (SELECT dst AS id, min(list_concat(place, [CASE type WHEN 'CALLS' THEN 1 WHEN 'IMPORTS' THEN 2 ELSE 3 END, dst])) AS place, arg_min(list_append(path, dst), list_concat(place, [CASE type WHEN 'CALLS' THEN 1 WHEN 'IMPORTS' THEN 2 ELSE 3 END, dst])) AS path
+FROM l{i - 1} JOIN typed ON src = id WHERE dst NOT IN ({seen}) AND NOT ({done}) GROUP BY dst)""")
+    every = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(most + 1))
+    return f"WITH {SQL_CALLS}, {SQL_TYPED}, goal AS (SELECT max(p_partkey) AS id FROM part), {', '.join(steps)} SELECT array_to_string(path, '>') AS path, len(path) - 1 AS distance FROM ({every}) WHERE id = (SELECT id FROM goal)"
+
+
+@query(_typed_sql())
+def typed_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest path over calls, imports and dependencies, in this order of preference."""
+    p, edge = table(spark, sf_dir, "part"), calls(spark, sf_dir)
+    made = edge.where("(src + dst) % 5 = 0").select("src", "dst", F.lit("CALLS").alias("type"))
+    made = made.unionAll(p.select("p_partkey", F.col("p_partkey") + 7, F.lit("IMPORTS")))
+    a, b = p.select("p_brand", F.col("p_partkey").alias("src")), p.select("p_brand", F.col("p_partkey").alias("dst"))
+    near = a.select("p_brand", "src", F.explode(F.sequence(F.col("src") + 1, F.col("src") + 60)).alias("dst")).join(b, ["p_brand", "dst"])
+    made = made.unionAll(near.select("src", "dst", F.lit("DEPENDS_ON"))).withColumn("place", F.col("dst"))
+    ends = p.agg(F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
+    return paths.typed_path(made, ends.select(F.col("a").alias("id")), ends.select(F.col("b").alias("id"))).select(text_path().alias("path"), "distance")
+
+
 @query(f"""WITH {SQL_CALLS}, {SQL_BUSIEST}, d1 AS (SELECT DISTINCT src AS id FROM calls WHERE dst = (SELECT id FROM busiest) AND src <> (SELECT id FROM busiest)),
 d2 AS (SELECT DISTINCT src AS id FROM calls WHERE dst IN (SELECT id FROM d1)), d3 AS (SELECT DISTINCT src AS id FROM calls WHERE dst IN (SELECT id FROM d2)), d4 AS (SELECT DISTINCT src AS id FROM calls WHERE dst IN (SELECT id FROM d3))
 SELECT id, min(distance) AS distance FROM (SELECT id, 1 AS distance FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3 UNION ALL SELECT id, 4 FROM d4) WHERE id <> (SELECT id FROM busiest) GROUP BY id""")

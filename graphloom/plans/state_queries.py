@@ -76,12 +76,6 @@ def targets_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.targets(table(spark, sf_dir, "customer").select(F.right("c_name", F.lit(4)).alias("name")), nodes)
 
 
-@query("SELECT 'circular_dependency' AS type, 'critical' AS severity, n_nationkey || ' -> ' || n_regionkey || ' -> ' || n_nationkey AS description FROM nation WHERE n_nationkey % 2 = 1")
-def circular_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.when(F.col("n_nationkey") % 2 == 1, F.array("n_nationkey", "n_regionkey", "n_nationkey")).otherwise(F.array("n_nationkey", "n_nationkey"))
-    return linking.circular_issues(table(spark, sf_dir, "nation").select(path.alias("path")))
-
-
 @query(f"""WITH {SQL_CALLS}, e AS (SELECT DISTINCT 'part:' || src AS s, 'part:' || dst AS d FROM calls ORDER BY 1, 2 LIMIT 200)
 SELECT 'graph TD' || chr(10) || string_agg('    ' || replace(s, ':', '_') || '["' || s || '"] --> ' || replace(d, ':', '_') || '["' || d || '"]', chr(10) ORDER BY s, d) AS text FROM e""")
 def global_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

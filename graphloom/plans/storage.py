@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed and stored in the folder of spark.checkpoint.dir, which all executors share: the
-    plan behind it is forgotten, and lost executors cost nothing. Unset, a local session takes a
-    temporary folder; a cluster has to name one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Unset, a local session takes a temporary
+    one; a cluster has to name it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed and stored in the shared folder: the plan behind it is forgotten, and lost executors
+    cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -74,7 +74,7 @@ def upsert_batches(events: DataFrame, path: str, apply: Callable[[DataFrame, Dat
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = _versions(spark, path)
+        done = finished_versions(spark, path)
         if number in done:
             return
         before = spark.read.parquet(f"{path}/v{max(done)}") if done else None
@@ -83,8 +83,8 @@ def upsert_batches(events: DataFrame, path: str, apply: Callable[[DataFrame, Dat
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a table, by Hadoop's file system: any store that Spark reads will do."""
+def finished_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a table, by Hadoop's file system: any store that Spark reads will do."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(at):
@@ -94,7 +94,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{max(_versions(spark, path))}")
+    return spark.read.parquet(f"{path}/v{max(finished_versions(spark, path))}")
 
 
 def poll(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "300 seconds") -> StreamingQuery:
