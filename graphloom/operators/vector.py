@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,51 @@ def hashing_embedder(dimensions: int = 64):
     return embed
 
 
+def resilient_embedder(model: Callable[[list[str]], np.ndarray], dimensions: int, batch: int = 100, tries: int = 3):
+    """An Arrow function from texts to struct(vector, failed) around a model that may fail: `model` takes a
+    list of texts and gives a row of numbers for each.
+
+    A batch that fails `tries` times is cut in halves, and these again, until the texts that the model can't
+    take are alone: they get a zero vector and failed = true; all others get their own. A text that fails
+    costs about twice log2(batch) calls, not a call for each of its neighbours. Null and empty texts are
+    zeros without a call, and an answer of another shape is a failure.
+    """
+    kind = pa.struct([("vector", pa.list_(pa.float32())), ("failed", pa.bool_())])
+
+    def attempt(texts: list[str]) -> np.ndarray | None:
+        for _ in range(tries):
+            try:
+                found = np.asarray(model(texts), np.float32)
+            except Exception:  # whatever a model raises: the batch is smaller next time
+                continue
+            if found.shape == (len(texts), dimensions) and np.isfinite(found).all():
+                return found
+        return None
+
+    def fill(texts: list[str], rows: list[int], out: np.ndarray, failed: np.ndarray) -> None:
+        todo = [rows[at : at + batch] for at in range(0, len(rows), batch)]
+        while todo:
+            some = todo.pop()
+            found = attempt([texts[i] for i in some])
+            if found is not None:
+                out[some] = found
+            elif len(some) == 1:
+                failed[some[0]] = True
+            else:
+                todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+
+    @F.arrow_udf("struct<vector:array<float>,failed:boolean>")
+    def embed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            texts = [x or "" for x in column.to_pylist()]
+            out, failed = np.zeros((len(texts), dimensions), np.float32), np.zeros(len(texts), bool)
+            fill(texts, [i for i, x in enumerate(texts) if x], out, failed)
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), dimensions).cast(pa.list_(pa.float32()))
+            yield pa.StructArray.from_arrays([vectors, pa.array(failed)], fields=list(kind))
+
+    return embed
+
+
 def points_from_chunks(chunks: DataFrame, session: str, embed) -> DataFrame:
     """chunks(chunk_id, text, source, metadata) as points: id from the chunk's, payload with content,
     source and session."""

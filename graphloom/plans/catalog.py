@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from graphloom.plans import code_queries, graph_queries, history_queries, quality_queries, state_queries, text_queries  # noqa: E402,F401
+from graphloom.plans import code_queries, graph_queries, history_queries, quality_queries, source_queries, state_queries, text_queries  # noqa: E402,F401
