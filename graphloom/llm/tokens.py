@@ -76,12 +76,44 @@ def spaced(path: str) -> np.ndarray:
     return out
 
 
-def split_safely(text: str) -> list[str]:
-    """Pieces of the text whose ids, one after the other, are the text's. All but the first have lost
-    the space before them."""
-    if _ODD.search(text) or "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
-        return _SAFE.split(text)
-    return text.split(" ")
+#: Begins a piece that has no space before it. Texts that hold this character are encoded whole.
+BEGIN = "\x01"
+
+
+@functools.cache
+def special_strings(path: str) -> tuple[str, ...]:
+    """Texts that are tokens of their own, whatever is around them."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(x["content"] for x in json.load(f).get("added_tokens", []))
+
+
+def split_safely(text: str, special: tuple[str, ...] = ()) -> list[str] | None:
+    """Pieces of the text whose ids, one after the other, are the text's; None where it can't be cut. A piece
+    stands for itself and the space before it, unless it begins with BEGIN or is a line end alone. A text with
+    one of the special strings is cut at spaces only."""
+    if BEGIN in text:
+        return None
+    if any(x in text for x in special) or _ODD.search(text) or "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n":
+        pieces = _SAFE.split(text)
+        pieces[0] = BEGIN + pieces[0]
+        return pieces
+    # Between other characters one line end, or two, are tokens of their own.
+    return (BEGIN + text.replace("\n", f" \n {BEGIN}")).split(" ")
+
+
+class _Grown:
+    """An array that grows at its end, by copies as seldom as a list's."""
+
+    def __init__(self, kind: type):
+        self.values, self.size = np.empty(1024, kind), 0
+
+    def append(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.values):
+            held = self.values[: self.size]
+            self.values = np.empty(2 * (self.size + len(more)), held.dtype)
+            self.values[: self.size] = held
+        self.values[self.size : self.size + len(more)] = more
+        self.size += len(more)
 
 
 class Encoder:
@@ -92,74 +124,90 @@ class Encoder:
     def __init__(self, path: str):
         self.library, self.cut = tokenizer(path), cuts_safely(path)
         self.spaced = spaced(path) if self.cut else None
+        self.special = special_strings(path) if self.cut else ()
+        self.line_end = self.library(["\n"])[0][0] if self.cut else None
         self.forget()
 
     def forget(self) -> None:
-        self.first: dict[str, int] = {}
-        self.rest: dict[str, int] = {}
-        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.number: dict[str, int] = {}
+        self.start, self.ids = _Grown(np.int64), _Grown(np.uint32)  # where a piece's ids begin, and all of them
+        self.start.append(np.zeros(1, np.int64))
         self.characters = 0
 
-    def _learn(self, first: list[str], rest: list[str]) -> None:
-        """Takes up new pieces. Those after a space and without another one are encoded as one text: its
-        ids that begin with a space begin a piece."""
-        one = [x for x in rest if " " not in x and len(x) <= LONG]
-        other = [x for x in rest if " " in x or len(x) > LONG]
+    def _learn(self, new: list[str]) -> None:
+        """Takes up new pieces. Words are encoded many in one text, which is cut before the ids that begin with a
+        space, or at line ends where the words have none before them."""
+        plain, begun, other = [], [], []
+        for x in new:
+            simple = len(x) <= LONG and "\n" not in x and " " not in x
+            (other if not simple else begun if x[0] == BEGIN and len(x) > 1 and not _ODD.search(x) else other if x[0] == BEGIN else plain).append(x)
         found, sizes = [], []
-        for batch in _slices(one):
-            # The library is quickest with texts of about a hundred words.
-            made = self.library([" " + " ".join(batch[i : i + WORDS]) for i in range(0, len(batch), WORDS)])
-            ids = np.fromiter(itertools.chain.from_iterable(made), np.uint32, sum(map(len, made)))
+        for batch in _slices(plain):
+            ids = self._joined([" " + " ".join(some) for some in _groups(batch)])
             found.append(ids)
             sizes.append(np.diff(np.flatnonzero(np.append(self.spaced[ids], True))))
-        for batch in _batches([*(" " + x for x in other), *first]):
+        for batch in _slices(begun):
+            ids = self._joined(["\n".join(x[1:] for x in some) + "\n" for some in _groups(batch)])
+            ends = np.flatnonzero(ids == self.line_end)
+            found.append(ids[ids != self.line_end])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        for batch in _batches([x[1:] if x[0] == BEGIN else x if x == "\n" else " " + x for x in other]):
             parts = [_MARKS.split(x) if len(x) > LONG else [x] for x in batch]
             ids = iter(self.library([y for x in parts for y in x]))
             for x in parts:
                 found.append(np.array([i for _ in x for i in next(ids)], np.uint32))
                 sizes.append([len(found[-1])])
-        at = len(self.start) - 1
-        self.rest.update(zip(one, range(at, at + len(one)), strict=True))
-        self.rest.update(zip(other, range(at + len(one), at + len(rest)), strict=True))
-        self.first.update(zip(first, range(at + len(rest), at + len(rest) + len(first)), strict=True))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes), dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, *found])
-        self.characters += sum(map(len, rest)) + sum(map(len, first))
-
-    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of every piece of the texts, and where each text's begin."""
-        if len(self.first) + len(self.rest) > MOST_PIECES or self.characters > MOST_CHARACTERS:
+        at = self.start.size - 1
+        self.number.update(zip(itertools.chain(plain, begun, other), range(at, at + len(new)), strict=True))
+        self.start.append(self.ids.size + np.cumsum(np.concatenate(sizes), dtype=np.int64))
+        self.ids.append(np.concatenate(found))
+        self.characters += sum(map(len, new))
+
+    def _joined(self, texts: list[str]) -> np.ndarray:
+        made = self.library(texts)
+        return np.fromiter(itertools.chain.from_iterable(made), np.uint32, sum(map(len, made)))
+
+    def _numbers(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every piece, and where each text's begin."""
+        if len(self.number) > MOST_PIECES or self.characters > MOST_CHARACTERS:
             self.forget()
-        split = [split_safely(t) for t in texts]
         at = np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])
-        heads, flat = [x[0] for x in split], [p for x in split for p in x[1:]]
-        first, rest = {*heads}.difference(self.first), {*flat}.difference(self.rest)
-        if first or rest:
-            self._learn([*first], [*rest])
-        numbers = np.empty(at[-1], np.int64)
-        inner = np.ones(at[-1], bool)
-        inner[at[:-1]] = False
-        numbers[at[:-1]] = [self.first[h] for h in heads]
-        numbers[inner] = np.fromiter(map(self.rest.__getitem__, flat), np.int64, len(flat))
-        return numbers, at
+        flat = list(itertools.chain.from_iterable(split))
+        found = np.fromiter(map(self.number.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(flat[i] for i in missing)))
+            found[missing] = [self.number[flat[i]] for i in missing]
+        return found, at
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        if not self.cut:
-            return [len(x) for x in self.library(texts)]
-        numbers, at = self._numbers(texts)
-        total = np.concatenate([[0], np.cumsum(np.diff(self.start)[numbers])])
-        return (total[at[1:]] - total[at[:-1]]).tolist()
+        split = [split_safely(t, self.special) for t in texts] if self.cut else [None] * len(texts)
+        numbers, at = self._numbers([x or [] for x in split])
+        start = self.start.values
+        total = np.concatenate([[0], np.cumsum(start[numbers + 1] - start[numbers])])
+        out = (total[at[1:]] - total[at[:-1]]).tolist()
+        for i, ids in self._whole(texts, split):
+            out[i] = len(ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian uint32."""
-        if not self.cut:
-            return [np.array(x, "<u4") for x in self.library(texts)]
-        numbers, at = self._numbers(texts)
-        size = np.diff(self.start)[numbers]
+        split = [split_safely(t, self.special) for t in texts] if self.cut else [None] * len(texts)
+        numbers, at = self._numbers([x or [] for x in split])
+        start = self.start.values[numbers]
+        size = self.start.values[numbers + 1] - start
         ends = np.concatenate([[0], np.cumsum(size)])
-        all_ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends[:-1], size)].astype("<u4")
-        return [all_ids[ends[a] : ends[b]] for a, b in zip(at, at[1:], strict=False)]
+        all_ids = self.ids.values[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)].astype("<u4")
+        out = [all_ids[ends[a] : ends[b]] for a, b in zip(at, at[1:], strict=False)]
+        for i, ids in self._whole(texts, split):
+            out[i] = np.array(ids, "<u4")
+        return out
+
+    def _whole(self, texts: list[str], split: list[list[str] | None]) -> Iterator[tuple[int, list[int]]]:
+        """Ids of the texts that are not cut."""
+        rows = [i for i, x in enumerate(split) if x is None]
+        return zip(rows, self.library([texts[i] for i in rows]) if rows else [], strict=True)
 
 
 @functools.cache
@@ -168,6 +216,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _groups(words: list[str]) -> Iterator[list[str]]:
+    """The library is quickest with texts of about a hundred words."""
+    return (words[i : i + WORDS] for i in range(0, len(words), WORDS))
+
+
 def _slices(words: list[str], many: int = 20_000) -> Iterator[list[str]]:
     """Runs of words of about BATCH_BYTES, by their number where they are as short as words are."""
     for at in range(0, len(words), many):
