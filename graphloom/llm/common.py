@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,37 +101,49 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables of this process that are still there: (session, path).
+_WRITTEN: dict[str, SparkSession] = {}
+#: Spark's setting that deletes an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost
-    executors, and is computed once however often it is read. Removed when the session ends. The
-    shuffles that made it are no longer needed: their files go, so that disk holds one step's, not all."""
+    executors, and is computed once however often it is read. Removed by discard(), at the latest when the
+    process ends. The shuffles that made it are no longer needed: Spark deletes their files when the
+    write is done, so that disk holds one step's, not all. df itself is not to be run again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
-    atexit.register(discard, out, path)
     out.stored_at = path
-    forget_plans(spark)
+    _WRITTEN[path] = spark
     return out
 
 
-def forget_plans(spark: SparkSession) -> None:
-    """Has the driver collect the plans that no DataFrame holds any more: executors delete a shuffle's files
-    when its plan is collected, which otherwise waits until the driver is short of memory."""
-    gc.collect()
-    with contextlib.suppress(Exception):  # where there is no JVM at hand, files stay until the session ends
-        spark._jvm.System.gc()
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize wrote, once nothing reads it any more."""
+    _delete(df.stored_at)
 
 
-def discard(df: DataFrame, path: str | None = None) -> None:
-    """Deletes what materialize wrote, once nothing reads it any more."""
-    path = path or df.stored_at
-    try:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-    except Exception:  # the session has ended: its owner clears the folder
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:  # gone, or the session has ended: its owner clears the folder
         return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_WRITTEN):
+        with contextlib.suppress(Py4JError, OSError):  # a gateway that has gone first
+            _delete(path)
 
 
 #: Bytes of an Arrow batch between Spark and Python: a batch is held several times over, on both sides.
