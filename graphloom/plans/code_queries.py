@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import code, parsing, text
-from graphloom.operators import impact, resolution
+from graphloom.operators import impact, resolution, writers
 from graphloom.plans.catalog import query
 from graphloom.plans.datasets import table
 from graphloom.plans.storage import cut, shared_folder
@@ -389,3 +389,74 @@ def external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = table(spark, sf_dir, "part").where("p_size > 40").select(F.concat(F.lit("lib/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
     return resolution.importers(_resolved(_modules(spark, sf_dir)), big)
+
+
+# Graphs in the shapes in which they are stored
+
+
+SQL_NAMES = f"""{SQL_SOURCES}, x AS ({_inside_sql()}), named AS (SELECT DISTINCT path, regexp_extract(path, '[^/]+$') AS file, name, CASE kind WHEN 'class' THEN 'Class' ELSE 'Function' END AS label FROM x WHERE kind IN ('class', 'function', 'method')),
+defined AS (SELECT path, file, name, max(label) AS label FROM named GROUP BY ALL), py AS (SELECT * FROM s WHERE language = 'python' AND NOT broken),
+calls AS (SELECT DISTINCT path, owner AS caller, name AS callee FROM x WHERE kind = 'call' AND language <> 'python' AND owner <> '<global>' UNION ALL SELECT path, 'size', unnest(['step', 'join', 'str']) FROM py UNION ALL SELECT path, 'build_' || k, unnest(['size', 'Part' || k]) FROM py)"""
+
+
+@query(f"""WITH {SQL_NAMES} SELECT 'r:' || path AS src, 'r:' || path || '::' || name AS dst, 'CONTAINS' AS type FROM defined UNION ALL SELECT 'r:' || c.path || '::' || caller, 'r:' || c.path || '::' || callee, 'CALLS' FROM calls c JOIN defined d ON d.path = c.path AND d.name = callee""")
+def structure_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.structure_graph(_parsed(spark, sf_dir), "r")[1]
+
+
+@query(f"""WITH {SQL_NAMES} SELECT 'r:' || path || '::' || name AS id, label, coalesce((SELECT string_agg(callee, ' ' ORDER BY callee) FROM calls c WHERE c.path = defined.path AND caller = name AND callee NOT IN (SELECT name FROM defined d WHERE d.path = c.path)), '') AS external_calls FROM defined""")
+def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = writers.structure_graph(_parsed(spark, sf_dir), "r")[0].where("label <> 'File'")
+    return nodes.select("id", "label", F.array_join(F.array_sort("external_calls"), " ").alias("external_calls"))
+
+
+@query(f"""WITH {SQL_NAMES}, files AS (SELECT DISTINCT path FROM x) SELECT 'r:' || path AS src, 'r:' || path || '::' || name AS dst, 'CONTAINS' AS type FROM defined
+UNION ALL SELECT DISTINCT 'r:' || x.path, 'r:' || f.path, 'IMPORTS' FROM x JOIN files f ON ends_with(f.path, x.name) OR ends_with(f.path, x.name || '.h') OR ends_with(f.path, x.name || '.py') WHERE kind = 'import'
+UNION ALL SELECT 'r:' || c.path || '::' || caller, 'r:' || t.path || '::' || callee, 'CALLS' FROM calls c JOIN defined t ON t.name = callee AND t.label = 'Function' WHERE EXISTS (SELECT 1 FROM defined d WHERE d.path = c.path AND d.name = caller AND d.label = 'Function')""")
+def named_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.named_graph(_parsed(spark, sf_dir), "r")
+
+
+@query(f"""WITH {SQL_NAMES}, known AS (SELECT name, label || ':' || file || ':' || name AS id FROM defined UNION SELECT name, 'Module:' || name FROM x WHERE kind = 'import' UNION SELECT regexp_extract(path, '[^/]+$'), 'File:' || regexp_extract(path, '[^/]+$') FROM x),
+c AS (SELECT regexp_extract(path, '[^/]+$') AS file, caller, callee FROM calls) SELECT 'File:' || file AS src, label || ':' || file || ':' || name AS dst, 'DEFINES' AS type FROM defined UNION ALL SELECT DISTINCT 'File:' || regexp_extract(path, '[^/]+$'), 'Module:' || name, 'IMPORTS' FROM x WHERE kind = 'import'
+UNION ALL SELECT 'Function:' || file || ':' || caller, coalesce(id, 'name:' || callee), 'CALLS' FROM c LEFT JOIN known ON name = callee WHERE EXISTS (SELECT 1 FROM defined d WHERE d.file = c.file AND d.name = caller AND d.label = 'Function')""")
+def module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.module_graph(_parsed(spark, sf_dir))
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("p_size") % 3 == 0, "Class").when(F.col("p_size") % 3 == 1, "Function").otherwise("Snippet")
+    key = F.col("p_partkey").cast("string")
+    about = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("repo_name"), F.col("p_brand"), F.lit("is_code"), F.lit("no")))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), (F.col("p_partkey") % 50).cast("string"), F.lit(".py")).alias("file_path"), F.concat(F.lit("s"), key).alias("symbol_name"), kind.alias("symbol_type"), F.repeat(F.lit("code "), F.col("p_size") * 20).alias("snippet"), about.alias("metadata"))
+
+
+SQL_ELEMENTS = "e AS (SELECT p_partkey AS k, 'src/f' || (p_partkey % 50) || '.py' AS path, 's' || p_partkey AS name, ['Class', 'Function', 'Snippet'][p_size % 3 + 1] AS kind, repeat('code ', p_size * 20) AS code, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS repo FROM part)"
+
+
+@query(f"WITH {SQL_ELEMENTS} SELECT md5(kind || ' ' || name || ' in ' || path || chr(10) || 'Running code:' || chr(10) || left(code, 2000)) AS digest, repo AS repo_name, 'true' AS is_code, name AS symbol_name FROM e")
+def element_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = writers.element_memories(_elements(spark, sf_dir))
+    of = lambda k: F.col("payload")[k].alias(k)
+    return found.select(F.md5(F.col("content").cast("binary")).alias("digest"), of("repo_name"), of("is_code"), of("symbol_name"))
+
+
+@query(f"WITH {SQL_ELEMENTS} SELECT coalesce(repo, 'unknown') || ':' || path AS src, coalesce(repo, 'unknown') || ':' || path || '::' || name AS dst, 'CONTAINS' AS type FROM e WHERE kind <> 'Snippet'")
+def element_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.element_graph(_elements(spark, sf_dir))[1]
+
+
+@query(f"""WITH {SQL_SOURCES}, p AS (SELECT 'Part' || k AS name FROM s WHERE language = 'python' AND NOT broken ORDER BY 1 LIMIT 20) SELECT 'classDiagram' || chr(10) || string_agg('    class ' || name || chr(10) || '    ' || name || ' : +size()' || chr(10) || '    ' || name || ' : +step()' || chr(10) || '    Base <|-- ' || name, chr(10) ORDER BY name) AS text FROM p""")
+def class_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.class_diagram(parsing.parse_files(python_sources(spark, sf_dir)), 20)
+
+
+@query("SELECT 'run' || p_partkey AS path, CASE WHEN p_size % 5 = 0 THEN 'Security Risk: Use of eval near ' || p_brand ELSE 'use of eval' END AS message, 'ERROR' AS severity FROM part WHERE p_size > 40")
+def security_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code.register(spark)
+    part = table(spark, sf_dir, "part").where("p_size > 40")
+    path = F.concat(F.lit("run"), F.col("p_partkey").cast("string")).alias("path")
+    part.select(path, F.lit("x = eval('1')\n").alias("content")).createOrReplaceTempView("graphloom_risky")
+    checked = spark.sql("SELECT path, e.message FROM graphloom_risky, LATERAL python_errors(content) AS e")
+    told = part.select(path, F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("Use of eval near "), "p_brand")).otherwise("  ").alias("value"))
+    return writers.security_issues(told, checked)
