@@ -29,7 +29,10 @@ SIGNS = 16
 GAP_COST = 0.1
 MOST_CARRIED = GAP_COST * 8 * REACH
 #: Words between two seeds that stand next to each other in a junction.
-NEXT = 12
+NEXT = 24
+#: Seeds before and after the border of two first documents that make a junction too, by how many they are
+#: away from it: where changes have removed those at the border, two of these are left.
+BESIDE = tuple((p, q) for p in range(5) for q in range(5 - p))
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -286,8 +289,8 @@ def _grouped(k: int, every: int, least: int, level: int):
     the anchors themselves as parts of chains, and junctions (id, pos, hash, hub, hub_pos, span, need).
 
     Chains that alignment can't bring to `least` are dropped: a seed or two that texts share by chance.
-    A junction is a pair of neighbouring anchors with different hubs, or different places in one. Texts
-    that share a passage whose parts different texts hold first have its junctions in common, and the
+    A junction is a pair of anchors with different hubs, or different places in one, that are neighbours or, at
+    the first level, near the place where neighbours differ so (BESIDE). Texts that share a passage whose parts different texts hold first have its junctions in common, and the
     first text with a junction is its hub: an anchor of the next level. Only stretches of anchors that a
     passage of `least` words could stand in have junctions. need: whether the text needs a hub there; others
     only serve as hubs."""
@@ -337,9 +340,14 @@ def _grouped(k: int, every: int, least: int, level: int):
             at = np.flatnonzero(beside & (pos[1:] > pos[:-1]) & long[1:] & ((hub[1:] != hub[:-1]) | (hub_pos[1:] - pos[1:] != hub_pos[:-1] - pos[:-1])))
             if not len(at):
                 return None
+            a, b = (np.concatenate(x) for x in zip(*((at - p, at + 1 + q) for p, q in (BESIDE if not level else BESIDE[:1])), strict=True))
+            inside = (a >= 0) & (b < len(own))
+            a, b = a[inside], b[inside]
+            apart = (stretch[a] == stretch[b]) & ((hub[a] != hub[b]) | (hub_pos[a] - pos[a] != hub_pos[b] - pos[b]))
+            a, b = np.unique(np.stack([a[apart], b[apart]]), axis=1)
             with np.errstate(over="ignore"):
-                key = mix(mix(h[at].view(np.uint64)) * _GOLD + h[at + 1].view(np.uint64) + (pos[at + 1] - pos[at]).view(np.uint64) * _GOLD).view(np.int64)
-            width, owner, place, need = pos[at + 1] + span[at + 1] - pos[at], own[at], pos[at], need[at] | need[at + 1]
+                key = mix(mix(h[a].view(np.uint64)) * _GOLD + h[b].view(np.uint64) + (pos[b] - pos[a]).view(np.uint64) * _GOLD).view(np.int64)
+            width, owner, place, need = pos[b] + span[b] - pos[a], own[a], pos[a], need[a] | need[b]
             order = np.lexsort((place, owner, key))
             key, owner, place, width, need = key[order], owner[order], place[order], width[order], need[order]
             lead, with_ = _led(key, owner)
@@ -640,9 +648,11 @@ def repeated_passages(df: DataFrame, k: int = 5, least: int = 40, alike: float =
 
     A passage has `least` words or more, of which `alike` or more match, in order, those of the
     earlier one; it goes on, however far, as long as what follows matches more than it differs. Words
-    are compared without case (A-Z). Any run of k + every - 1 equal words shares a seed; each seed's
+    are compared without case (A-Z). Any run of k + every - 1 equal words shares a seed; a passage without
+    k equal words in a row, as with every fifth word changed, has none and is not found. Each seed's
     first document is the one that the others are compared with, so a passage in m documents costs m
-    comparisons, and the first keeps it. Where the seeds of a stretch have different first documents,
+    comparisons, and the first keeps it; within 2 MB of text the first of these stands for it, so which
+    earlier document a passage is laid at, and a few of the passages least alike, follow the input's partitions. Where the seeds of a stretch have different first documents,
     the first document that holds both sides of the junction is compared too, and where junctions
     have different ones, that with both junctions, and so on until no junction is left.
     Null and short texts hold no passages; rows with a null id are left out; rows with the same id are

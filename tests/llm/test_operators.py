@@ -184,6 +184,25 @@ def test_extraction(html, text):
     assert extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_displaced_and_changed_passages(spark, seed):
+    """Two documents hold the halves of a passage, a third the whole, a fourth the whole with five of its words
+    changed: nearly every fourth is found, as without the halves every one is."""
+    draw = random.Random(seed)
+    some = lambda n: [f"w{draw.randrange(20_000)}" for _ in range(n)]
+    docs, changed = [], []
+    for _ in range(60):
+        whole = some(60)
+        other = list(whole)
+        for i in draw.sample(range(60), 5):
+            other[i] = some(1)[0]
+        for own in (whole[:30], whole[30:], whole, other):
+            docs.append((len(docs), " ".join(some(50) + own + some(50))))
+        changed.append(len(docs) - 1)
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert len(found.intersection(changed)) >= 56 and not found.difference(changed, (i - 1 for i in changed))
+
+
 def test_clashing_names_of_temporary_columns(spark, sf_dir):
     """Names that operators use inside are columns like others."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("*", F.lit(1).alias("_measured"), F.lit(2).alias("_predicted"), F.lit("x").alias("_text")).limit(30)
