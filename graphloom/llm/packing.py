@@ -75,8 +75,11 @@ def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text",
     cuts = materialize(source.mapInArrow(cut, schema), "pieces")
     # One row for each task and length: counts that place a task's sequences after those before it.
     counts = materialize(cuts.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
-    before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # Longer lengths come first: of lengths there are a dozen rows, of tasks within a length a window each.
+    longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.groupBy("length").agg(F.sum("n").alias("n")).select("length", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("begin"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.join(F.broadcast(begins), "length").select("length", "part", (F.col("begin") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"))
     # So few rows that sending them to every task spares a shuffle of the ids; beyond the bound they shuffle.
     firsts = F.broadcast(firsts) if counts.count() <= MOST_BROADCAST else firsts
     return cuts.join(firsts, ["length", "part"]).select(id, "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), *["ids"] * ids)
