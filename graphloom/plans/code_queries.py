@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import code, parsing, text
-from graphloom.operators import impact, resolution, writers
+from graphloom.operators import graph, impact, resolution, writers
 from graphloom.plans.catalog import query
 from graphloom.plans.datasets import table
 from graphloom.plans.storage import cut, shared_folder
@@ -460,3 +460,10 @@ def security_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = spark.sql("SELECT path, e.message FROM graphloom_risky, LATERAL python_errors(content) AS e")
     told = part.select(path, F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("Use of eval near "), "p_brand")).otherwise("  ").alias("value"))
     return writers.security_issues(told, checked)
+
+
+@query(f"""WITH {SQL_PYTHON} SELECT f || x AS id FROM (SELECT *, unnest(['size', 'step', 'build_' || k]) AS x FROM p)""")
+def dead_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public functions that no function calls by name: calls of attributes name no function."""
+    nodes, edges = parsing.code_graph(_parsed(spark, sf_dir, True))
+    return graph.dead_nodes(nodes.where("type = 'Function'"), edges, public_only=True).select("id")

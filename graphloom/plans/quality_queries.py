@@ -186,12 +186,19 @@ def vector_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.recent(e, "ts").select("id", "event_type")
 
 
-@query()
+def _uuid5_sql(name: str) -> str:
+    """The version-5 UUID of a name in the DNS namespace, from its SHA-1."""
+    h = f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({name}))"
+    return f"""(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(position(h[17] IN '0123456789abcdef') - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] FROM (SELECT {h} AS h))"""
+
+
+@query(f"SELECT page_id, {_uuid5_sql('url')} AS id FROM pages")
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", vector.point_id(F.col("url")).alias("id"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, length(text) AS n, unnest(range(0, greatest(0, ceil((length(text) - 2000) / 1600.0))::INT + 1)) AS i FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id || '::part' || CASE WHEN n > 2000 THEN i + 1 ELSE 0 END AS name FROM s) SELECT {_uuid5_sql('name')} AS id, 64 AS size, 4 AS keys FROM c""")
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.functions.text import sliding_chunks
 
@@ -275,7 +282,7 @@ def fused_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.round("overall", 6).alias("overall"), F.round("items", 6).alias("items"), "sources", "advice")
 
 
-@query()
+@query(f"WITH {SQL_FUSED}, top AS (SELECT source, id, confidence::DOUBLE AS confidence FROM fused ORDER BY confidence DESC, source, id LIMIT 10), lines AS (SELECT confidence, format('- [{{}}] {{}} ({{:.2f}})', source, id, confidence) AS line FROM top) SELECT string_agg(line, chr(10) ORDER BY confidence DESC, line) AS text FROM lines")
 def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.render_context(router.fuse(_fused(spark, sf_dir)))
 
