@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import os
 import re
 import tempfile
 import uuid
@@ -74,7 +75,23 @@ def frugal(function):
     return run
 
 
+#: Bytes of memory up to which a worker has nothing to give back that is worth the time it takes.
+SMALL = 200 << 20
+
+
+def _resident() -> int:
+    """Bytes of memory that this process holds; more than any bound where the system doesn't say."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except (OSError, ValueError):
+        return 1 << 62
+
+
 def release() -> None:
+    """Gives unused memory back to the system, unless the worker holds little."""
+    if _resident() <= SMALL:
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
