@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-
-from graphloom.operators import fanout, graph
+from graphloom.functions.parsing import parse_files
+from graphloom.operators import fanout, graph, writers
 
 
 def top(df):
@@ -38,3 +38,19 @@ def test_call_edges_are_distinct_before_the_join(spark):
     found = graph.call_edges(spark.createDataFrame(calls, "file_id int, caller string, callee string"), spark.createDataFrame(functions, "file_id int, name string, id int"))
     assert sorted(map(tuple, found.collect())) == want
     assert top(found) == "Union"
+
+
+SOURCES = {
+    "a/x.py": "import y\ndef f(): g(); h()\ndef g(): f(); f(); gone()\nclass K:\n    def h(self): self.g(); K()\n",
+    "b/x.py": "import y\nimport b.y\ndef f(): g(); y()\ndef h(): h()\n",
+    "b/y.py": "def y(): f(); h()\n",
+}
+
+
+@pytest.mark.parametrize("build", [lambda p: writers.named_graph(p, "r"), writers.module_graph])
+def test_graphs_by_names_are_not_shuffled_again(spark, build):
+    files = [*SOURCES.items(), *SOURCES.items()]
+    found = build(parse_files(spark.createDataFrame(files, "path string, content string")))
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(set(got)) and len([r for r in got if r[2] == "CALLS"]) > 10
+    assert top(found) == "Union"
