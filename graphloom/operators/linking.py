@@ -46,11 +46,12 @@ def structural_by_facts(questions: DataFrame, triples: DataFrame, nodes: DataFra
     question's triples(qid, subject, predicate, object), and the calls that the subjects make where the
     predicate speaks of calls. Questions whose triples name no node are answered by their words; those
     whose words name none either give no row. Each node counts once a question."""
-    ids = nodes.select("name", "id")
-    hit = triples.select("qid", F.explode(F.array("subject", "object")).alias("name")).join(ids, "name").select("qid", "id").distinct()
+    each = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    named = triples.select("qid", F.explode(F.array("subject", "object")).alias("name"))
     said = triples.where(F.contains(F.lower("predicate"), F.lit("call"))).select("qid", F.col("subject").alias("name"))
-    made = said.join(ids, "name").select("qid", F.col("id").alias("src")).distinct().join(calls.select("src"), "src").groupBy("qid").agg(F.count("*").alias("relationships"))
-    found = hit.groupBy("qid").agg(F.count("*").alias("nodes")).join(made, "qid", "left").withColumn("relationships", F.coalesce("relationships", F.lit(0)))
+    hit = router.met(named, nodes, each).select("qid", "nodes")
+    made = router.met(said, nodes, each).where("n > 0").select("qid", F.col("n").alias("relationships"))
+    found = hit.join(made, "qid", "left").withColumn("relationships", F.coalesce("relationships", F.lit(0)))
     found = found.withColumn("confidence", F.when(F.col("relationships") > 0, router.WITH_RELATIONS).otherwise(router.WITHOUT_RELATIONS))
-    rest = questions.join(hit.select("qid").distinct(), "qid", "left_anti")
+    rest = questions.join(hit.select("qid"), "qid", "left_anti")
     return found.unionByName(router.structural(rest, nodes, calls))

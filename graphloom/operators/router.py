@@ -54,21 +54,40 @@ def names_in(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.replace(text, F.lit("?"), F.lit("")), r"\s+"), lambda w: F.length(w) > 3))
 
 
+def met(asked: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(qid, nodes, n): how many of nodes(id, name) each question of asked(qid, name) names, once each, and the sum
+    of n of weights(id, n) over them. An id of one name is counted with all others of its name, in one row a
+    name, and no list of ids is made; only ids of several names are listed for each question, to count once."""
+    ids = nodes.select("id", "name").where("name is not null").distinct()
+    asked = asked.select("qid", "name").distinct()
+    n = F.coalesce("n", F.lit(0)).alias("n")
+    weighed = lambda df: df.join(weights.select("id", "n"), "id", "left").select("id", "name", n)
+    names = ids.groupBy("id").agg(F.count("*").alias("_names"), F.min("name").alias("name"))
+    several = names.where("_names > 1").select(F.col("id").alias("_id"))
+    alone = weighed(names.where("_names = 1").select("id", "name")).groupBy("name").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
+    listed = asked.join(weighed(ids.join(several, F.col("id").eqNullSafe(F.col("_id")), "left_semi")), "name").select("qid", "id", "n").distinct().select("qid", F.lit(1).cast("bigint").alias("nodes"), "n")
+    return asked.join(alone, "name").select("qid", "nodes", "n").unionAll(listed).groupBy("qid").agg(F.sum("nodes").alias("nodes"), F.sum("n").alias("n"))
+
+
 def structural(questions: DataFrame, nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """(qid, nodes, relationships, confidence): what the graph knows of the names in a question, and
     the calls of the functions among them. Questions with no known name give no row."""
-    hit = questions.select("qid", F.explode(names_in(F.col("text"))).alias("name")).join(nodes.select("id", "name", "labels"), "name").select("qid", "id", "labels").distinct()
-    into = hit.where(F.array_contains("labels", "Function")).join(calls.select("src", F.col("dst").alias("id")), "id").groupBy("qid").agg(F.count("*").alias("relationships"))
-    found = hit.groupBy("qid").agg(F.count("*").alias("nodes")).join(into, "qid", "left").withColumn("relationships", F.coalesce("relationships", F.lit(0)))
+    asked = questions.select("qid", F.explode(names_in(F.col("text"))).alias("name"))
+    into = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    # A node counts once for each of its sets of labels, and only one with the label of functions has calls.
+    told = nodes.select(F.struct("id", "labels").alias("id"), "name")
+    weights = nodes.select("id", "labels").distinct().where(F.array_contains("labels", "Function")).join(into, "id").select(F.struct("id", "labels").alias("id"), "n")
+    found = met(asked, told, weights).select("qid", "nodes", F.col("n").alias("relationships"))
     return found.withColumn("confidence", F.when(F.col("relationships") > 0, WITH_RELATIONS).otherwise(WITHOUT_RELATIONS))
 
 
 def temporal(questions: DataFrame, history: DataFrame, ts: str, limit: int = 1) -> DataFrame:
     """(qid, id, ts, confidence): the newest history(id, text, ts) that shares a long word with the
-    question, by an equality join on words."""
+    question, by an equality join on words: each word's newest is found before it."""
     asked = questions.select("qid", F.explode(names_in(F.lower("text"))).alias("word"))
     told = history.select("id", F.col(ts).alias("ts"), F.explode(names_in(F.lower("text"))).alias("word"))
-    best = asked.join(told, "word").groupBy("qid").agg(F.max(F.struct("ts", "id")).alias("h"))
+    newest = told.groupBy("word").agg(F.max(F.struct("ts", "id")).alias("h"))
+    best = asked.join(newest, "word").groupBy("qid").agg(F.max("h").alias("h"))
     return best.select("qid", "h.id", "h.ts", F.lit(TEMPORAL).alias("confidence"))
 
 
