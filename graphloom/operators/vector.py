@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Scores that a task of a batch search holds at once: 8 MB, and a few times that while it sorts them.
+SCORES = 1 << 20
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in doubles, in array order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -41,8 +45,8 @@ def search(points: DataFrame, query: Sequence[float], limit: int = 5, threshold:
 
 def batch_search(points: DataFrame, queries: DataFrame, limit: int = 5, id: str = "id", vector: str = "vector", query_block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): the `limit` closest points of every query(query_id, vector), itself
-    left out. Queries go through in blocks of a bounded size, each multiplied as a matrix with every
-    batch of points; a task sends `limit` rows a query on, not its pairs."""
+    left out. Queries go through in blocks of a bounded size, each multiplied as a matrix with slices of
+    the points, SCORES numbers at a time; a task sends `limit` rows a query on, not its pairs."""
     spark = points.sparkSession
     queries = queries.select("query_id", F.col(vector).cast("array<double>").alias("q"))
     out = None
@@ -57,16 +61,18 @@ def batch_search(points: DataFrame, queries: DataFrame, limit: int = 5, id: str
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, unit = shared.value
             top_ids, top = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+            step = max(1, SCORES // max(1, len(own)))
             for batch in batches:
                 if not batch.num_rows or not len(own):
                     continue
-                x = np.array(batch.column(1).to_pylist(), float)
-                s = unit @ (x / np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))).T
-                n = batch.column(0).to_numpy()
-                s[own[:, None] == n[None, :]] = -2.0
-                top_ids, top = np.hstack([top_ids, np.broadcast_to(n, s.shape)]), np.hstack([top, s])
-                order = np.lexsort((top_ids, -top))[:, :limit] if top.shape[1] else np.zeros((len(own), 0), int)
-                top_ids, top = np.take_along_axis(top_ids, order, 1), np.take_along_axis(top, order, 1)
+                for at in range(0, batch.num_rows, step):  # a whole batch of scores is hundreds of MB
+                    x = np.array(batch.column(1).slice(at, step).to_pylist(), float)
+                    s = unit @ (x / np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))).T
+                    n = batch.column(0).slice(at, step).to_numpy()
+                    s[own[:, None] == n[None, :]] = -2.0
+                    top_ids, top = np.hstack([top_ids, np.broadcast_to(n, s.shape)]), np.hstack([top, s])
+                    order = np.lexsort((top_ids, -top))[:, :limit] if top.shape[1] else np.zeros((len(own), 0), int)
+                    top_ids, top = np.take_along_axis(top_ids, order, 1), np.take_along_axis(top, order, 1)
             keep = top > -2.0
             rows = np.nonzero(keep)[0]
             yield pa.RecordBatch.from_arrays([pa.array(own[rows], pa.int64()), pa.array(top_ids[keep], pa.int64()), pa.array(top[keep], pa.float64())], names=["query_id", "id", "score"])
