@@ -31,12 +31,13 @@ class StoredGraph:
     @classmethod
     def save(cls, nodes: DataFrame, edges: DataFrame, name: str, path: str, buckets: int | None = None) -> StoredGraph:
         """Stores nodes(id, labels, ...) and edges(src, dst, type, ...) under the folder `path` as tables `name`_*;
-        tables of that name are replaced. Ids must be there and unique: Duplicates names some that are not."""
+        tables of that name are replaced. Without `buckets` their number follows that of the edges, one for each core
+        at least: a task sorts one bucket, so its memory is bounded. Ids must be there and unique: Duplicates names some that are not."""
         bad = violations(nodes).orderBy("id").limit(5).collect()
         if bad:
             raise Duplicates(", ".join(f"{r.id} ({r.n})" for r in bad))
-        buckets = buckets or min(MOST_BUCKETS, max(1, -(-edges.count() // BUCKET_ROWS)))
         spark = nodes.sparkSession
+        buckets = buckets or min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-edges.count() // BUCKET_ROWS)))
         for part, df, key, also in (("nodes", nodes, "id", []), ("out", edges, "src", ["type", "dst"]), ("in", edges, "dst", ["type", "src"])):
             table = f"{name}_{part}"
             spark.sql(f"DROP TABLE IF EXISTS {table}")

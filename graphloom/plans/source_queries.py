@@ -20,7 +20,7 @@ from graphloom.sources import forge
 
 def _stored(spark: SparkSession, sf_dir: str) -> StoredGraph:
     own = uuid.uuid4().hex
-    return StoredGraph.save(*star(spark, sf_dir), f"star_{own}", f"{shared_folder(spark)}/star-{own}", buckets=8)
+    return StoredGraph.save(*star(spark, sf_dir), f"star_{own}", f"{shared_folder(spark)}/star-{own}")
 
 
 @query(f"WITH {SQL_NODES}, {SQL_EDGES} SELECT 'node' AS what, id, label AS type FROM nodes WHERE id = 'part:5' UNION ALL SELECT 'in', src, type FROM edges WHERE dst = 'part:5' UNION ALL SELECT 'out', dst, type FROM edges WHERE src = 'part:5'")
