@@ -102,9 +102,10 @@ def severity(n: Column) -> Column:
 
 def ripple(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """(id, distance): what calls starts(id) directly or through others. Nodes at `depth` are still
-    expanded, so distance reaches depth + 1. The start itself is no part of it."""
-    link = _link(edges)
-    seen = start.select(F.col("id"), F.lit(0).alias("distance"))
+    expanded, so distance reaches depth + 1. The start itself is no part of it. Edges and start are computed
+    once and stored, not anew for each hop."""
+    link = cut(_link(edges))
+    seen = cut(start.select(F.col("id"), F.lit(0).alias("distance")))
     frontier = seen
     for hop in range(1, depth + 2):
         step = frontier.select(F.col("id").alias("dst")).join(link, "dst").select(F.col("src").alias("id")).distinct()
@@ -155,10 +156,18 @@ def typed_path(edges: DataFrame, source: DataFrame, target: DataFrame, types: tu
     return walk.select("path", F.lit(len(levels) - 1).alias("distance"))
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    """(src, dst, n): edges with their number, stored: every round reads them."""
+    return cut(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+
+
 def importance(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, score): every node starts with 1; in each round its score is 1 plus half the scores of all
     that call it, repeats counted; at last all are divided by the largest."""
-    calls = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return _scores(nodes, _pairs(edges), rounds)
+
+
+def _scores(nodes: DataFrame, calls: DataFrame, rounds: int = 5) -> DataFrame:
     score = nodes.select("id", F.lit(1.0).alias("score"))
     for _ in range(rounds):
         into = score.join(calls, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("n") / 2).alias("more"))
@@ -173,8 +182,9 @@ def suggestion(score: Column, calls: Column) -> Column:
 
 def criticality(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     """The `top` nodes by importance, then id: id, score, calls, is_critical, suggestion."""
-    calls = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("calls"))
-    scored = importance(nodes, edges).join(calls, "id", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
+    pairs = _pairs(edges)
+    calls = pairs.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("calls"))
+    scored = _scores(nodes, pairs).join(calls, "id", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
     return scored.orderBy(F.desc("score"), "id").limit(top).withColumn("is_critical", F.col("score") > 0.5).withColumn("suggestion", suggestion(F.col("score"), F.col("calls")))
 
 

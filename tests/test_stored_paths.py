@@ -1,6 +1,6 @@
 """What grows with the graph: the number of buckets; what does not: how often a walk computes its edges."""
 
-from graphloom.operators import stored
+from graphloom.operators import paths, stored
 
 
 def test_buckets_follow_the_edges(spark, tmp_path, monkeypatch):
@@ -13,3 +13,17 @@ def test_buckets_follow_the_edges(spark, tmp_path, monkeypatch):
         assert int(told["Num Buckets"]) == want
         assert g.degrees("in").count() == rows.count()
         g.drop()
+
+
+def test_edges_are_computed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    pairs = [(i, (i * 7 + 3) % 20) for i in range(20)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(seen), "src int, dst int")
+    nodes = spark.range(20).selectExpr("cast(id AS int) AS id")
+    assert paths.ripple(edges, nodes.where("id = 3")).count() and read.value == 20
+    assert paths.criticality(nodes, edges, 5).count() == 5 and read.value == 40
