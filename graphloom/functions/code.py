@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +17,19 @@ _CALL = "struct<caller:string,callee:string,line:int,confidence:double,is_dynami
 PARSED = f"struct<functions:array<{_FUNCTION}>,classes:array<struct<name:string,bases:array<string>,docstring:string,start_line:int,end_line:int,last:boolean,methods:array<{_FUNCTION}>>>,imports:array<struct<module:string,names:array<string>,alias:string,level:int>>,calls:array<{_CALL}>,loc:int,lines:int>"
 
 
-def mccabe(node: ast.AST) -> int:
-    """1 and one for each turn and each further operand of `and` and `or`."""
-    return 1 + sum(isinstance(x, TURNS) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
+def mccabe(nodes: Iterable[ast.AST]) -> int:
+    """Of a tree's nodes: 1 and one for each turn and each further operand of `and` and `or`."""
+    return 1 + sum(isinstance(x, TURNS) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in nodes)
 
 
 def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, last: bool) -> dict:
     a = node.args
     args = [x.arg for x in (*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else []))]
-    called = [x.func for x in ast.walk(node) if isinstance(x, ast.Call)]
+    inside = list(ast.walk(node))
+    called = [x.func for x in inside if isinstance(x, ast.Call)]
     within = [{"name": f.id, "method": False} if isinstance(f, ast.Name) else {"name": f.attr, "method": True} for f in called if isinstance(f, (ast.Name, ast.Attribute))]
     signature = f"{node.name}({', '.join(x.arg for x in a.args)})"
-    return {"name": node.name, "args": args, "signature": signature, "returns": ast.unparse(node.returns) if node.returns else None, "docstring": ast.get_docstring(node), "start_line": node.lineno, "end_line": node.end_lineno, "complexity": mccabe(node), "last": last, "within": within}
+    return {"name": node.name, "args": args, "signature": signature, "returns": ast.unparse(node.returns) if node.returns else None, "docstring": ast.get_docstring(node), "start_line": node.lineno, "end_line": node.end_lineno, "complexity": mccabe(inside), "last": last, "within": within}
 
 
 def parse(source: str | None) -> dict | None:

@@ -3,7 +3,7 @@ ending; what lies in what, and the graphs, are expressions and explosions of tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,7 +61,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     first function whose lines hold it, or to <global>. No shuffle: all of it happens within the row.
     """
     language = parser_of(F.col("path"))
-    read = files.select("path", language.alias("language"), F.col("content").cast("string").alias("content")).where("language is not null")
+    # A filter on the language would be moved before the shuffle that deals out files, into the few tasks that read them.
+    read = files.select("path", language.alias("language"), F.when(language.isNotNull(), F.col("content").cast("string")).alias("content"))
     p = _parsed(read).select("path", "language", "p.*")
     python = F.col("language") == "python"
     holds = lambda c, f: (c["start_line"] <= f["start_line"]) & (f["end_line"] <= c["end_line"])
@@ -109,27 +110,42 @@ def structure(files: DataFrame) -> DataFrame:
     return p.select("path", F.concat(F.transform("functions", lambda f: f["name"]), methods).alias("functions"), F.transform("classes", lambda c: c["name"]).alias("classes"), F.transform("imports", lambda i: i["module"]).alias("imports"))
 
 
-def analysis_graph(parsed: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+def analysis_graph(parsed: DataFrame, repo: str, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of parsed files(path, language, functions, classes, imports, ...): ids repo:path, repo:path::name and
-    repo:path::Class::method; CONTAINS, DEFINES_FUNCTION, DEFINES_METHOD and IMPORTS edges."""
-    f = parsed.withColumn("file", F.concat(F.lit(f"{repo}:"), "path"))
-    function = f.select("file", "path", F.explode("functions").alias("x"))
-    klass = f.select("file", "path", F.explode("classes").alias("c"))
-    method = klass.select("file", "path", F.col("c.name").alias("owner"), F.explode("c.methods").alias("x"))
-    null = F.lit(None)
-
-    def node(df: DataFrame, id: Column, label: str, name: Column, x: str | None) -> DataFrame:
-        at = (F.col(f"{x}.start_line"), F.col(f"{x}.end_line")) if x else (null.cast("int"), null.cast("int"))
-        depth = F.col(f"{x}.complexity") if x == "x" else null.cast("int")
-        return df.select(id.alias("id"), F.array(F.lit(label)).alias("labels"), name.alias("name"), F.col("path").alias("file_path"), at[0].alias("start_line"), at[1].alias("end_line"), depth.alias("complexity"))
-
-    own, of_class = F.concat_ws("::", "file", "x.name"), F.concat_ws("::", "file", "c.name")
-    of_method = F.concat_ws("::", "file", "owner", "x.name")
-    nodes = node(f, F.col("file"), "File", null.cast("string"), None).unionAll(node(klass, of_class, "Class", F.col("c.name"), "c")).unionAll(node(function, own, "Function", F.col("x.name"), "x")).unionAll(node(method, of_method, "Function", F.col("x.name"), "x"))
-    edges = klass.select(F.col("file").alias("src"), of_class.alias("dst"), F.lit("CONTAINS").alias("type"))
-    edges = edges.unionAll(function.select("file", own, F.lit("DEFINES_FUNCTION"))).unionAll(method.select(F.concat_ws("::", "file", "owner"), of_method, F.lit("DEFINES_METHOD")))
-    edges = edges.unionAll(f.select("file", F.explode("imports").alias("i")).select("file", F.col("i.module"), F.lit("IMPORTS")))
-    return nodes, edges.distinct()
+    repo:path::Class::method; CONTAINS, DEFINES_FUNCTION, DEFINES_METHOD and IMPORTS edges.
+
+    A file gives all its rows at once. keep: stores the rows that nodes and edges are read from, so that
+    a file is parsed once for both; only edges are shuffled."""
+    file, null = F.concat(F.lit(f"{repo}:"), "path"), F.lit(None)
+
+    def node(id: Column, label: str, name: Column, x: Column | None, complexity: Column | None = None) -> Column:
+        start, end = (x["start_line"], x["end_line"]) if x is not None else (null.cast("int"), null.cast("int"))
+        return F.struct(id.alias("id"), F.array(F.lit(label)).alias("labels"), name.alias("name"), F.col("path").alias("file_path"), start.alias("start_line"), end.alias("end_line"), (null.cast("int") if complexity is None else complexity).alias("complexity"), *(null.cast("string").alias(c) for c in ("src", "dst", "type")))
+
+    def edge(src: Column, dst: Column, kind: str) -> Column:
+        none = {"id": "string", "labels": "array<string>", "name": "string", "file_path": "string", "start_line": "int", "end_line": "int", "complexity": "int"}
+        return F.struct(*(null.cast(t).alias(c) for c, t in none.items()), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
+
+    def each(column: str, row) -> Column:
+        return F.coalesce(F.transform(column, row), F.array())
+
+    def methods(row) -> Column:
+        return F.flatten(each("classes", lambda c: F.coalesce(F.transform(c["methods"], lambda m: row(of(c), of(c, m), m)), F.array())))
+
+    of = lambda *x: F.concat_ws("::", file, *(y["name"] for y in x))
+    rows = F.concat(
+        F.array(node(file, "File", null.cast("string"), None)),
+        each("classes", lambda c: node(of(c), "Class", c["name"], c)),
+        each("functions", lambda f: node(of(f), "Function", f["name"], f, f["complexity"])),
+        methods(lambda _, id, m: node(id, "Function", m["name"], m, m["complexity"])),
+        each("classes", lambda c: edge(file, of(c), "CONTAINS")),
+        each("functions", lambda f: edge(file, of(f), "DEFINES_FUNCTION")),
+        methods(lambda owner, id, m: edge(owner, id, "DEFINES_METHOD")),
+        each("imports", lambda i: edge(file, i["module"], "IMPORTS")),
+    )
+    kept = keep(parsed.select(F.inline(rows)))
+    nodes = kept.where("type is null").select("id", "labels", "name", "file_path", "start_line", "end_line", "complexity")
+    return nodes, kept.where("type is not null").select("src", "dst", "type").distinct()
 
 
 def code_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

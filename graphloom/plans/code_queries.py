@@ -13,7 +13,7 @@ from graphloom.operators import graph, impact, resolution, writers
 from graphloom.operators.fanout import spread
 from graphloom.plans.catalog import query
 from graphloom.plans.datasets import table
-from graphloom.plans.storage import cut, shared_folder
+from graphloom.plans.storage import cut, shared_folder, written
 
 #: By language: ending, text with {k} (the key) and one place for lines that repeat r times (the size modulo 7).
 TEMPLATES = {
@@ -292,7 +292,7 @@ def python_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'r:' || path, 'File', NULL, NULL FROM s WHERE NOT broken
 UNION ALL SELECT DISTINCT 'r:' || path || CASE kind WHEN 'method' THEN '::' || owner ELSE '' END || ' -> ' || CASE kind WHEN 'import' THEN name ELSE 'r:' || path || CASE kind WHEN 'method' THEN '::' || owner ELSE '' END || '::' || name END, CASE kind WHEN 'class' THEN 'CONTAINS' WHEN 'method' THEN 'DEFINES_METHOD' WHEN 'function' THEN 'DEFINES_FUNCTION' ELSE 'IMPORTS' END, NULL, NULL FROM x WHERE kind <> 'call'""")
 def analysis_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = parsing.analysis_graph(_parsed(spark, sf_dir), "r")
+    nodes, edges = parsing.analysis_graph(parsing.parse_files(sources(spark, sf_dir)), "r", written)
     null = F.lit(None).cast("int")
     return nodes.select("id", F.col("labels")[0].alias("what"), "start_line", "end_line").unionAll(edges.select(F.concat_ws(" -> ", "src", "dst"), "type", null, null))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     cost nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Tables of this process that written() made: (session, path).
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df computed once and stored as Parquet in the shared folder, for plans that read it several times: each
+    reading takes only the columns it names. Deleted when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is None:  # the session has ended: its owner clears the folder
+            continue
+        with contextlib.suppress(Py4JError, OSError):  # a gateway that has gone first
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
