@@ -4,6 +4,7 @@ word, which finds passages that repeat with changes."""
 
 from __future__ import annotations
 
+import itertools
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -101,6 +102,55 @@ def may_go_on(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out | far, far
 
 
+def _chosen(ids: np.ndarray, texts: list[bytes], k: int, every: int, least: int) -> tuple[np.ndarray, ...] | None:
+    """(hash, id, pos, behind, ahead) of the seeds of some texts, see _seeds(); None without any. The words of all
+    texts stand in one array, SIGNS empty places apart, so that numpy works on many short texts at once."""
+    split = [words(x) for x in texts]
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    keep = np.flatnonzero(size >= k)
+    if not len(keep):
+        return None
+    size, total = size[keep], int(size[keep].sum())
+    start = np.cumsum(size + SIGNS) - size  # a gap before each text, and one at the end
+    h = np.zeros(total + SIGNS * (len(keep) + 1), np.uint64)
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(split[i] for i in keep.tolist())), np.uint64, total)
+    h[_ranges(start, size)] = mix(flat)
+    rolling = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        rolling = rolling * _GOLD + h[i : len(h) - k + 1 + i]
+    many = size - k + 1
+    row, begin = np.repeat(np.arange(len(keep)), many), np.cumsum(many) - many
+    rolling = mix(rolling[_ranges(start, many)])
+    pos = np.arange(len(rolling)) - begin[row]
+    chosen = np.zeros(len(rolling), bool)
+    if len(rolling) >= every:
+        lowest = rolling[: len(rolling) - every + 1]
+        for i in range(1, every):
+            lowest = np.minimum(lowest, rolling[i : len(rolling) - every + 1 + i])
+        inside = (pos + every <= many[row])[: len(lowest)]
+        for i in range(every):
+            chosen[i : len(lowest) + i] |= inside & (rolling[i : len(lowest) + i] == lowest)
+    for d in np.flatnonzero(many < every).tolist():  # of so few k-grams one window
+        chosen[begin[d] + winnow(rolling[begin[d] : begin[d] + many[d]], every)] = True
+    at = np.flatnonzero(chosen)
+    found, row_, pos_ = [rolling[at]], [row[at]], [pos[at]]
+    alike = (rolling[1:] == rolling[:-1]) & (row[1:] == row[:-1])
+    for d in np.unique(row[1:][alike]).tolist():
+        own = rolling[begin[d] : begin[d] + many[d]]
+        more = monotone(own, least - k + 1)
+        found.append(mix(~own[more]))
+        row_.append(np.full(len(more), d, np.int64))
+        pos_.append(more)
+    row, pos = np.concatenate(row_), np.concatenate(pos_)
+    place = start[row] + pos
+    return np.concatenate(found).view(np.int64), ids[keep][row], pos, signs(h[::-1])[len(h) - place], signs(h)[place + k]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `size` of them, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _seeds(k: int, every: int, least: int):
     """(id, pos, hash, a, b, near): each text's seeds, the least k-gram hash of every `every` places. Of a
     seed that several texts of a chunk hold, only the first text's go on as seeds (near null, a and b the
@@ -112,26 +162,10 @@ def _seeds(k: int, every: int, least: int):
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 2_000_000):
-                found, owner, at, around = [], [], [], []
-                for row, text in zip(part.column("id").to_pylist(), raw(part.column("text")), strict=True):
-                    h = mix(hashes(text))
-                    if len(h) < k:
-                        continue
-                    rolling = np.zeros(len(h) - k + 1, np.uint64)
-                    for i in range(k):
-                        rolling = rolling * _GOLD + h[i : len(h) - k + 1 + i]
-                    rolling = mix(rolling)
-                    pos = winnow(rolling, every)
-                    more = monotone(rolling, least - k + 1)
-                    found += [rolling[pos], mix(~rolling[more])]
-                    pos = np.r_[pos, more]
-                    owner.append(np.full(len(pos), row, np.int64))
-                    at.append(pos)
-                    around.append((signs(h[::-1])[len(h) - pos], signs(h)[pos + k]))
-                if not found:
+                made = _chosen(part.column("id").to_numpy(), raw(part.column("text")), k, every, least)
+                if made is None:
                     continue
-                h, owner, at = np.concatenate(found).view(np.int64), np.concatenate(owner), np.concatenate(at)
-                behind, ahead = (np.concatenate(x) for x in zip(*around, strict=True))
+                h, owner, at, behind, ahead = made
                 order = np.lexsort((at, owner, h))
                 h, owner, at, behind, ahead = h[order], owner[order], at[order], behind[order], ahead[order]
                 lead, with_ = _led(h, owner)
@@ -228,6 +262,8 @@ class Fenwick:
 
 def segments(pos: np.ndarray, hub: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(start, end, hub_start) of maximal runs of overlapping or touching seeds on one diagonal."""
+    if len(pos) == 1:
+        return [(int(pos[0]), int(pos[0]) + k, int(hub[0]))]
     order = np.lexsort((pos, hub - pos))
     pos, hub = pos[order], hub[order]
     cut = np.flatnonzero(np.r_[True, (np.diff(hub - pos) != 0) | (np.diff(pos) > k)])
@@ -315,9 +351,9 @@ def _grouped(k: int, every: int, least: int, level: int):
             own, pos, hub, hub_pos, near = own[order], pos[order], hub[order], hub_pos[order], near[order]
             cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (hub[1:] != hub[:-1])])
             out: list[list] = [[] for _ in range(6)]
-            for a, b in zip(cut, np.r_[cut[1:], len(own)], strict=True):
-                if b - a == 1 and near[a] < 4 and k + REACH * ((near[a] & 1) + (near[a] >> 1)) < least:
-                    continue
+            ends, code = np.r_[cut[1:], len(own)], near[cut].astype(np.int64)
+            worth = (ends - cut > 1) | (code >= 4) | (k + REACH * ((code & 1) + (code >> 1)) >= least)
+            for a, b in zip(cut[worth].tolist(), ends[worth].tolist(), strict=True):
                 at = None
                 for chain in chains(segments(pos[a:b], hub_pos[a:b], k)):
                     start, end = chain[0][0], chain[-1][1]
@@ -344,7 +380,7 @@ def _grouped(k: int, every: int, least: int, level: int):
             inside = (a >= 0) & (b < len(own))
             a, b = a[inside], b[inside]
             apart = (stretch[a] == stretch[b]) & ((hub[a] != hub[b]) | (hub_pos[a] - pos[a] != hub_pos[b] - pos[b]))
-            a, b = np.unique(np.stack([a[apart], b[apart]]), axis=1)
+            a, b = np.divmod(np.unique(a[apart] * len(own) + b[apart]), len(own))
             with np.errstate(over="ignore"):
                 key = mix(mix(h[a].view(np.uint64)) * _GOLD + h[b].view(np.uint64) + (pos[b] - pos[a]).view(np.uint64) * _GOLD).view(np.int64)
             width, owner, place, need = pos[b] + span[b] - pos[a], own[a], pos[a], need[a] | need[b]
@@ -469,15 +505,24 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 SKIPS = ((1, 0), (0, 1), (2, 0), (0, 2), (3, 0), (0, 3))
 
 
-def _level(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(words, matches, worth) word against word, as far as matches less twice the mismatches grow."""
+def _level(a: np.ndarray, b: np.ndarray, least: int = 0) -> tuple[int, int, int]:
+    """(words, matches, worth) word against word, as far as matches less twice the mismatches grow; nothing
+    where no more than `least` words match, as worth is no more than they are."""
     n = min(len(a), len(b))
-    if not n:
-        return 0, 0, 0
     same = a[:n] == b[:n]
-    worth = np.cumsum(np.where(same, 1, -2))
-    best = int(worth.argmax())
-    return (best + 1, int(same[: best + 1].sum()), int(worth[best])) if worth[best] > 0 else (0, 0, 0)
+    if (matches := int(np.count_nonzero(same))) <= least:
+        return 0, 0, 0
+    if matches == n:
+        return n, n, n
+    best = worth = words = matched = found = 0
+    for i, x in enumerate(same.tolist(), 1):
+        if x:
+            worth, matched = worth + 1, matched + 1
+            if worth > best:
+                best, words, found = worth, i, matched
+        else:
+            worth -= 2
+    return words, found, best
 
 
 def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -488,7 +533,9 @@ def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     while True:
         best = (0, 0, 0, 0)
         for i, j in SKIPS:
-            n, m, worth = _level(a[x + i :], b[y + j :])
+            if min(len(a) - x - i, len(b) - y - j) <= 2 * (i + j):
+                continue
+            n, m, worth = _level(a[x + i :], b[y + j :], 2 * (i + j))
             if worth > 2 * (i + j):
                 best = max(best, (worth - 2 * (i + j), m, i + n, j + n))
         if not best[0]:
