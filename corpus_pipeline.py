@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from graphloom.llm import langid, minhash, mixing, packing, passages
 from graphloom.llm.common import discard, materialize, read
 
+#: Pieces of text that a worker remembers the ids of: the stages before have left an executor little memory.
+REMEMBER = 150_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language one of the learned ones can be: those that language identification
@@ -42,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, none across documents. A null text is empty: its only token is the end;
     repeated rows and rows with a null id are packed each for itself; an empty table gives no sequence;
     other columns of docs are left out."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=REMEMBER)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix_sources", mix_sources), ("pack", pack)]

@@ -23,10 +23,11 @@ def decompose(n: int, size: int) -> list[int]:
     return [size] * (n // size) + [1 << k for k in range(size.bit_length() - 1, -1, -1) if (n % size) >> k & 1]
 
 
-def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", size: int = 2048, end: int = 1, ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", size: int = 2048, end: int = 1, ids: bool = True, remember: int | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     if asked for, the ids themselves.
 
+    remember: pieces of text whose ids a worker remembers, if not the Encoder's own bound: time for memory, the ids are the same.
     size: longest sequence, a power of two. end: the id that closes each document. Null text is
     empty (its only token is `end`); repeated rows are packed each for itself, and rows with a null
     id like others. Other columns of df are left out. sequence_id numbers all sequences from 0, the
@@ -41,7 +42,7 @@ def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text",
 
     @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), {}
+        own_ids, part, seen = encoder(vocabulary, remember), TaskContext.get().partitionId(), {}
         for batch in (x for whole in batches for x in pieces(whole, "_text", BATCH_BYTES)):
             out: list[list] = [[] for _ in names]
             rows: list[int] = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_name, lengths, prepare
+from graphloom.llm.common import fresh_name, lengths, prepare, release
 
 #: The byte-level pattern always cuts before a space between two characters that are no white space
 #: (Python counts a few more characters as such than the pattern does, which only means fewer cuts),
@@ -53,38 +53,40 @@ def tokenizer(path: str):
 
 
 @functools.cache
-def cuts_safely(path: str) -> bool:
-    """Whether texts may be cut at _SAFE and _MARKS: the file is a byte-level model with the usual pattern,
-    and no added token reaches across a cut."""
-    if not path.endswith(".json"):
-        return False
+def _model(path: str) -> tuple[bool, np.ndarray, tuple[str, ...]]:
+    """What cuts_safely, spaced and special_strings tell of a .json file, which is read once and let go before the
+    library reads it: workers share an executor's memory."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     before, added = model.get("pre_tokenizer") or {}, model.get("added_tokens", [])
     usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not model.get("normalizer")
-    return usual and not any(" " in x["content"] or _MARKS.search(f"a{x['content']}a") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added)
+    safe = usual and not any(" " in x["content"] or _MARKS.search(f"a{x['content']}a") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added)
+    begins = np.zeros(0, bool)
+    if safe:
+        ids = model["model"]["vocab"] | {x["content"]: x["id"] for x in added}
+        begins = np.zeros(max(ids.values()) + 1, bool)
+        begins[[i for x, i in ids.items() if x.startswith("Ġ")]] = True  # the model's sign for a space
+    return safe, begins, tuple(x["content"] for x in added)
+
+
+def cuts_safely(path: str) -> bool:
+    """Whether texts may be cut at _SAFE and _MARKS: the file is a byte-level model with the usual pattern,
+    and no added token reaches across a cut."""
+    return path.endswith(".json") and _model(path)[0]
 
 
-@functools.cache
 def spaced(path: str) -> np.ndarray:
     """Whether each id of a byte-level model begins with a space."""
-    from tokenizers import Tokenizer
-
-    ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    out = np.zeros(max(ids.values()) + 1, bool)
-    out[[i for x, i in ids.items() if x.startswith("Ġ")]] = True  # the model's sign for a space
-    return out
+    return _model(path)[1]
 
 
 #: Begins a piece that has no space before it. Texts that hold this character are encoded whole.
 BEGIN = "\x01"
 
 
-@functools.cache
 def special_strings(path: str) -> tuple[str, ...]:
     """Texts that are tokens of their own, whatever is around them."""
-    with open(path, encoding="utf-8") as f:
-        return tuple(x["content"] for x in json.load(f).get("added_tokens", []))
+    return _model(path)[2]
 
 
 def split_safely(text: str, special: tuple[str, ...] = ()) -> list[str] | None:
@@ -121,8 +123,10 @@ class Encoder:
     worker remembers the numbers of the ids of pieces, so that a piece that repeats is encoded once;
     what it remembers has a bound."""
 
-    def __init__(self, path: str):
-        self.library, self.cut = tokenizer(path), cuts_safely(path)
+    def __init__(self, path: str, most: int | None = None):
+        self.cut, self.most = cuts_safely(path), most or MOST_PIECES
+        release()
+        self.library = tokenizer(path)
         self.spaced = spaced(path) if self.cut else None
         self.special = special_strings(path) if self.cut else ()
         self.line_end = self.library(["\n"])[0][0] if self.cut else None
@@ -169,7 +173,7 @@ class Encoder:
 
     def _numbers(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The number of every piece, and where each text's begin."""
-        if len(self.number) > MOST_PIECES or self.characters > MOST_CHARACTERS:
+        if len(self.number) > self.most or self.characters > MOST_CHARACTERS:
             self.forget()
         at = np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])
         flat = list(itertools.chain.from_iterable(split))
@@ -211,9 +215,9 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int | None = None) -> Encoder:
     """One in each Python worker: what it remembers has a bound and serves all of a worker's tasks."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def _groups(words: list[str]) -> Iterator[list[str]]:
