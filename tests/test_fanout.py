@@ -54,3 +54,49 @@ def test_graphs_by_names_are_not_shuffled_again(spark, build):
     got = sorted(map(tuple, found.collect()))
     assert got == sorted(set(got)) and len([r for r in got if r[2] == "CALLS"]) > 10
     assert top(found) == "Union"
+
+
+def written_rows(plan):
+    """Rows that the shuffles of an executed plan have written, by the rows of each."""
+    inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "ResultQueryStageExec": "plan"}
+    name = plan.getClass().getSimpleName()
+    if name in inner:
+        return written_rows(getattr(plan, inner[name])())
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+    return own + [n for i in range(plan.children().size()) for n in written_rows(plan.children().apply(i))]
+
+
+def sides(spark, n):
+    left = spark.range(n).selectExpr("if(id < 0, 'j', 'k') AS k", "concat('some/file', id, '.c::caller') AS x")
+    return left, spark.range(n).selectExpr("if(id < 0, 'j', 'k') AS k", "concat('some/other/file', id, '.py::callee') AS y")
+
+
+def test_sides_are_written_as_often_whatever_the_result(spark):
+    most = []
+    for n in (200, 800):
+        found = fanout.fan_out(*sides(spark, n), "k", 10)
+        assert len(found.collect()) == n * n
+        most.append(max(written_rows(found._jdf.queryExecution().executedPlan())) / n)
+    assert most[1] <= 1.2 * most[0] and most[1] <= fanout.tasks(found, fanout.JOIN_TASKS_PER_CORE) ** 0.5
+
+
+def test_a_file_of_pairs_takes_a_small_part_of_its_rows(spark, tmp_path):
+    fanout.fan_out(*sides(spark, 2000), "k").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 4_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2_000_000
+
+
+def test_long_sides_are_dealt_even_if_the_result_is_small(spark, monkeypatch):
+    monkeypatch.setattr(fanout, "SIDE_ROWS", 100)
+    left, right = sides(spark, 1000)
+    for a, b in ((left.where("x LIKE '%file7.c%'"), right), (left, right.where("y LIKE '%file7.py%'"))):
+        found = fanout.fan_out(a, b, "k")
+        sizes = [len(part) for part in found.rdd.glom().collect()]
+        assert sum(sizes) == 1000 and max(sizes) < 600
+
+
+def test_null_and_equal_rows(spark):
+    rows = [("k", None), ("k", 1), ("k", 1), (None, 2), ("l", 3)]
+    found = fanout.fan_out(spark.createDataFrame(rows, "k string, x int"), spark.createDataFrame(rows, "k string, y int"), "k", 1)
+    want = [(k, x, y) for k, x in rows for other, y in rows if k is not None and k == other]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
