@@ -100,3 +100,12 @@ def test_null_and_equal_rows(spark):
     found = fanout.fan_out(spark.createDataFrame(rows, "k string, x int"), spark.createDataFrame(rows, "k string, y int"), "k", 1)
     want = [(k, x, y) for k, x in rows for other, y in rows if k is not None and k == other]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("build", [lambda p, keep: writers.named_graph(p, "r", keep), writers.module_graph])
+def test_only_names_are_kept_of_parsed_files(spark, build):
+    kept = []
+    parsed = parse_files(spark.createDataFrame(list(SOURCES.items()), "path string, content string"))
+    assert build(parsed, lambda rows: kept.append(rows) or rows).count() == build(parsed, lambda rows: rows).count()
+    assert [rows.columns for rows in kept] == [["path", "functions", "classes", "imports", "calls"]]
+    assert not any("start_line" in kind for _, kind in kept[0].dtypes)
